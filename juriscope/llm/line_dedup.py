@@ -59,18 +59,19 @@ class LineRuns:
     """The runs: a list per level, each a bucketed table (h1, h2, owner) sorted by hash."""
 
     def __init__(self, spark: SparkSession, fan_in: int = 2):
-        self.spark, self.fan_in, self.levels = spark, fan_in, [[]]
+        self.spark, self.fan_in = spark, fan_in
+        self.levels: list[list[tuple[str, str]]] = [[]]  # name and path of each run
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _write(self, rows: DataFrame) -> DataFrame:
+    def _write(self, rows: DataFrame) -> tuple[str, str]:
         path = new_path(self.spark, "line-run")
         name = "line_run_" + path.rpartition("-")[2]
         rows.select(*KEY, "owner").write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).option("compression", "lz4").saveAsTable(name)
-        return self.spark.table(name)
+        return name, path
 
     @property
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [self.spark.table(name) for level in self.levels for name, _ in level]
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """Rows of ``keys`` whose key no run holds: one merge anti join for each run."""
@@ -85,10 +86,12 @@ class LineRuns:
             full, self.levels[level] = self.levels[level], []
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._write(reduce(DataFrame.unionByName, full)))
+            self.levels[level + 1].append(self._write(reduce(DataFrame.unionByName, [self.spark.table(name) for name, _ in full])))
 
     def owners(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.runs)
+        """All runs as one table without buckets: a join that deals out both sides
+        lets Spark split the rows of a very common line."""
+        return self.spark.read.schema("h1 long, h2 long, owner long").parquet(*[path for level in self.levels for _, path in level])
 
 
 def repeated_lines(lines: DataFrame, batches: int = 4, fan_in: int = 2) -> DataFrame:
