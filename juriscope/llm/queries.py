@@ -3,10 +3,10 @@ the whole of its table and derives the columns of its contract."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juriscope.llm import chat_format, line_dedup, packing, quality_rules, simhash, substring_dedup
+from juriscope.llm import chat_format, language_id, line_dedup, packing, pu_quality, quality_rules, sentencepiece_stream, simhash, substring_dedup, vector_search
 from juriscope.llm.common import table
 
 
@@ -20,6 +20,18 @@ def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def held_out(doc_id: Column) -> Column:
+    """The documents that are never learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
+
+
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = pu_quality.fit(docs, labels, ~held_out(F.col("doc_id")))
+    scored = pu_quality.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_best_fit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,6 +44,27 @@ def op5_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(docs, window=13).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_search.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256.0)
+
+
+def op7_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and whether decoding them restores it."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return sentencepiece_stream.round_trip(docs, model).select("doc_id", F.expr("octet_length(ids) div 4").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "restored")
+
+
+def op8_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language_id.learn(docs.filter(~held_out(F.col("doc_id"))))
+    found = language_id.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4, seed=42)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,4 +89,18 @@ def op10_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_windows, op3_line_frequency, op4_line_runs, op5_doubling, op9_simhash_trie, op10_chat_grammar)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pu_quality,
+        op2_best_fit_windows,
+        op3_line_frequency,
+        op4_line_runs,
+        op5_doubling,
+        op6_va_file,
+        op7_streaming_viterbi,
+        op8_hyperdimensional,
+        op9_simhash_trie,
+        op10_chat_grammar,
+    )
+}
