@@ -30,9 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from juriscope.llm.common import text_blocks
+from juriscope.llm.hashing import find_words, word_hashes
 
 PAIRS = 256
-SHAPES = 4
+SHAPES = 6
 WIDTH = 256 + PAIRS + SHAPES
 
 
@@ -56,6 +57,13 @@ def features(column: pa.Array) -> np.ndarray:
         out[start:stop, -3] = size / (blank + 1) / 10
         out[start:stop, -2] = one[:, 65:91].sum(axis=1) / total[:, 0]
         out[start:stop, -1] = size == 0
+        starts, stops, firsts = find_words(data, offsets)
+        words = word_hashes(data, starts, stops)
+        text = np.repeat(np.arange(n), np.diff(firsts))
+        # Words that repeat the one before or the one before that.
+        for k, back in ((-5, 1), (-6, 2)):
+            again = (words[back:] == words[:-back]) & (text[back:] == text[:-back])
+            out[start:stop, k] = np.sqrt(np.bincount(text[back:][again], minlength=n) / np.maximum(np.diff(firsts), 1))
     return out
 
 
@@ -69,7 +77,7 @@ class Model:
         g = ((x - self.mean) * self.scale).astype(np.float64) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: float = 0.02, decay: float = 1e-3) -> "Model":
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 250, rate: float = 0.03, decay: float = 1e-3) -> "Model":
         if not len(positive) or not len(unlabelled):
             return self
         everything = np.concatenate([positive, unlabelled])
