@@ -67,7 +67,7 @@ def format_turns(turns: DataFrame, rounds: int = 2) -> DataFrame:
         read = parse(render(F.col("_r"), F.col("_t")))
         turns = turns.withColumn("_read", read)
         turn = F.get("_read", 0)
-        same = (F.size("_read") == 1) & (turn["role"] == F.col("role")) & (turn["text"] == F.col("text")) & (turn["raw"] == F.col("_t"))
+        same = (F.size("_read") == 1) & ~F.contains("_r", F.lit(CLOSE)) & (turn["role"] == F.col("role")) & (turn["text"] == F.col("text")) & (turn["raw"] == F.col("_t"))
         turns = turns.withColumn("_same", F.coalesce(same, F.lit(False)))
         turns = turns.withColumns({"_r": F.when(F.col("_same"), F.col("_r")).otherwise(escape_role(F.col("role"))), "_t": F.when(F.col("_same"), F.col("_t")).otherwise(escape(F.col("text")))})
     return turns.withColumn("shown", render(F.col("_r"), F.col("_t"))).drop("_r", "_t", "_read", "_same")
