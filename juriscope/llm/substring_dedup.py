@@ -96,7 +96,7 @@ def _grouped(name: str, group: np.ndarray, **columns: np.ndarray) -> pa.Table:
     """A row for each group, with the bytes of the columns' values there."""
     order = np.argsort(group, kind="stable")
     edges = np.flatnonzero(np.diff(group[order], prepend=-1))
-    ends = np.append(edges[1:], len(order)).tolist()
+    ends = np.append(edges[1:], len(order))[: len(edges)].tolist()
     out = {name: group[order][edges]}
     for column, x in columns.items():
         raw, width = x[order].tobytes(), x.dtype.itemsize

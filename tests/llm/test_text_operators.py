@@ -74,6 +74,11 @@ def test_substring_dedup(odd_docs, odd_rows, no_docs):
     assert substring_dedup.dedup_substrings(odd_docs, window=4).filter("n_removed > 0").count() > 3
 
 
+def test_texts_without_a_window(spark):
+    docs = spark.createDataFrame([(i, "few words only") for i in range(5)], "doc_id long, text string")
+    assert bag(substring_dedup.dedup_substrings(docs), "text", "n_words", "n_removed") == {("few words only", 3, 0): 5}
+
+
 def slow_fingerprint(text):
     import xxhash
 
