@@ -262,3 +262,27 @@ SELECT form, CASE WHEN lead = '' THEN concat(upper(t[1:1]), t[2:]) ELSE concat(l
 
 
 ORACLES["treatment_definitions"] = _definitions()
+
+
+_QUOTED = r"""
+dw AS (SELECT doc_id, text, regexp_split_to_array(text, '\s+') AS w FROM documents),
+bw AS (SELECT item_id, text AS quote, array_to_string(regexp_split_to_array(trim(text), '\s+')[1:4], ' ') AS head FROM benchmark),
+hd AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i+3], ' ')))) AS head FROM dw),
+q AS (SELECT DISTINCT doc_id, item_id, quote FROM hd JOIN bw USING (head))"""
+_TOKENS = "concat(' ', trim(regexp_replace(lower(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\\*\\d+', ' ', 'g')), '[^a-z0-9]+', ' ', 'g')), ' ')"
+
+ORACLES |= {
+    "quote_containment": f"WITH {_QUOTED} SELECT doc_id, item_id, contains({_TOKENS.format('text')}, {_TOKENS.format('quote')}) AS found FROM q JOIN documents USING (doc_id)",
+    "quote_names_case": _with("SELECT cluster_id, CASE cluster_id % 3 WHEN 0 THEN CASE WHEN length(" + _ALNUM.format("citations[2]") + ") >= 5 THEN 'cite' ELSE '' END WHEN 1 THEN CASE WHEN raw_name = '' THEN 'cite' ELSE 'name' END ELSE '' END AS names FROM opinions"),
+    "mark_case": _with(
+        f"""SELECT cluster_id, CASE WHEN raw_name = ''
+  THEN concat('&quot;In &lt;<strong class="evidence-card__case">', case_name, '&gt; (', citations[2], '</strong>) &amp; later.')
+  ELSE concat('&quot;In &lt;<strong class="evidence-card__case">', split_part(case_name, ' v. ', 1), '</strong> v. ', split_part(case_name, ' v. ', 2), '&gt; (', CASE WHEN length({_ALNUM.format('citations[2]')}) < 5 THEN citations[2] ELSE concat('<strong class="evidence-card__case">', citations[2], '</strong>') END, ') &amp; later.') END AS marked FROM opinions"""
+    ),
+    "cite_map": _with(
+        """, c AS (SELECT cluster_id, citations[2] AS cite, cluster_id % 100 AS target, case_name FROM opinions)
+SELECT cluster_id, concat(cite, ', 12') AS cite, target, case_name FROM c UNION ALL SELECT cluster_id, cite, target, case_name FROM c"""
+    ),
+    "document_titles": """WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, row_number() OVER (PARTITION BY conv_id, role = 'user' ORDER BY turn) AS k FROM conversations WHERE trim(text) <> '')
+SELECT conv_id, pos, concat(CASE role WHEN 'user' THEN 'Dissent' ELSE 'Opinion of the Court' END, CASE WHEN k > 1 THEN concat(' ', k) ELSE '' END) AS title, 1::BIGINT AS n_blocks FROM c""",
+}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from juriscope.functions import courts as court_fn
 from juriscope.functions import taxonomy as tax
-from juriscope.functions import text
+from juriscope.functions import documents, quotes, text
 from juriscope.operators import authorities, edges, history, later_courts, resolve, search
 from juriscope.sources import testdata as data
 
@@ -325,3 +325,76 @@ QUERIES = {
         treatment_labels, treatment_table, treatment_definitions, disposition, text_keys, token_streams, excerpts, writing_titles, mention_navigator,
     )
 }
+
+
+# ------------------------------------------------------------ quotes and documents
+def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as quotes of every document that holds their first words."""
+    docs = data.table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The words are read twice, so that they stay a projection of their own.
+    words = docs.select("doc_id", F.split("text", r"\s+").alias("w"))
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " "))
+    keys = words.select("doc_id", F.explode(F.array_distinct(heads)).alias("head"))
+    quotes_ = data.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 4), " ").alias("head"))
+    return keys.join(quotes_, "head").select("doc_id", "item_id", "quote").distinct().join(docs, "doc_id")
+
+
+def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3's quick path: documents that hold a passage token by token."""
+    q = _quoted(spark, sf_dir)
+    return q.select("doc_id", "item_id", quotes.stands_in(F.col("quote"), F.array("text")).alias("found"))
+
+
+def verify_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3: status of every passage in the documents that hold its first words."""
+    q = _quoted(spark, sf_dir)
+    return q.select("doc_id", "item_id", quotes.status(F.col("quote"), F.array("text")).alias("status"))
+
+
+def expand_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1, Q2: a passage's middle, widened to its sentences."""
+    q = _quoted(spark, sf_dir).withColumn("part", F.array_join(F.slice(F.split(F.trim("quote"), r"\s+"), 3, 8), " "))
+    return q.select("doc_id", "item_id", quotes.expand_udf(F.split("text", "\n"), "part").alias("sentences"))
+
+
+def quote_names_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5: whether an order's text names it."""
+    o = data.opinions(spark, sf_dir)
+    quote = F.concat(F.lit("See "), F.when(F.col("cluster_id") % 3 == 0, F.get("citations", F.lit(1))).when(F.col("cluster_id") % 3 == 1, F.col("case_name")).otherwise("the record"), F.lit(", at 4."))
+    return o.select("cluster_id", text.quote_names_case(quote, F.col("citations"), F.col("case_name")).alias("names"))
+
+
+def mark_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q6: quotes with the case's name in strong."""
+    o = data.opinions(spark, sf_dir)
+    quote = F.concat(F.lit('"In <'), F.col("case_name"), F.lit("> ("), F.get("citations", F.lit(1)), F.lit(") & later."))
+    return o.select("cluster_id", quotes.mark_udf(quote, "citations", "case_name").alias("marked"))
+
+
+def quote_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q7: the block that a passage stands in."""
+    q = _quoted(spark, sf_dir)
+    return q.select("doc_id", "item_id", quotes.locate(F.split("text", "\n"), F.col("quote")).alias("block"))
+
+
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1 to H4: blocks of every page by type."""
+    p = data.table(spark, sf_dir, "pages").select("page_id", documents.blocks_udf("html").alias("d"))
+    return p.select("page_id", F.explode("d.blocks").alias("b")).groupBy("page_id", F.col("b.type").alias("type")).agg(F.count("*").alias("n"), F.sum(F.length("b.html")).cast("long").alias("n_chars"))
+
+
+def cite_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5: citations that a source links."""
+    o = data.opinions(spark, sf_dir).withColumn("cite", F.get("citations", F.lit(1)))
+    source = F.concat(F.lit('<p>See <span class="citation" data-id="1"><a href="/opinion/'), (F.col("cluster_id") % 100).cast("string"), F.lit('/x/" aria-description="Citation for case: '), "case_name", F.lit('">'), "cite", F.lit(", 12</a></span>.</p>"))
+    return o.select("cluster_id", F.explode(documents.cite_map_udf(source)).alias("c")).select("cluster_id", "c.cite", F.col("c.target").cast("long").alias("target"), "c.case_name")
+
+
+def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writings of conversations as one document each."""
+    c = data.table(spark, sf_dir, "conversations").withColumn("w", F.struct("turn", F.concat("role", F.col("turn").cast("string")).alias("id"), F.when(F.col("role") == "user", "040dissent").otherwise("020lead").alias("type"), F.lit("").alias("author"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("html")))
+    whole = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: F.struct(w["id"].alias("id"), w["type"].alias("type"), w["author"].alias("author"), w["html"].alias("html"))).alias("ws"))
+    return whole.select("conv_id", F.posexplode(documents.document_udf("ws")).alias("pos", "d")).select("conv_id", F.col("pos").cast("long").alias("pos"), "d.title", F.size("d.blocks").cast("long").alias("n_blocks"))
+
+
+QUERIES |= {f.__name__: f for f in (quote_containment, verify_quote, expand_quote, quote_names_case, mark_case, quote_location, html_blocks, cite_map, document_titles)}
