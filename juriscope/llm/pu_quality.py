@@ -115,9 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "do
     if not n_positive:
         return model
     good = seen.filter(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).filter(_chosen(F.col("_id"), min(1.0, most / n_positive))).distinct()
+    # About ``most`` ids whatever the input: they are sent to the texts, which stay where they are.
     rows = docs.filter(learnable)
     share = min(1.0, most / max(1, rows.count()))
-    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(good.withColumn("positive", F.lit(True)), "_id", "left")
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(good.withColumn("positive", F.lit(True))), "_id", "left")
     rows = rows.select(F.coalesce("positive", F.lit(False)).alias("positive"), _chosen(F.col("_id"), share).alias("open"), "text").filter("positive or open")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
