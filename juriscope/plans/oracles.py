@@ -286,3 +286,57 @@ SELECT cluster_id, concat(cite, ', 12') AS cite, target, case_name FROM c UNION
     "document_titles": """WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, row_number() OVER (PARTITION BY conv_id, role = 'user' ORDER BY turn) AS k FROM conversations WHERE trim(text) <> '')
 SELECT conv_id, pos, concat(CASE role WHEN 'user' THEN 'Dissent' ELSE 'Opinion of the Court' END, CASE WHEN k > 1 THEN concat(' ', k) ELSE '' END) AS title, 1::BIGINT AS n_blocks FROM c""",
 }
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _small() -> dict[str, str]:
+    from juriscope.plans.queries import FORMS, PROSE, TAGGED
+
+    tr = f"WITH {SQL.split('courts AS (')[0].rstrip().rstrip(',')}\n"
+    pick = lambda values: f"{_list(values)}[o_orderkey % {len(values)} + 1]"
+    cases = "[" + ", ".join(str(c).lower() for _, c in FORMS) + "]"
+    return {
+        "case_groups": f"SELECT o_orderkey AS k, o_orderkey % 11 = 0 OR {cases}[o_orderkey % {len(FORMS)} + 1] AS is_case FROM orders",
+        "canonical_courts": f"SELECT o_orderkey AS k, {pick([c for _, c, _ in PROSE])} AS court, {pick([n for _, _, n in PROSE])} AS name FROM orders",
+        "authority_names": f"SELECT o_orderkey AS k, {pick([n for _, n in TAGGED])} AS name FROM orders",
+        "page_links": """SELECT o_orderkey AS k, concat('/opinion/', o_orderkey, '/', CASE WHEN o_orderkey % 3 = 0 THEN concat('#authority-', o_orderkey % 7)
+  WHEN o_orderkey % 3 = 1 AND o_orderkey % 2 = 1 THEN concat('#q=in%20part%20', o_orderstatus) ELSE '' END) AS href FROM orders""",
+        "list_clamps": "SELECT o_orderkey AS k, array_to_string(range(1, least(3, o_orderkey % 6 + 1) + 1), ',') AS shown, greatest(o_orderkey % 6 - 2, 0)::INT AS more FROM orders",
+        "lead_cards": """WITH c AS (SELECT o_orderkey AS k, list_transform([1, 4, 16], lambda n: ['Neutral', 'Stop', 'Odd', 'Caution'][(o_orderkey // n) % 4 + 1]) AS t FROM orders),
+r AS (SELECT k, unnest([0, 1, 2]) AS nth, unnest(t) AS t FROM c)
+SELECT k, arg_min(nth, (CASE WHEN t = 'Odd' THEN CASE WHEN nth = 0 THEN -1 ELSE 4 END WHEN t = 'Stop' THEN 0 WHEN t = 'Caution' THEN 2 ELSE 3 END, nth))::INT AS lead FROM r GROUP BY k""",
+        "below_entries": """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'ct' WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 2 = 0 THEN 'a court' ELSE 'ct' END AS court,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'Smithson matter' WHEN o_orderkey % 3 = 0 THEN 'People v. Roe' ELSE '' END AS name FROM orders""",
+        "act_verbs": tr + f"SELECT label, array_to_string({_VERBS.format(_PAST.format('label'))}, '|') AS verbs FROM tr",
+        "court_typeahead": _with(
+            f""", cat(ord, category, shown) AS (VALUES {_CATS}),
+g AS (SELECT display, CASE WHEN category IN ('scotus', 'circuit') THEN 'federal_appellate' WHEN category = 'district' THEN 'federal_district' ELSE 'state' END AS tab,
+  CASE WHEN category IN ('scotus', 'circuit') THEN shown WHEN state = '' THEN 'Other courts' ELSE state END AS group_name FROM courts JOIN cat USING (category))
+SELECT tab, group_name, bool_or(contains(lower(display), 'ar')) OR contains(lower(group_name), 'ar') AS shown, (count(*) FILTER (contains(lower(display), 'ar')))::INT AS n_courts FROM g GROUP BY tab, group_name"""
+        ),
+        "citing_scope": _with("SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem JOIN opinions ON cluster_id = l_partkey AND tier = 'anchor'"),
+        "last_counts": """WITH f AS (SELECT l_partkey AS cluster_id, l_linenumber AS file, count(*) AS total FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY 1, 2)
+SELECT cluster_id, arg_max(total, file) AS total FROM f GROUP BY cluster_id""",
+        "levels_placed": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 + 1 AS l FROM orders WHERE o_orderkey % 4 = 0)
+SELECT k AS cluster_id, unnest([0, 1, 2, 3])::INT AS "at", unnest([l, least(l + 1, 4), l - 1, 0])::INT AS level FROM o""",
+        "card_labels": tr + "SELECT label, active AS treatment, CASE WHEN ord % 2 = 0 THEN active ELSE regexp_replace(label, ' by$', '') END AS defined_as FROM tr",
+    }
+
+
+ORACLES |= _small()
+
+ORACLES["pill_validation"] = _with(
+    """, ex AS (SELECT cited, citing, expert_treatment AS e FROM kept QUALIFY row_number() OVER (PARTITION BY cited, citing ORDER BY recognized, rank, nth) = 1),
+p AS (SELECT k.cited, k.citing, k.recognized, k.label, k.rank, e, contains(e, ' as recognized by') AS er, replace(e, ' as recognized by', ' by') AS eb,
+    row_number() OVER (PARTITION BY cited, citing ORDER BY rank, recognized, nth) AS o FROM kept k JOIN ex USING (cited, citing)),
+a AS (SELECT p.*, t.severity AS es, coalesce(recognized = er AND p.label = eb, false) AS agree, coalesce(recognized = er AND rank < 3, false) AS guilty,
+    coalesce(min(CASE WHEN NOT recognized THEN o END) OVER w, 1) AS fa, min(CASE WHEN NOT recognized THEN o END) OVER w AS fa0 FROM p LEFT JOIN tr t ON t.label = p.eb WINDOW w AS (PARTITION BY cited, citing)),
+b AS (SELECT *, bool_or(agree) OVER w AS any_agree, bool_or(guilty) OVER w AS any_guilty, coalesce(bool_or(o = fa0 AND label IN ('Cited by', 'Limited by')) OVER w, false) AS mild FROM a WINDOW w AS (PARTITION BY cited, citing)),
+s AS (SELECT *, CASE WHEN e IS NULL THEN 'unverified' WHEN agree THEN 'agree' WHEN any_agree OR coalesce(es, 'Other') NOT IN ('Stop', 'Warning', 'Caution') OR (eb = 'Distinguished by' AND mild) THEN 'unverified'
+    WHEN CASE WHEN any_guilty THEN guilty ELSE o = fa END THEN 'disagree' ELSE 'unverified' END AS state FROM b),
+r AS (SELECT *, CASE WHEN bool_or(state = 'disagree') OVER w THEN 'disagree' WHEN bool_or(state = 'agree') OVER w THEN 'agree' ELSE 'unverified' END AS row_state FROM s WINDOW w AS (PARTITION BY cited, citing))
+SELECT row_state, CASE WHEN recognized THEN 'recognized' ELSE 'applied' END AS kind, state, count(*) AS n FROM r GROUP BY ALL"""
+)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from juriscope.functions import courts as court_fn
@@ -398,3 +398,122 @@ def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (quote_containment, verify_quote, expand_quote, quote_names_case, mark_case, quote_location, html_blocks, cite_map, document_titles)}
+
+
+# ------------------------------------------------------- further scalar operators
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return data.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
+
+
+def _pick(values: list[str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("k") % len(values) + 1).cast("int"))
+
+
+# Forms of citations and whether each is to a case.
+FORMS = [("633 F.3d 894", True), ("Id. at 405", False), ("42 U.S.C. 1983", False), ("Bruton", True), ("see supra note 3", False), ("591 U. S. ___", True), ("the plaintiff moved", False), ("In re Google", True), ("12 Harv. L. Rev. 3", False)]
+# Courts as prose names them, with the court and the name that each stands for.
+PROSE = [
+    ("the United States  Supreme Court", "scotus", "Supreme Court of the United States"),
+    ("U. S. Supreme Court", "scotus", "Supreme Court of the United States"),
+    ("the Ninth Circuit", "ca9", "Court of Appeals for the Ninth Circuit"),
+    ("Federal  Circuit panel", "cafc", "Court of Appeals for the Federal Circuit"),
+    (" a trial   court ", "", "a trial court"),
+]
+# Names with a procedural tag, and without it.
+TAGGED = [("Troppi v Scarf (leave denied)", "Troppi v Scarf"), ("A v. B (No. 1)", "A v. B (No. 1)"), ("C v. D (cert. granted) ", "C v. D"), ("E (1999)", "E"), ("F v. G (on appeal) (order)", "F v. G (on appeal)")]
+
+
+def case_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a citation group refers to a case."""
+    none = F.array().cast("array<string>")
+    return _orders(spark, sf_dir).select("k", text.is_case_group(F.when(F.col("k") % 11 == 0, "Named").otherwise(""), F.lit(""), F.array(_pick([f for f, _ in FORMS])), none).alias("is_case"))
+
+
+def canonical_courts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courts named in prose."""
+    c = text.canonical_court(_pick([p for p, _, _ in PROSE]))
+    return _orders(spark, sf_dir).select("k", c["court"].alias("court"), c["name"].alias("name"))
+
+
+def authority_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: names without their procedural tag."""
+    return _orders(spark, sf_dir).select("k", text.clean_authority_name(_pick([t for t, _ in TAGGED])).alias("name"))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deep links from a status to its passage."""
+    k = F.col("k")
+    return _orders(spark, sf_dir).select("k", text.page_link(k, F.when(k % 3 == 0, k % 7), F.when(k % 3 == 1, F.concat(F.lit("in part "), "status")).otherwise(""), F.when(k % 2 == 0, "missing").otherwise("found")).alias("href"))
+
+
+def list_clamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three items of a list and how many follow."""
+    items = F.transform(F.sequence(F.lit(1), F.col("k") % 6 + 1), lambda i: i.cast("string"))
+    c = text.first_items(items)
+    return _orders(spark, sf_dir).select("k", F.array_join(c["shown"], ",").alias("shown"), c["more"].cast("int").alias("more"))
+
+
+def lead_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The card that a navigator shows first."""
+    tier = lambda n: F.element_at(F.array(*map(F.lit, ["Neutral", "Stop", "Odd", "Caution"])), ((F.col("k") / n).cast("long") % 4 + 1).cast("int"))
+    cards = F.array(*[F.struct(tier(n).alias("severity"), F.lit(i).alias("at")) for i, n in enumerate((1, 4, 16))])
+    o = _orders(spark, sf_dir).select("k", cards.alias("cards"))
+    return o.select("k", search.lead_card(F.col("cards"))["at"].alias("lead"))
+
+
+def below_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision below that an opinion reviewed."""
+    k = F.col("k")
+    entry = lambda c, n: F.struct(c.alias("court"), n.alias("name"))
+    entries = F.array(entry(F.lit(""), F.lit("")), entry(F.when(k % 2 == 0, "a court").otherwise(""), F.lit("")), entry(F.lit(""), F.when(k % 3 == 0, "People v. Roe").otherwise("")), entry(F.lit("ct"), F.when(k % 5 == 0, "Smithson matter").otherwise("")))
+    found = text.below_entry(entries, F.lit("Smithson v. State"))
+    return _orders(spark, sf_dir).select("k", found["court"].alias("court"), found["name"].alias("name"))
+
+
+def act_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The acts that labels name."""
+    d = tax.dim_treatment(spark)
+    return d.select("label", F.array_join(text.act_verbs(tax.past(F.col("label"))), "|").alias("verbs"))
+
+
+def court_typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courts and groups that typed text shows."""
+    c = court_fn.court_picker(data.courts(spark, sf_dir))
+    groups = c.groupBy("tab", "group_name").agg(F.collect_list("display").alias("names"))
+    q = F.lit(" AR")
+    return groups.select("tab", "group_name", search.group_visible(q, F.col("group_name"), F.col("names")).alias("shown"), F.size(F.filter("names", lambda n: search.court_visible(q, n))).alias("n_courts"))
+
+
+def citing_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the citing scope, by a writing's id or by its cluster."""
+    o = data.opinions(spark, sf_dir).withColumn("opinion_ids", F.array(F.col("cluster_id") + 1_000_000))
+    li = data.table(spark, sf_dir, "lineitem")
+    scope = li.select(F.col("l_orderkey").alias("citing_cluster_id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey") + 1_000_000).alias("anchor_opinion_id"), F.col("l_partkey").alias("anchor_cluster_id"))
+    return edges.scope_pairs(scope, o)
+
+
+def last_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later of two files overrides."""
+    li = data.table(spark, sf_dir, "lineitem")
+    file = lambda n, i: li.filter(F.col("l_linenumber") == n).groupBy(F.col("l_partkey").alias("cluster_id")).agg(F.count("*").alias("total")).withColumn("file", F.lit(i))
+    return file(1, 0).unionByName(file(2, 1)).groupBy("cluster_id").agg(F.max_by("total", "file").alias("total"))
+
+
+def levels_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of nodes that have none, a level under or over their neighbours."""
+    o = _orders(spark, sf_dir).filter("k % 4 = 0")
+    k = F.col("k")
+    node = lambda at, role, level, acting: F.struct(F.lit(at).alias("at"), F.lit(role).alias("role"), level.cast("int").alias("level"), F.lit(acting).alias("acting_case"), F.lit("").alias("court"))
+    nodes = o.select(k.alias("cluster_id"), F.explode(F.array(node(0, "self", k % 3 + 1, ""), node(1, "below", F.lit(99), ""), node(2, "reported", F.lit(99), "a court"), node(3, "reported", F.lit(99), "the United States Supreme Court"))).alias("n")).select("cluster_id", "n.*")
+    links = o.select(k.alias("cluster_id"), F.explode(F.array(F.struct(F.lit(0).alias("actor"), F.lit(1).alias("target")), F.struct(F.lit(2).alias("actor"), F.lit(0).alias("target")), F.struct(F.lit(3).alias("actor"), F.lit(0).alias("target")))).alias("e")).select("cluster_id", "e.*")
+    return history.placed(nodes, links).select("cluster_id", "at", "level")
+
+
+def card_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a card says that a decision did."""
+    d = tax.dim_treatment(spark)
+    c = history.card_labels(F.col("label"), F.col("ord") % 2 == 0)
+    return d.select("label", c["treatment"].alias("treatment"), c["defined_as"].alias("defined_as"))
+
+
+QUERIES |= {f.__name__: f for f in (case_groups, canonical_courts, authority_names, page_links, list_clamps, lead_cards, below_entries, act_verbs, court_typeahead, citing_scope, last_counts, levels_placed, card_labels)}
