@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from juriscope.functions.literals import array_of, map_of
+
 # Category, display, jurisdiction, in display order.
 CATEGORIES = [
     ("scotus", "U.S. Supreme Court", "federal"),
@@ -95,17 +97,17 @@ def jurisdiction(category: Column) -> Column:
 def state(court: Column, category: Column, display: Column) -> Column:
     """The state that a court sits in: by hand, none for federal appellate
     courts, else the longest name or abbreviation within its display."""
-    names = F.array(*map(F.lit, sorted(STATES, key=len, reverse=True)))
+    names = array_of(sorted(STATES, key=len, reverse=True))
     named = F.get(F.filter(names, lambda n: F.contains(display, n)), F.lit(0))
-    by_hand = F.element_at(F.create_map(*[F.lit(x) for p in COURT_STATE.items() for x in p]), court)
+    by_hand = F.element_at(map_of(COURT_STATE.items()), court)
     return F.coalesce(by_hand, F.when(F.coalesce(category, F.lit("")).isin("scotus", "circuit"), ""), named, _shorts(display))
 
 
 def _shorts(display: Column) -> Column:
     """The state of the longest abbreviation in ``display``, the first listed of equal ones."""
     shorts = sorted(STATE_SHORT, key=len, reverse=True)
-    hit = F.get(F.filter(F.array(*map(F.lit, shorts)), lambda n: F.contains(display, n)), F.lit(0))
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in STATE_SHORT.items() for x in p]), hit), F.lit(""))
+    hit = F.get(F.filter(array_of(shorts), lambda n: F.contains(display, n)), F.lit(0))
+    return F.coalesce(F.element_at(map_of(STATE_SHORT.items()), hit), F.lit(""))
 
 
 def with_state(courts: DataFrame) -> DataFrame:
@@ -136,8 +138,8 @@ def registered(payloads: DataFrame) -> DataFrame:
     """(court, display, level, category, last_resort) of every court that payloads
     name; ``load_ord`` tells which payload comes first."""
     first = payloads.filter("court <> ''").groupBy("court").agg(F.min_by(F.struct("court_full_name", "court_short_name", "court_jurisdiction"), "load_ord").alias("p"))
-    pick = lambda rows, i: F.element_at(F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[i])]), F.col("court"))
-    code = lambda i, default: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for r in CLASSES for x in (r[0], r[i])]), F.coalesce("p.court_jurisdiction", F.lit(""))), F.lit(default))
+    pick = lambda rows, i: F.element_at(map_of((r[0], r[i]) for r in rows), F.col("court"))
+    code = lambda i, default: F.coalesce(F.element_at(map_of((r[0], r[i]) for r in CLASSES), F.coalesce("p.court_jurisdiction", F.lit(""))), F.lit(default))
     circuit = F.col("court").isin(CIRCUITS)
     by_hand = F.col("court").isin([n[0] for n in NAMED_COURTS]) | circuit
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
@@ -169,11 +171,11 @@ def court_picker(courts: DataFrame) -> DataFrame:
     for i, (_, _, categories) in enumerate(TABS):
         tab = F.when(F.col("category").isin(categories), i).otherwise(tab)
     c = c.withColumn("tab_ord", tab)
-    shown = F.element_at(F.create_map(*[F.lit(x) for k, d, _ in CATEGORIES for x in (k, d)]), F.col("category"))
+    shown = F.element_at(map_of((k, d) for k, d, _ in CATEGORIES), F.col("category"))
     c = c.withColumn("group_name", F.when(F.col("tab_ord") == 0, shown).when(F.col("tab_ord") == len(TABS), OTHER_GROUP).otherwise(F.coalesce(F.nullif("state", F.lit("")), F.lit(OTHER_GROUP))))
-    place = F.array_position(F.array(*[F.lit(k) for k, _, _ in CATEGORIES]), F.col("category"))
+    place = F.array_position(array_of(k for k, _, _ in CATEGORIES), F.col("category"))
     group_key = F.when(F.col("tab_ord") == 0, F.format_string("%03d", place)).otherwise(F.concat(F.when(F.col("group_name") == OTHER_GROUP, "1").otherwise("0"), "group_name"))
-    circuit = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, CIRCUITS)), F.col("court")), F.lit(0)), F.lit(99))
+    circuit = F.coalesce(F.nullif(F.array_position(array_of(CIRCUITS), F.col("court")), F.lit(0)), F.lit(99))
     other = F.col("tab_ord") == len(TABS)
     in_tab, in_group = Window.partitionBy("tab_ord"), Window.partitionBy("tab_ord", "group_name")
     name = lambda i, last: F.get(F.array(*[F.lit(t[i]) for t in TABS], F.lit(last)), F.col("tab_ord"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from juriscope.functions.literals import array_of, map_of
+
 # Label, severity tier, direct history, needs a higher court or the same one, active voice.
 TREATMENTS = [
     ("Reversed by", "Stop", True, True, "Reverses"),
@@ -77,7 +79,7 @@ def dim_treatment(spark: SparkSession) -> DataFrame:
 
 
 def _lookup(values: dict[str, str], key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
+    return F.element_at(map_of(values.items()), key)
 
 
 def is_recognized(label: Column) -> Column:  # L1
@@ -111,7 +113,7 @@ def recorded_severity(label: Column, recorded: Column) -> Column:
 
 def rank(tier: Column) -> Column:
     """0 for the most serious tier, 4 for unknown ones."""
-    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TIERS)), F.coalesce(tier, F.lit(""))), F.lit(0)) - 1, F.lit(4)).cast("int")
+    return F.coalesce(F.nullif(F.array_position(array_of(TIERS), F.coalesce(tier, F.lit(""))), F.lit(0)) - 1, F.lit(4)).cast("int")
 
 
 def active(label: Column) -> Column:  # L8
@@ -124,11 +126,11 @@ def recognizes(label: Column) -> Column:  # L9
 
 
 def direction(label: Column) -> Column:  # E4
-    return F.when(is_recognized(label), "Related Reference").when(label.isin(DIRECT), "Direct History").otherwise("Citing Reference")
+    return F.when(is_recognized(label), "Related Reference").when(F.array_contains(array_of(DIRECT), label), "Direct History").otherwise("Citing Reference")
 
 
 def is_direct(label: Column) -> Column:  # P9
-    return base(label).isin(DIRECT)
+    return F.array_contains(array_of(DIRECT), base(label))
 
 
 def has_evidence(label: Column) -> Column:  # P7

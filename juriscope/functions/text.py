@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from juriscope.functions import taxonomy
+from juriscope.functions.literals import array_of, map_of
 
 # A procedural tag at the end of an authority's name.
 ROLE_TAG = (
@@ -132,7 +133,7 @@ def excerpt(paragraphs: Column) -> Column:
 
 def case_name_words(x: Column) -> Column:  # T15
     words = F.regexp_extract_all(F.lower(or_empty(x)), F.lit("[a-z]+"), F.lit(0))
-    return F.filter(F.array_except(words, F.array(*map(F.lit, STOP_WORDS))), lambda w: F.length(w) > 2)
+    return F.filter(F.array_except(words, array_of(STOP_WORDS)), lambda w: F.length(w) > 2)
 
 
 def clean_authority_name(x: Column) -> Column:  # P5
@@ -180,7 +181,7 @@ def disposition_treatment(label: Column, text: Column) -> Column:
     label, text = F.trim(or_empty(label)), F.trim(or_empty(text))
     treatment = F.concat(label, F.lit(" by"))
     as_struct = lambda t, s, x: F.struct(t.alias("treatment"), s.alias("severity"), x.alias("text"))
-    named = treatment.isin(taxonomy.LABELS)
+    named = F.array_contains(array_of(taxonomy.LABELS), treatment)
     ordered = (text != "") | ~label.isin("", "None", "Other")
     return F.when(named, as_struct(treatment, taxonomy.severity(treatment), F.lit(""))).when(ordered, as_struct(F.lit("Ordered by"), F.lit("Neutral"), F.coalesce(filled(text), label)))
 
@@ -215,8 +216,8 @@ def canonical_court(x: Column, scotus_display: str = "Supreme Court of the Unite
     prose = F.trim(F.regexp_replace(or_empty(x), r"\s+", " "))
     low = F.lower(prose)
     word = F.regexp_replace(F.regexp_extract(low, CIRCUIT, 1), r"\s+", " ")
-    court = F.element_at(F.create_map(*[F.lit(v) for p in CIRCUIT_WORDS.items() for v in p]), word)
-    known = F.element_at(F.create_map(*[F.lit(v) for p in (displays or {"": ""}).items() for v in p]), court)
+    court = F.element_at(map_of(CIRCUIT_WORDS.items()), word)
+    known = F.element_at(map_of((displays or {"": ""}).items()), court)
     name = F.coalesce(filled(known), F.concat(F.lit("Court of Appeals for the "), F.initcap(F.regexp_replace(word, r"d\.c\.", "d.c.")), F.lit(" Circuit")))
     name = F.when(word.isin("d.c.", "d. c."), F.coalesce(filled(known), F.concat(F.lit("Court of Appeals for the "), F.upper(word), F.lit(" Circuit")))).otherwise(name)
     pair = lambda a, b: F.struct(a.alias("court"), b.alias("name"))

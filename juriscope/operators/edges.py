@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from juriscope.functions import courts as court_fn
 from juriscope.functions import taxonomy as tax
+from juriscope.functions.literals import array_of
 from juriscope.functions.text import filled, or_empty
 
 EDGE = ["edge_ord", "citing", "cited", "treatment", "source", "expert_treatment", "quote", "rationale", "acting_case", "authority_n", "n_mentions", "scope"]
@@ -72,7 +73,7 @@ def _side(opinions: DataFrame, courts: DataFrame, side: str) -> DataFrame:
 
 def verdict() -> Column:
     """E2 on joined edges: the first check that fails, or ok."""
-    direct, vertical = F.col("treatment").isin(tax.DIRECT), F.col("treatment").isin(tax.VERTICAL)
+    direct, vertical = F.array_contains(array_of(tax.DIRECT), F.col("treatment")), F.array_contains(array_of(tax.VERTICAL), F.col("treatment"))
     return (
         F.when(F.col("citing_court").isNull() | F.col("cited_court").isNull(), "unknown_cluster")
         .when(F.col("citing_level").isNull() | F.col("cited_level").isNull(), "unknown_level")
@@ -105,7 +106,7 @@ def tallies(views: DataFrame) -> DataFrame:
 def direct_history(edges: DataFrame) -> DataFrame:
     """E5: (actor, target, links): direct acts of each pair, most serious first."""
     link = F.struct(tax.rank(tax.severity(F.col("treatment"))).alias("rank"), "edge_ord", "treatment", tax.severity(F.col("treatment")).alias("severity"), or_empty(F.col("quote")).alias("quote"))
-    pairs = edges.filter(F.col("treatment").isin(tax.DIRECT)).groupBy(F.col("citing").alias("actor"), F.col("cited").alias("target"))
+    pairs = edges.filter(F.array_contains(array_of(tax.DIRECT), F.col("treatment"))).groupBy(F.col("citing").alias("actor"), F.col("cited").alias("target"))
     return pairs.agg(F.transform(F.array_sort(F.collect_list(link)), lambda x: F.struct(x["treatment"].alias("treatment"), x["severity"].alias("severity"), x["quote"].alias("quote"))).alias("links"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from juriscope.functions import taxonomy as tax
+from juriscope.functions.literals import array_of
 
 #: The columns that fix the order of line items; rows equal in all of them are the same row.
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -46,7 +47,7 @@ def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _label() -> Column:
-    return F.element_at(F.array(*map(F.lit, tax.LABELS)), ((F.col("l_linenumber") + F.col("l_suppkey")) % 20 + 1).cast("int"))
+    return F.element_at(array_of(tax.LABELS), ((F.col("l_linenumber") + F.col("l_suppkey")) % 20 + 1).cast("int"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
