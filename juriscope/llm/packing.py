@@ -225,7 +225,7 @@ class _Rows:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, open_windows: int = 64, merge_parts: int = 64, id_col: str = "doc_id", text_col: str = "text", batch_rows: int = 512) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, open_windows: int = 64, merge_parts: int = 4, id_col: str = "doc_id", text_col: str = "text", batch_rows: int = 512) -> DataFrame:
     """One row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset
     and ids (little-endian 32-bit). ``tokenizer`` is the path of a tokenizers file."""
     open_fields = [*_FIELDS, ("open", pa.bool_())]
