@@ -23,7 +23,7 @@ base AS (
   FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_line_words >= 0.5 * n_words AND n_words - n_line_words >= 20 AS kept, n_line_words
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_line_words >= 0.5 * n_words AS kept, n_line_words
 FROM base
 """
 

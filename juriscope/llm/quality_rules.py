@@ -6,7 +6,7 @@ collapsed, lower case) and hashed, and distinct documents are counted for each
 host and line.  A line of ``line_chars`` normalised characters or more that is in
 over ``line_share`` of its host's documents, and in over ``line_floor`` of them,
 is boilerplate and is taken out.  A document left with less than ``least_left``
-of its words, or with fewer than ``min_words``, is depleted and rejected.
+of its words is depleted and rejected.
 Documents are told apart by their text here, so that a page crawled a thousand
 times does not turn its own prose into boilerplate; dropping copies is the work
 of the near-duplicate operators.
@@ -88,7 +88,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     whole = whole.withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("long")))
     whole = whole.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     left = F.col("n_words") - F.col("n_line_words")
-    return whole.withColumn("kept", ~F.col("base_failed") & (left >= least_left * F.col("n_words")) & (left >= min_words))
+    return whole.withColumn("kept", ~F.col("base_failed") & (left >= least_left * F.col("n_words")))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **rules) -> DataFrame:
