@@ -165,12 +165,12 @@ def test_quality_rules(odd_docs, odd_rows, no_docs, spark):
 def test_boilerplate_goes_by_host(spark):
     menu = "Home | About us | Contact our team | Sign in"
     rows = [(i, f"{menu}\n" + " ".join(f"w{i}x{k}" for k in range(40)), "a" if i < 30 else "b") for i in range(40)]
-    rows += [(100 + i, f"{menu}\n{menu}\n" + " ".join(f"v{i}x{k}" for k in range(15)), "a") for i in range(2)]
+    rows += [(100 + i, f"{menu}\n" + " ".join(f"v{i}x{k}" for k in range(9)), "a") for i in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     verdicts = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
-    assert verdicts[0].n_line_words == 10 and verdicts[0].kept
+    assert verdicts[0].n_line_words == 11 and verdicts[0].kept
     assert verdicts[35].n_line_words == 0 and verdicts[35].kept  # ten documents of host b are under the floor
-    assert verdicts[100].n_line_words == 20 and not verdicts[100].kept and not verdicts[100].base_failed
+    assert verdicts[100].n_line_words == 11 and not verdicts[100].kept and not verdicts[100].base_failed
     cleaned = {r.doc_id: r.text for r in quality_rules.clean(docs).collect()}
     assert menu not in cleaned[0] and menu in cleaned[35] and 100 not in cleaned
 
