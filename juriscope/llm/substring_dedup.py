@@ -38,7 +38,7 @@ from juriscope.llm.common import parts_for, text_blocks
 from juriscope.llm.hashing import find_words, inside_texts, window_hashes, word_hashes
 
 #: Bytes of input (as stored) of a part, and of packed hashes that a bucket's task sorts.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 NO_DOC = np.int64(2**63 - 1)
 
 
