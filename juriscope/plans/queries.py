@@ -501,7 +501,7 @@ def last_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def levels_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels of nodes that have none, a level under or over their neighbours."""
-    o = _orders(spark, sf_dir).filter("k % 4 = 0")
+    o = _orders(spark, sf_dir)
     k = F.col("k")
     node = lambda at, role, level, acting: F.struct(F.lit(at).alias("at"), F.lit(role).alias("role"), level.cast("int").alias("level"), F.lit(acting).alias("acting_case"), F.lit("").alias("court"))
     nodes = o.select(k.alias("cluster_id"), F.explode(F.array(node(0, "self", k % 3 + 1, ""), node(1, "below", F.lit(99), ""), node(2, "reported", F.lit(99), "a court"), node(3, "reported", F.lit(99), "the United States Supreme Court"))).alias("n")).select("cluster_id", "n.*")
