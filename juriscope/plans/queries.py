@@ -246,8 +246,8 @@ def drawn_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _views(spark, sf_dir)
     pairs = _direct(spark, sf_dir)
     reports = history.unrecorded_reports(edges.reported_acts(v).withColumn("target", F.col("cited")), pairs)
-    seeds = data.opinions(spark, sf_dir).filter("tier = 'anchor'").select("cluster_id")
-    chains = history.reach_sql(spark, pairs.select("actor", "target")).join(seeds, "cluster_id", "left_semi")
+    seeds = data.opinions(spark, sf_dir).select("cluster_id")  # a chain may be its seed alone
+    chains = history.reach_sql(spark, pairs.select("actor", "target"))
     m = history.members(chains, seeds, data.opinions(spark, sf_dir), data.courts(spark, sf_dir))
     return history.drawn_reports(reports, m).select("cluster_id", "target", "citing", "court", F.size("treatments").alias("n"))
 
