@@ -67,3 +67,10 @@ def test_stage_drops_copies_of_similarity_0_8(spark):
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.near(spark, docs, "").orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_another_text_of_a_repeated_id_stays(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, text("a")), (7, text("a")), (7, text("b"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert bag(corpus_pipeline.near(spark, docs, ""), "doc_id", "text") == Counter([rows[0], rows[2]])
