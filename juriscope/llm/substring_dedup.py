@@ -1,27 +1,32 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-Level 1 looks at windows of ``seed`` words, about half the length sought, and
-only at each text's minimizers: every window of ``window`` words holds a run of
-seeds, and the one with the least hash stands for it, so equal windows always
-have equal seeds while only one seed in four is looked at.  Windows whose seed is
-in one document alone go.  The survivors are extended to twice the length, at
-most to ``window``, hashed anew and looked up again.  ``window`` is the last level,
-as a repeat of any greater length is made of repeated windows of this one and
-could take out no further word.
-
-Layout: documents are dealt by id into parts of bounded size.  Within a part
-every distinct hash counts once, with its smallest document; a level sends those
-hashes, packed by bucket, to the bucket's task and gets back the ones that other
-parts hold too, with the smallest document of all.  A window in a third of all
-documents therefore is one row of each part.  Texts are shuffled once; all levels
-read that exchange.  Nothing is collected to the driver.
+Levels are window lengths, each at most twice the one before: 4, 7 and 13 words
+for windows of 13.  A level looks at the windows that are left and sends, of each,
+the ``length``-word window with the least hash that it holds: equal windows have
+equal ones, and at the first level only one word place in six is sent.  Windows
+whose one is in a single document go; those repeated are extended to the next
+length, hashed anew and looked up again, until no candidates survive: a part of
+the documents without one is done at once.  ``window`` is the last level, as a
+repeat of any greater length is made of repeated windows of this one and could
+take out no further word.
+
+Layout: documents are dealt by id and text into parts of bounded size, as many as
+the input asks for.  Within a part every distinct hash counts once, with its smallest
+document; a level sends those hashes, packed by bucket, to the bucket's task and gets
+back the ones that other parts hold too, at the last level with the smallest document
+of all.  A window in a third of all documents therefore is one row of each part.  A
+row holds the hashes of one part and bucket; there are never more rows than hashes.
+Texts are shuffled once; all levels read that exchange.  Nothing is collected to the
+driver.
 
 Defined results: null and empty texts have no words and become empty; a text
 shorter than a window loses nothing; rows that repeat an id are one document and
 don't take words from each other; rows with a null id pass whole (their words
 joined by one space) and take nothing from others; an empty table gives an empty
-table.  Hashes have 64 bits for seeds, where a collision costs only time, and 96
-bits for windows.
+table; other columns pass whatever their names, but for n_words, n_removed and
+spans, which are replaced.  Hashes have 64 bits at all levels but the last, where a
+collision costs only time, and 96 bits at the last; words enter whole or by a digest
+of 128 bits.
 """
 
 from __future__ import annotations
@@ -33,35 +38,49 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from juriscope.llm.common import parts_for, text_blocks
+from juriscope.llm.common import carried, parts_for, quoted, restored, schema_of, text_blocks, text_bytes
 from juriscope.llm.hashing import find_words, inside_texts, window_hashes, word_hashes
 
-#: Bytes of input (as stored) of a part, and of packed hashes that a bucket's task sorts.
-PART_BYTES = 2 << 20
+#: Bytes of text of a part; a bucket's task sorts about as many bytes of packed hashes.
+PART_BYTES = 3 << 20
 NO_DOC = np.int64(2**63 - 1)
 
 
+def levels(window: int, least: int = 4) -> list[int]:
+    """The lengths up to ``window``, each at most twice the one before, the first about ``least``."""
+    out = [window]
+    while out[0] > least:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
 class Windows:
-    """The windows of one block of texts: seeds that stand for them, hashes, documents."""
+    """The windows of one block of texts: where they start, in which document."""
 
-    def __init__(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int, seed: int):
+    def __init__(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int):
         self.data, (self.starts, self.stops, self.firsts) = data, find_words(data, offsets)
-        self.window, n = window, max(0, len(self.starts) - window + 1)
+        self.window = window
         self.words = word_hashes(data, self.starts, self.stops)
-        run = window - seed + 1
-        hashes = window_hashes(self.words, seed)
-        least = hashes[:n].copy()
-        for k in range(1, run):
-            np.minimum(least, hashes[k : k + n], out=least)
-        self.at = np.flatnonzero(inside_texts(self.firsts, window, n))
+        self.at = np.flatnonzero(inside_texts(self.firsts, window, max(0, len(self.starts) - window + 1)))
         text = np.repeat(np.arange(len(ids)), np.diff(self.firsts))
         self.doc = ids[text[self.at]]
         self.at, self.doc = self.at[self.doc != NO_DOC], self.doc[self.doc != NO_DOC]
-        self.seeds = least[self.at]
+
+    def seeds(self, length: int, keep: np.ndarray | None = None) -> np.ndarray:
+        """Of every window (or those at ``keep``) the least hash of ``length`` words in it."""
+        least, n = window_hashes(self.words, length), 1
+        run = self.window - length + 1
+        while n < run:
+            step = min(n, run - n)
+            least, n = np.minimum(least[: len(least) - step], least[step:]), n + step
+        return least[self.at if keep is None else self.at[keep]]
 
     def hashes(self, length: int, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Both hashes of the windows at ``self.at[keep]``, of ``length`` words."""
+        if not len(keep):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         other = word_hashes(self.data, self.starts, self.stops, 1)
         at = self.at[keep]
         return window_hashes(self.words, length)[at], (window_hashes(other, length, 1)[at] >> np.uint64(32)).astype(np.uint32)
@@ -71,10 +90,10 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.fill_null(int(NO_DOC)).to_numpy().astype(np.int64)
 
 
-def _blocks(table: pa.Table, window: int, seed: int) -> Iterator[tuple[int, int, Windows]]:
+def _blocks(table: pa.Table, window: int) -> Iterator[tuple[int, int, Windows]]:
     ids = _ids(table.column("_id"))
     for start, stop, data, offsets in text_blocks(table.column("_text")):
-        yield start, stop, Windows(ids[start:stop], data, offsets, window, seed)
+        yield start, stop, Windows(ids[start:stop], data, offsets, window)
 
 
 def _owners(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,48 +141,67 @@ def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, sorted_keys[at] == keys
 
 
-def _seeds_of(blocks: list[Windows]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct seeds of a part, sorted, their smallest documents, whether they have two."""
-    seeds, doc = [], []
-    for w in blocks:
-        new = np.ones(len(w.seeds), bool)
-        new[1:] = (w.seeds[1:] != w.seeds[:-1]) | (w.doc[1:] != w.doc[:-1])
-        seeds.append(w.seeds[new])
-        doc.append(w.doc[new])
-    seeds, doc = np.concatenate([np.zeros(0, np.uint64), *seeds]), np.concatenate([np.zeros(0, np.int64), *doc])
-    one, least, many = _owners([seeds], doc)
-    return seeds[one], least, many
-
-
-def _candidates(blocks: list[Windows], survivors: np.ndarray, length: int):
-    """Hashes, documents and places of the windows whose seed survived."""
-    seeds, _, many = _seeds_of(blocks)
-    alive = np.union1d(seeds[many], survivors)
-    kept = [np.flatnonzero(_found(alive, w.seeds)[1]) for w in blocks]
+def _seeds_of(seeds: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct seeds of a part, sorted, and whether they have two documents or more."""
+    first = []
+    for x, doc in zip(seeds, docs, strict=True):
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])
+        first.append(new)
+    found = np.concatenate([np.zeros(0, np.uint64), *[x[new] for x, new in zip(seeds, first, strict=True)]])
+    doc = np.concatenate([np.zeros(0, np.int64), *[x[new] for x, new in zip(docs, first, strict=True)]])
+    one, _, many = _owners([found], doc)
+    return found[one], many
+
+
+def _kept(blocks: list[Windows], length: int, survivors: np.ndarray) -> list[np.ndarray]:
+    """Which windows of each block are repeated at ``length``: in another part, as the
+    sorted ``survivors`` tell, or in two documents of this one."""
+    seeds = [w.seeds(length) for w in blocks]
+    found, many = _seeds_of(seeds, [w.doc for w in blocks])
+    alive = np.union1d(found[many], survivors)
+    return [np.flatnonzero(_found(alive, x)[1]) for x in seeds]
+
+
+def _candidates(blocks: list[Windows], kept: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and documents of the windows at ``kept``."""
     hashes = [w.hashes(length, k) for w, k in zip(blocks, kept, strict=True)]
     high = np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in hashes]])
     low = np.concatenate([np.zeros(0, np.uint32), *[h for _, h in hashes]])
-    doc = np.concatenate([np.zeros(0, np.int64), *[w.doc[k] for w, k in zip(blocks, kept, strict=True)]])
-    return kept, high, low, doc
+    return high, low, np.concatenate([np.zeros(0, np.int64), *[w.doc[k] for w, k in zip(blocks, kept, strict=True)]])
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, seed: int | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, least: int = 4) -> DataFrame:
     """``docs`` with every word taken out of ``text_col`` that a window covers whose
     words also start in a document of a smaller id; the words left are joined by one
     space. Adds (or replaces) n_words, n_removed and spans, the words [start, stop)
-    that went."""
-    seed = seed or (window + 1) // 2
-    parts = parts_for(docs, PART_BYTES)
-    place = F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(parts)).cast("int")
-    others = [c for c in docs.columns if c != text_col]
-    row = F.struct(*[F.col(f"`{c}`") for c in others])
-    dealt = docs.select(place.alias("_part"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), row.alias("_row"))
-    result = f"_row {dealt.schema['_row'].dataType.simpleString()}, _text string, n_words bigint, n_removed bigint, spans array<struct<start:int,stop:int>>"
-
-    def seeds(key: tuple, table: pa.Table) -> pa.Table:
-        found, least, many = _seeds_of([w for _, _, w in _blocks(table, window, seed)])
+    that went. The first level has windows of about ``least`` words."""
+    key, text = F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string")
+    parts = parts_for(text_bytes(docs, text), PART_BYTES)
+    place = F.pmod(F.xxhash64(key, text), F.lit(parts)).cast("int")
+    # The text travels by itself, not in the row.
+    rest = docs.withColumn(text_col, F.lit(None).cast("string"))
+    dealt = docs.select(place.alias("_part"), key.cast("long").alias("_id"), F.coalesce(text, F.lit("")).alias("_text"), carried(rest).alias("_row"))
+    span_type = "array<struct<start:int,stop:int>>"
+    result = schema_of(dealt.select("_row", "_text"), n_words="long", n_removed="long", spans=StructType.fromDDL(f"x {span_type}")["x"].dataType)
+
+    def first(key: tuple, table: pa.Table) -> pa.Table:
+        blocks = [w for _, _, w in _blocks(table, window)]
+        found, _ = _seeds_of([w.seeds(lengths[0]) for w in blocks], [w.doc for w in blocks])
         return _packed(key[0].as_py(), parts, found, key=found)
 
+    def extended(shorter: int, length: int):
+        """From what is repeated at one length to the seeds of the next."""
+
+        def run(key: tuple, table: pa.Table, survivors: pa.Table) -> pa.Table:
+            blocks = [w for _, _, w in _blocks(table, window)]
+            kept = _kept(blocks, shorter, np.sort(_joined(survivors.column("key"), np.uint64)))
+            full = [(w, k) for w, k in zip(blocks, kept, strict=True) if len(k)]
+            found, _ = _seeds_of([w.seeds(length, k) for w, k in full], [w.doc[k] for w, k in full])
+            return _packed(key[0].as_py(), parts, found, key=found)
+
+        return run
+
     def shared_seeds(key: tuple, table: pa.Table) -> pa.Table:
         """Seeds of a bucket that two parts or more hold, for each of those parts."""
         part = np.repeat(table.column("part").to_numpy(), [len(x) // 8 for x in table.column("key").to_pylist()])
@@ -176,10 +214,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return _grouped("part", part[twice], key=found[twice])
 
     def windows(key: tuple, table: pa.Table, survivors: pa.Table) -> pa.Table:
-        blocks = [w for _, _, w in _blocks(table, window, seed)]
-        _, high, low, doc = _candidates(blocks, np.sort(_joined(survivors.column("key"), np.uint64)), window)
-        one, least, _ = _owners([high, low], doc)
-        return _packed(key[0].as_py(), parts, high[one], high=high[one], low=low[one], doc=least)
+        blocks = [w for _, _, w in _blocks(table, window)]
+        kept = _kept(blocks, lengths[-1], np.sort(_joined(survivors.column("key"), np.uint64)))
+        high, low, doc = _candidates(blocks, kept, window)
+        one, owner, _ = _owners([high, low], doc)
+        return _packed(key[0].as_py(), parts, high[one], high=high[one], low=low[one], doc=owner)
 
     def owners(key: tuple, table: pa.Table) -> pa.Table:
         """For each part that holds a window of a smaller document of another part: its hash and that document."""
@@ -195,8 +234,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def remove(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         survivors, replies = (replies.filter(pyarrow.compute.is_valid(replies.column(c))) for c in ("key", "high"))
-        blocks = list(_blocks(table, window, seed))
-        kept, high, low, doc = _candidates([w for _, _, w in blocks], np.sort(_joined(survivors.column("key"), np.uint64)), window)
+        blocks = list(_blocks(table, window))
+        kept = _kept([w for _, _, w in blocks], lengths[-1], np.sort(_joined(survivors.column("key"), np.uint64)))
+        high, low, doc = _candidates([w for _, _, w in blocks], kept, window)
         far = [_joined(replies.column(c), k) for c, k in (("high", np.uint64), ("low", np.uint32), ("doc", np.int64))]
         order = np.lexsort([doc, low, high])
         one, least, _ = _owners([np.concatenate([high, far[0]]), np.concatenate([low, far[1]])], np.concatenate([doc, far[2]]))
@@ -235,13 +275,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         return pa.table({"_row": table.column("_row"), "_text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, span)})
 
-    first = dealt.groupBy("_part").applyInArrow(seeds, "bucket long, part long, key binary")
-    alive = first.groupBy("bucket").applyInArrow(shared_seeds, "part long, key binary")
+    *lengths, _ = levels(window, least)
+    lengths = lengths or [window]
     none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
-    alive = alive.select(F.col("part").cast("int").alias("_part"), "key", *none("high", "low", "doc"))
-    second = dealt.groupBy("_part").cogroup(alive.groupBy("_part")).applyInArrow(windows, "bucket long, part long, high binary, low binary, doc binary")
-    owned = second.groupBy("bucket").applyInArrow(owners, "part long, high binary, low binary, doc binary")
+    sent = dealt.groupBy("_part").applyInArrow(first, "bucket long, part long, key binary")
+    for shorter, length in zip([None, *lengths], lengths, strict=False):
+        if shorter:
+            sent = dealt.groupBy("_part").cogroup(alive.groupBy("_part")).applyInArrow(extended(shorter, length), "bucket long, part long, key binary")  # noqa: F821
+        alive = sent.groupBy("bucket").applyInArrow(shared_seeds, "part long, key binary")
+        alive = alive.select(F.col("part").cast("int").alias("_part"), "key", *none("high", "low", "doc"))
+    last = dealt.groupBy("_part").cogroup(alive.groupBy("_part")).applyInArrow(windows, "bucket long, part long, high binary, low binary, doc binary")
+    owned = last.groupBy("bucket").applyInArrow(owners, "part long, high binary, low binary, doc binary")
     replies = alive.unionByName(owned.select(F.col("part").cast("int").alias("_part"), *none("key"), "high", "low", "doc"))
     done = dealt.groupBy("_part").cogroup(replies.groupBy("_part")).applyInArrow(remove, result)
-    own = ("n_words", "n_removed", "spans")
-    return done.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in own], *own)
+    return done.select(*restored(docs.columns, "_row", **{text_col: "_text"}, n_words="n_words", n_removed="n_removed", spans="spans"))

@@ -79,6 +79,21 @@ def test_texts_without_a_window(spark):
     assert bag(substring_dedup.dedup_substrings(docs), "text", "n_words", "n_removed") == {("few words only", 3, 0): 5}
 
 
+def test_words_that_sums_of_powers_confuse(spark):
+    thue = ["a"]
+    for _ in range(12):
+        thue = thue + ["b" if c == "a" else "a" for c in thue]
+    one = "".join(thue)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{one} {rest}")], "doc_id long, text string")
+    assert bag(substring_dedup.dedup_substrings(docs), "doc_id", "n_removed") == Counter([(1, 0), (2, 0), (3, 13)])
+
+
+def test_levels_double():
+    assert substring_dedup.levels(13) == [4, 7, 13] and substring_dedup.levels(4) == [4] and substring_dedup.levels(50, 5) == [4, 7, 13, 25, 50]
+
+
 def slow_fingerprint(text):
     import xxhash
 
