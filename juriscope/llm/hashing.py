@@ -75,7 +75,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, family:
 
 def _both(first: np.ndarray, second: np.ndarray, family: int) -> np.ndarray:
     a, b, c = map(np.uint64, _ODD[family])
-    return mix((first + c) * a + mix(second * b))
+    x = first * a
+    x += (second ^ c) * b
+    return mix(x)
 
 
 def window_hashes(words: np.ndarray, length: int, family: int = 0) -> np.ndarray:

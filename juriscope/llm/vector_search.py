@@ -9,11 +9,16 @@ best exact score exceeds every bound left; ties of the kth score are read too,
 as the smaller id wins.  The query set meets every block, blocks of queries
 against blocks of rows; the k best of each block are merged by a ranked window.
 
-Scores are inner products of integer vectors, exact in 64 bits.  Defined results:
-vectors that are null, empty, or hold null or non-finite components take no part;
-neither do rows with a null id; components beyond 2**26 after scaling are held at
-it; only vectors of one length are compared; rows that repeat an id are one row
-each, but a query finds no row of its own id; fewer than k candidates give all.
+Scores are inner products of whole numbers and exact at every size: components are
+doubles, which hold floor(scale * x) as it is; products are taken in doubles where
+all of a block's sums stay below 2**53, else in 64-bit integers, else in Python's.
+A score among the k best that a long can't hold is an error, never a wrong number.
+
+Defined results: vectors that are null, empty, or hold null or non-finite components
+take no part (nor do those whose component scales to infinity); neither do rows with
+a null id; only vectors of one length are compared; rows that repeat an id are one
+row each, but a query finds no row of its own id; fewer than k candidates give all;
+an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,9 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from juriscope.llm.common import parts_for
-
-LIMIT = 1 << 26
+from juriscope.llm.common import parts_for, quoted
 
 
 def _blobs(rows: DataFrame, id_col: str, vector_col: str, scale: float, block_rows: int, blocks: int) -> DataFrame:
@@ -53,8 +56,10 @@ def _blobs(rows: DataFrame, id_col: str, vector_col: str, scale: float, block_ro
             for dim in np.unique(sizes).tolist():
                 mine = np.flatnonzero(sizes == dim)
                 x = flat[first[mine][:, None] + np.arange(dim)]
+                with np.errstate(over="ignore"):
+                    x = np.floor(scale * x.astype(np.float64))
                 good = np.isfinite(x).all(axis=1)
-                x = np.clip(np.floor(scale * x[good].astype(np.float64)), -LIMIT, LIMIT).astype(np.int32)
+                x = x[good]
                 mine = mine[good]
                 for i in range(0, len(mine), block_rows):
                     held.setdefault(dim, []).append((ids[mine[i : i + block_rows]].astype(np.int64), x[i : i + block_rows]))
@@ -65,86 +70,97 @@ def _blobs(rows: DataFrame, id_col: str, vector_col: str, scale: float, block_ro
                 close(dim)
         yield pa.RecordBatch.from_pydict(out, pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
 
-    whole = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
+    whole = rows.select(F.col(quoted(id_col)).cast("long").alias("id"), F.transform(F.col(quoted(vector_col)), lambda x: x.cast("double")).alias("v"))
     whole = whole.filter("id is not null and size(v) > 0 and not exists(v, x -> x is null)")
     return whole.mapInArrow(run, "dim int, block int, ids binary, vectors binary")
 
 
 def approximate(rows: np.ndarray, cell_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells of the components and, for each dimension, the cells' lower and upper edges."""
-    low, high = rows.min(axis=0).astype(np.float64), rows.max(axis=0).astype(np.float64)
+    low, high = rows.min(axis=0), rows.max(axis=0)
     n = 1 << cell_bits
-    width = np.maximum((high - low + 1) / n, 1.0)
-    cells = np.minimum((rows - low) // width, n - 1).astype(np.uint8)
+    width = np.maximum(high / n - low / n, 1.0) * (1 + 1e-9)
+    cells = np.clip((rows - low) // width, 0, n - 1).astype(np.uint8)
     edges = low + np.arange(n)[:, None] * width
-    return cells, np.floor(edges), np.ceil(edges + width)
+    # Rounding of wide cells must not put a row outside of its own.
+    slack = 1e-12 * np.maximum(np.abs(low), np.abs(high)) + 1e-9 * width
+    return cells, edges - slack, edges + width + slack
 
 
 def bounds(queries: np.ndarray, cells: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of queries x rows inner products from the cells alone."""
     at = np.arange(cells.shape[1])
     lo, hi = lower[cells, at], upper[cells, at]
-    plus, minus = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
+    size = np.abs(queries)
     # Halves of the sums: middle and spread need one product each.
-    middle, spread = queries.astype(np.float64) @ ((lo + hi) / 2).T, (plus - minus) @ ((hi - lo) / 2).T
-    slack = 1e-9 * (np.abs(middle) + spread) + 1e-6
+    middle, spread = queries @ ((lo + hi) / 2).T, size @ ((hi - lo) / 2).T
+    # Rounding is in proportion to the terms, not to their sum.
+    slack = 1e-15 * (len(at) + 4) * (size @ np.maximum(np.abs(lo), np.abs(hi)).T) + 1e-6
     return middle - spread - slack, middle + spread + slack
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, cell_bits: int = 5, step: int = 64):
-    """(query index, id, score) of every query's k best rows of the block, with the
-    number of exact vectors read."""
+def exact_products(rows: np.ndarray, query: np.ndarray):
+    """Exact inner products: doubles or 64-bit integers where they hold them, else Python's integers."""
+    most = np.abs(rows).max(initial=0.0) * np.abs(query).max(initial=0.0) * rows.shape[1]
+    if most < 1 << 53:
+        return (rows @ query).astype(np.int64)
+    if most < 1 << 62:
+        return rows.astype(np.int64) @ query.astype(np.int64)
+    q = list(map(int, query))
+    return np.array([sum(int(a) * b for a, b in zip(row, q, strict=True)) for row in rows], object)
+
+
+def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, cell_bits: int = 5, step: int = 64, known: list | None = None):
+    """The k best (ids, scores) of each query among the block's rows and ``known``, those
+    of earlier blocks, with the number of exact vectors read."""
     cells, lower, upper = approximate(rows, cell_bits)
     low, high = bounds(queries, cells, lower, upper)
     own = query_ids[:, None] == ids[None, :]
     low[own] = high[own] = -np.inf
-    others = (~own).sum(axis=1)
     n, reach = len(ids), min(k, len(ids))
     # No row whose upper bound is under the kth best lower bound can be among the k best.
-    floor = -np.partition(-low, reach - 1, axis=1)[:, reach - 1]
-    wide = rows.astype(np.int64)
-    found, read = [], 0
+    floor = -np.partition(-low, reach - 1, axis=1)[:, reach - 1] if reach == k else np.full(len(queries), -np.inf)
+    best, read = known or [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries), 0
+    out = []
     for q in range(len(queries)):
+        best_ids, scores = best[q]
         some = np.flatnonzero((high[q] >= floor[q]) & ~own[q])
         some = some[np.argsort(-high[q, some], kind="stable")]
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        goal = min(k, others[q])
         for i in range(0, len(some), step):
-            if len(best) >= goal and i and high[q, some[i]] < best[-1]:
+            if len(scores) == k and high[q, some[i]] < float(scores[-1]):
                 break
             part = some[i : i + step]
             read += len(part)
-            best = np.concatenate([best, wide[part] @ queries[q].astype(np.int64)])
+            scores = np.concatenate([scores, exact_products(rows[part], queries[q])])
             best_ids = np.concatenate([best_ids, ids[part]])
-            order = np.lexsort([best_ids, -best])[:k]
-            best, best_ids = best[order], best_ids[order]
-        found.append((np.full(len(best), q), best_ids, best))
-    q, i, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    return q, i, s, read
+            order = np.array(sorted(range(len(scores)), key=lambda j: (-scores[j], best_ids[j])), int)[:k] if scores.dtype == object else np.lexsort([best_ids, -scores])[:k]
+            scores, best_ids = scores[order], best_ids[order]
+        out.append((best_ids, scores))
+    return out, read
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_rows: int = 4096, query_rows: int = 512, cell_bits: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k greatest inner products among ``rows``."""
-    blocks = parts_for(rows, 4 * 64 * block_rows, least=32)
+    blocks = parts_for(rows.count(), 16 * block_rows, least=32)
     base = _blobs(rows, id_col, vector_col, scale, block_rows, blocks).select("dim", "block", F.col("ids").alias("row_ids"), F.col("vectors").alias("row_vectors"))
     asked = _blobs(queries, id_col, vector_col, scale, query_rows, blocks).drop("block")
-    # Each block of queries goes to every block number; rows of a block number meet it there.
+    # Each block of queries goes to every block number, which stands for many rows; the rows
+    # of a block number meet it there, a block at a time, with the kth score so far.
     asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         dim, out = key[0].as_py(), []
         for qi, qv in zip(right.column("ids").to_pylist(), right.column("vectors").to_pylist(), strict=True):
-            q, qx = np.frombuffer(qi, np.int64), np.frombuffer(qv, np.int32).reshape(-1, dim)
+            q, qx, best = np.frombuffer(qi, np.int64), np.frombuffer(qv, np.float64).reshape(-1, dim), None
             for ri, rv in zip(left.column("row_ids").to_pylist(), left.column("row_vectors").to_pylist(), strict=True):
-                at, ids, score, _ = search_block(q, qx, np.frombuffer(ri, np.int64), np.frombuffer(rv, np.int32).reshape(-1, dim), k, cell_bits)
-                out.append((q[at], ids, score))
-        q, i, s = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), (), ())))
-        order = np.lexsort([i, -s, q])
-        q, i, s = q[order], i[order], s[order]
-        first = np.flatnonzero(np.diff(q, prepend=-1 if not len(q) else q[0] - 1))
-        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-        return pa.table({"query_id": q[place < k], "vec_id": i[place < k], "score": s[place < k]})
-
-    near = base.groupBy("dim", "block").cogroup(asked.groupBy("dim", "block")).applyInArrow(run, "query_id long, vec_id long, score long")
+                best, _ = search_block(q, qx, np.frombuffer(ri, np.int64), np.frombuffer(rv, np.float64).reshape(-1, dim), k, cell_bits, known=best)
+            for one, (ids, scores) in zip(q, best or [], strict=False):
+                held = np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in scores], np.int64) if scores.dtype == object else scores
+                out.append((np.full(len(ids), one), ids, held, (held != scores).astype(bool)))
+        q, i, s, beyond = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+        return pa.table({"query_id": q, "vec_id": i, "score": s, "beyond": beyond})
+
+    near = base.groupBy("dim", "block").cogroup(asked.groupBy("dim", "block")).applyInArrow(run, "query_id long, vec_id long, score long, beyond boolean")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    score = F.when(F.col("beyond"), F.raise_error(F.concat(F.lit("a score does not fit 64 bits, query "), "query_id")).cast("long")).otherwise(F.col("score"))
+    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))

@@ -79,13 +79,13 @@ def test_vector_search_is_exact(spark):
     rng = np.random.default_rng(1)
     vectors = [rng.normal(0, 0.2, 8).tolist() for _ in range(700)]
     vectors[10:200] = [vectors[0]] * 190  # a hot vector: ties go to the smaller id
-    rows = list(enumerate(vectors)) + [(700, None), (701, [float("nan")] * 8), (702, [None] + [0.1] * 7), (703, [math.inf] + [0.1] * 7), (704, []), (750, [0.1, 0.2]), (800, [0.3, 0.2]), (None, vectors[3]), (50, vectors[50]), (851, [1e30] * 8)]
+    rows = list(enumerate(vectors)) + [(900, [3e5, 1.0] * 4), (901, [1e6, 1.0] * 4), (950, [5e5, 2.0] * 4), (952, [2e7, -7e6] * 4), (700, None), (701, [float("nan")] * 8), (702, [None] + [0.1] * 7), (703, [math.inf] + [0.1] * 7), (704, []), (750, [0.1, 0.2]), (800, [0.3, 0.2]), (None, vectors[3]), (50, vectors[50])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     got = vector_search.top_k(frame, frame.filter("vec_id % 50 = 0"), k=5, block_rows=64, query_rows=5)
     whole = {}
     for i, v in rows:
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            whole.setdefault(i, []).append([max(-(1 << 26), min(1 << 26, math.floor(256 * float(np.float32(x))))) for x in v])
+            whole.setdefault(i, []).append([math.floor(256 * float(np.float32(x))) for x in v])
     want = Counter()
     for q in {i for i in whole if i % 50 == 0}:
         scores = sorted((-sum(a * b for a, b in zip(whole[q][0], v, strict=True)), i) for i, vs in whole.items() if i != q for v in vs if len(v) == len(whole[q][0]))
@@ -95,12 +95,21 @@ def test_vector_search_is_exact(spark):
     assert vector_search.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_scores_beyond_a_long_are_an_error(spark):
+    frame = spark.createDataFrame([(0, [1e10]), (1, [1e10]), (2, [1e10])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        vector_search.top_k(frame, frame.filter("vec_id = 0")).collect()
+    # Huge negative scores that are not among the best don't matter.
+    frame = spark.createDataFrame([(0, [1e10]), (1, [1.0]), (2, [-1e30]), (3, [2.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in vector_search.top_k(frame, frame.filter("vec_id = 0"), k=2).orderBy("rank").collect()] == [3, 1]
+
+
 def test_vector_search_skips_exact_reads():
     import numpy as np
 
     rng = np.random.default_rng(2)
-    rows = np.floor(256 * rng.normal(0, 0.15, (4096, 64))).astype(np.int32)
-    *_, read = vector_search.search_block(np.arange(20), rows[:20], np.arange(4096), rows, 5, cell_bits=5)
+    rows = np.floor(256 * rng.normal(0, 0.15, (4096, 64)))
+    _, read = vector_search.search_block(np.arange(20), rows[:20], np.arange(4096), rows, 5, cell_bits=5)
     assert read < 0.15 * 20 * 4096
 
 
