@@ -5,21 +5,27 @@ the one whose piece scores sum to the most (of equal ones the one whose last
 piece is longer, at every place).  Characters that no piece covers cost the
 lowest score less ten and are encoded as their UTF-8 bytes' pieces.
 
-The search keeps, for each boundary in a window as long as the longest piece, the
-best score and the backpointer of the path that ends there.  A boundary that all
-of those paths run through can't change any more: ids before it are committed and
-forgotten, so memory is bounded however long the text is.  Where the vocabulary
-itself forces such a boundary (before a blank that follows another character, and
-at line ends, when no piece spans them), the text is divided there beforehand, and
-the ids of pieces of text met before come from a bounded cache.
+The search keeps the best score and the backpointer of the path that ends at each
+boundary, a step of the longest piece's length at a time.  A boundary that all paths
+run through which can still go on can't change any more: its ids are committed and
+everything before it is forgotten, scores of the rest staying relative to it.  What is
+held is the last committed boundary's distance, in practice a few pieces, and work
+grows in proportion to the text, with blanks or without.
+
+Such a boundary starts the search afresh, so what was committed between two of them is
+a function of the characters between and of nothing else.  Where the vocabulary itself
+forces them (before a blank that follows another character and at line ends, when no
+piece spans those) the stream keeps what it has committed in a bounded memory and goes
+on from the next forced boundary when it meets the same stretch again.
 
 A model trained for BPE merges has ranks as scores.  Viterbi then gives the
 segmentation of the least rank sum, which is not always the one that merging
 gives; decoding restores the text in both cases.
 
 Defined results: null and empty texts have no ids and decode to the empty text;
-U+2581 in a text reads back as a blank (the model writes blanks that way); an
-empty table gives an empty table.
+U+2581 in a text reads back as a blank (the model writes blanks that way); rows that
+repeat an id each get their row; a null id is carried through; an empty table gives an
+empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from juriscope.llm.common import quoted
+
 BLANK = "▁"
 
 
@@ -55,21 +63,34 @@ class Stream:
     """Viterbi over characters fed in any portions."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.text, self.ids = vocabulary, "", []
+        self.v, self.ids, self.commits, self.most = vocabulary, [], 0, 0
+        self._restart()
+
+    def _restart(self) -> None:
+        self.text = ""  # from the last committed boundary on
         self.best: list[float | None] = [0.0]  # for each boundary of ``text``, the best score
         self.back: list[tuple[int, int] | None] = [None]  # start of the last piece and its id, -1 for unknown
         self.done = 0  # boundaries from here on still have pieces to start
 
     def feed(self, text: str, last: bool = False) -> None:
-        v = self.v
+        for i in range(0, len(text), self.v.longest):
+            self._step(text[i : i + self.v.longest])
+        if last:
+            self._advance(len(self.text))
+            self._take(len(self.text))
+            self._restart()
+
+    def _step(self, text: str) -> None:
         self.text += text
-        n = len(self.text)
-        self.best += [None] * (n + 1 - len(self.best))
-        self.back += [None] * (n + 1 - len(self.back))
-        pieces, heads, s, best, back = v.pieces, v.heads, self.text, self.best, self.back
-        stop = n if last else n - v.longest  # a later start may lack the end of its pieces
-        i = self.done
-        while i < stop:
+        self.best += [None] * len(text)
+        self.back += [None] * len(text)
+        self.most = max(self.most, len(self.text))
+        self._advance(len(self.text) - self.v.longest)  # a later start may lack the end of its pieces
+        self._commit()
+
+    def _advance(self, stop: int) -> None:
+        pieces, heads, s, best, back, n = self.v.pieces, self.v.heads, self.text, self.best, self.back, len(self.text)
+        for i in range(self.done, stop):
             here = best[i]
             j = i + 1
             while j <= n and (part := s[i:j]) in heads:
@@ -78,33 +99,27 @@ class Stream:
                     if best[j] is None or here + score > best[j]:
                         best[j], back[j] = here + score, (i, piece)
                 j += 1
-            if s[i] not in pieces and (best[i + 1] is None or here + v.unknown_score > best[i + 1]):
-                best[i + 1], back[i + 1] = here + v.unknown_score, (i, -1)
-            i += 1
-            if i >= 4 * v.longest and i < stop:
-                shift = self._commit(i)
-                i, stop, n = i - shift, stop - shift, n - shift
-                s, best, back = self.text, self.best, self.back
-        self.done = i
-        if last:
-            self._take(n)
-            self.text, self.best, self.back, self.done = "", [0.0], [None], 0
-
-    def _commit(self, i: int) -> int:
-        """Commits up to the last boundary that all paths from ``i`` on run through."""
-        alive = {j for j in range(i, min(i + self.v.longest, len(self.best))) if self.best[j] is not None}
+            if s[i] not in pieces and (best[i + 1] is None or here + self.v.unknown_score > best[i + 1]):
+                best[i + 1], back[i + 1] = here + self.v.unknown_score, (i, -1)
+        self.done = max(self.done, stop)
+
+    def _commit(self) -> None:
+        """Commits up to the last boundary that all surviving paths run through: those that
+        end where pieces still start, ``longest`` boundaries at most."""
+        alive = {j for j in range(self.done, len(self.best)) if self.best[j] is not None}
         while len(alive) > 1:
             top = max(alive)
             alive.remove(top)
             alive.add(self.back[top][0])
         at = alive.pop()
         if at:
+            self.commits += 1
             self._take(at)
             # Scores from the new start on keep their differences and stay small.
             zero = self.best[at]
             self.text, self.best = self.text[at:], [None if b is None else b - zero for b in self.best[at:]]
             self.back = [None if b is None or b[0] < at else (b[0] - at, b[1]) for b in self.back[at:]]
-        return at
+            self.done -= at
 
     def _take(self, end: int) -> None:
         out = []
@@ -115,37 +130,50 @@ class Stream:
         self.ids += out[::-1]
 
 
-class Codec:
-    def __init__(self, path: str, cached: int = 400_000, portion: int = 1 << 16):
-        self.v, self.cached, self.portion = Vocabulary(path), cached, portion
-        self.known: dict[str, bytes] = {}
-        self.divide = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+").findall
+class _Committed(dict):
+    """What the stream commits for a stretch between two forced boundaries."""
+
+    def __init__(self, codec: "Codec", head: str):
+        self.codec, self.head = codec, head
+
+    def __missing__(self, stretch: str) -> bytes:
+        if len(self) >= self.codec.cached:
+            self.clear()
+        ids = self.codec.streamed(self.head + stretch)
+        if len(stretch) <= 64:
+            self[stretch] = ids
+        return ids
 
-    def _find(self, text: str) -> bytes:
+
+class Codec:
+    def __init__(self, path: str, cached: int = 400_000):
+        self.v, self.cached = Vocabulary(path), cached
+        self.commits = self.most = 0  # of all streams: commits, and the longest text held at once
+        self.after_blank, self.after_line = _Committed(self, BLANK), _Committed(self, "")
+        self.stretches = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
+        self.line_end = self.streamed("\n")
+
+    def streamed(self, text: str) -> bytes:
         stream = Stream(self.v)
-        for i in range(0, len(text), self.portion):
-            stream.feed(text[i : i + self.portion])
-        stream.feed("", last=True)
+        stream.feed(text, last=True)
+        self.commits, self.most = self.commits + stream.commits, max(self.most, stream.most)
         return struct.pack(f"<{len(stream.ids)}I", *stream.ids)
 
+    def _line(self, line: str) -> list[bytes]:
+        """Ids of a line whose blanks are U+2581, stretch by stretch."""
+        if BLANK * 2 in line:  # a stretch starts with all of its blanks
+            return [self.after_line[x] for x in self.stretches(line)]
+        first, *rest = line.split(BLANK)
+        return [self.after_line[first] if first else b"", *map(self.after_blank.__getitem__, rest)]
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit bytes."""
         if not text:
             return b""
         text = BLANK + text.replace(" ", BLANK)
         if not self.v.divides:
-            return self._find(text)
-        out, known = [], self.known
-        for part in self.divide(text):
-            ids = known.get(part)
-            if ids is None:
-                ids = self._find(part)
-                if len(part) <= 64:
-                    if len(known) >= self.cached:
-                        known.clear()
-                    known[part] = ids
-            out.append(ids)
-        return b"".join(out)
+            return self.streamed(text)
+        return self.line_end.join([b"".join(self._line(line)) for line in text.split("\n")])
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.v.text.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
@@ -162,7 +190,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 some = batch.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([codec.encode(x or "") for x in some.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
@@ -192,4 +220,4 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
                 same = [codec.decode(x) == text.replace(BLANK, " ") for x, text in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary()), pa.array(same)], ["doc_id", "ids", "restored"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, restored boolean")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, restored boolean")

@@ -153,7 +153,7 @@ def unigram_model():
 
 def test_streaming_viterbi_equals_whole_viterbi(odd_rows):
     other, codec = unigram_model(), sentencepiece_stream.Codec(PIECES)
-    for text in [*ODD, "The quick brown fox", "  two  blanks ", "tabs\tand\nlines\n\nhere", "naïve façade Übergröße 漢字かな 😀", *[r[1][:60] for r in odd_rows if r[1]]]:
+    for text in [*ODD, "The quick brown fox", "  two  blanks ", "tabs\tand\nlines\n\nhere", "naïve façade Übergröße 漢字かな 😀", *[r[1] for r in odd_rows if r[1]], "nospacesatall" * 3000, "日本語テスト" * 500]:
         ids = codec.encode(text)
         got = list(struct.unpack(f"<{len(ids) // 4}I", ids))
         if "\x00" not in text:
@@ -162,17 +162,25 @@ def test_streaming_viterbi_equals_whole_viterbi(odd_rows):
 
 
 def test_streaming_viterbi_commits_early():
+    import time
+
     v = sentencepiece_stream.Vocabulary(PIECES)
     text = "thequickbrownfoxjumpsoverthelazydog" * 400
     whole, parts = sentencepiece_stream.Stream(v), sentencepiece_stream.Stream(v)
     whole.feed(text, last=True)
-    most = 0
     for i in range(0, len(text), 7):
         parts.feed(text[i : i + 7])
-        most = max(most, len(parts.text))
     parts.feed("", last=True)
     assert parts.ids == whole.ids and b"".join(v.text[i] for i in parts.ids).decode() == text
-    assert most < 12 * v.longest
+    assert max(parts.most, whole.most) < 4 * v.longest and whole.commits > len(text) / (2 * v.longest)
+    # A megabyte without a blank goes through the operator's own path, in time that grows with it.
+    took = []
+    for n in (1 << 17, 1 << 20):
+        codec, began = sentencepiece_stream.Codec(PIECES), time.process_time()
+        ids = codec.encode(text[: len(text) // 35 * 35] * (n // len(text)) or text)
+        took.append(time.process_time() - began)
+        assert codec.commits > n / (4 * v.longest) and codec.most < 4 * v.longest and len(ids) > n / 4
+    assert took[1] < 16 * took[0] + 1
 
 
 def test_tokens_over_rows(spark, odd_docs, odd_rows, no_docs):
