@@ -33,6 +33,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from juriscope.llm.common import quoted
 
 BLANK = "▁"
+_NEVER = float("-inf")
 
 
 class Vocabulary:
@@ -50,7 +52,14 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.pieces = {model.id_to_piece(i): (model.get_score(i), i) for i in plain}
-        self.heads = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        #: By first letter: what may follow it, the score of the piece that ends here (or None), its id.
+        self.trie: dict[str, list] = {}
+        for p, (score, i) in self.pieces.items():
+            level, node = self.trie, None
+            for c in p:
+                node = level.setdefault(c, [{}, None, -1])
+                level = node[0]
+            node[1:] = score, i
         self.longest = max(map(len, self.pieces))
         self.unknown_score = min(s for s, _ in self.pieces.values()) - 10
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -68,11 +77,14 @@ class Stream:
 
     def _restart(self) -> None:
         self.text = ""  # from the last committed boundary on
-        self.best: list[float | None] = [0.0]  # for each boundary of ``text``, the best score
+        self.best = [0.0]  # for each boundary of ``text``, the best score of a path to it
         self.back: list[tuple[int, int] | None] = [None]  # start of the last piece and its id, -1 for unknown
         self.done = 0  # boundaries from here on still have pieces to start
 
     def feed(self, text: str, last: bool = False) -> None:
+        if last and len(text) <= self.v.longest and not self.text:  # one step, committed as a whole
+            self.text, self.best, self.back = text, [0.0, *[_NEVER] * len(text)], [None] * (len(text) + 1)
+            text = ""
         for i in range(0, len(text), self.v.longest):
             self._step(text[i : i + self.v.longest])
         if last:
@@ -82,31 +94,33 @@ class Stream:
 
     def _step(self, text: str) -> None:
         self.text += text
-        self.best += [None] * len(text)
+        self.best += [_NEVER] * len(text)
         self.back += [None] * len(text)
         self.most = max(self.most, len(self.text))
         self._advance(len(self.text) - self.v.longest)  # a later start may lack the end of its pieces
         self._commit()
 
     def _advance(self, stop: int) -> None:
-        pieces, heads, s, best, back, n = self.v.pieces, self.v.heads, self.text, self.best, self.back, len(self.text)
+        trie, unknown, s, best, back, n = self.v.trie, self.v.unknown_score, self.text, self.best, self.back, len(self.text)
         for i in range(self.done, stop):
-            here = best[i]
-            j = i + 1
-            while j <= n and (part := s[i:j]) in heads:
-                if part in pieces:
-                    score, piece = pieces[part]
-                    if best[j] is None or here + score > best[j]:
-                        best[j], back[j] = here + score, (i, piece)
+            here, j, level = best[i], i, trie
+            while j < n:
+                node = level.get(s[j])
+                if node is None:
+                    break
                 j += 1
-            if s[i] not in pieces and (best[i + 1] is None or here + self.v.unknown_score > best[i + 1]):
-                best[i + 1], back[i + 1] = here + self.v.unknown_score, (i, -1)
+                level, score, piece = node
+                if score is not None and here + score > best[j]:
+                    best[j], back[j] = here + score, (i, piece)
+            node = trie.get(s[i])
+            if (node is None or node[1] is None) and here + unknown > best[i + 1]:
+                best[i + 1], back[i + 1] = here + unknown, (i, -1)
         self.done = max(self.done, stop)
 
     def _commit(self) -> None:
         """Commits up to the last boundary that all surviving paths run through: those that
         end where pieces still start, ``longest`` boundaries at most."""
-        alive = {j for j in range(self.done, len(self.best)) if self.best[j] is not None}
+        alive = {j for j in range(self.done, len(self.best)) if self.best[j] > _NEVER}
         while len(alive) > 1:
             top = max(alive)
             alive.remove(top)
@@ -117,7 +131,7 @@ class Stream:
             self._take(at)
             # Scores from the new start on keep their differences and stay small.
             zero = self.best[at]
-            self.text, self.best = self.text[at:], [None if b is None else b - zero for b in self.best[at:]]
+            self.text, self.best = self.text[at:], [b - zero for b in self.best[at:]]
             self.back = [None if b is None or b[0] < at else (b[0] - at, b[1]) for b in self.back[at:]]
             self.done -= at
 
@@ -131,33 +145,36 @@ class Stream:
 
 
 class _Committed(dict):
-    """What the stream commits for a stretch between two forced boundaries."""
+    """What the stream commits for a stretch between two forced boundaries; of those not
+    met for long the older half is forgotten."""
 
     def __init__(self, codec: "Codec", head: str):
-        self.codec, self.head = codec, head
+        self.codec, self.head, self.older = codec, head, {}
 
     def __missing__(self, stretch: str) -> bytes:
-        if len(self) >= self.codec.cached:
-            self.clear()
-        ids = self.codec.streamed(self.head + stretch)
+        ids = self.older.get(stretch) or self.codec.streamed(self.head + stretch)
         if len(stretch) <= 64:
+            if len(self) >= self.codec.cached:
+                self.older = dict(self)
+                self.clear()
             self[stretch] = ids
         return ids
 
 
 class Codec:
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 250_000):
         self.v, self.cached = Vocabulary(path), cached
-        self.commits = self.most = 0  # of all streams: commits, and the longest text held at once
+        self.stream, self.commits, self.most = Stream(self.v), 0, 0  # commits, and the longest text held at once
         self.after_blank, self.after_line = _Committed(self, BLANK), _Committed(self, "")
         self.stretches = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
         self.line_end = self.streamed("\n")
 
     def streamed(self, text: str) -> bytes:
-        stream = Stream(self.v)
+        stream = self.stream
         stream.feed(text, last=True)
-        self.commits, self.most = self.commits + stream.commits, max(self.most, stream.most)
-        return struct.pack(f"<{len(stream.ids)}I", *stream.ids)
+        self.commits, self.most = stream.commits, stream.most
+        ids, stream.ids = stream.ids, []
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _line(self, line: str) -> list[bytes]:
         """Ids of a line whose blanks are U+2581, stretch by stretch."""
@@ -180,11 +197,17 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+@lru_cache(maxsize=2)
+def codec_of(model: str) -> Codec:
+    """One codec for each worker: what a task has learned serves the next."""
+    return Codec(model)
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): ids as little-endian 32-bit bytes, one row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for batch in batches:
             for i in range(0, len(batch), 512):
                 some = batch.slice(i, 512)
@@ -197,7 +220,7 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids, text): the text of every row of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for batch in batches:
             for i in range(0, len(batch), 512):
                 some = batch.slice(i, 512)
@@ -211,7 +234,7 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     (with its U+2581 as blanks) again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for batch in batches:
             for i in range(0, len(batch), 512):
                 some = batch.slice(i, 512)
