@@ -197,22 +197,57 @@ def test_language_profiles(spark, odd_docs, odd_rows, no_docs):
     rows = [(i, " ".join(text.split()[k:] + text.split()[:k]), lang) for k in range(6) for i, (lang, text) in enumerate(seeds.items())]
     docs = spark.createDataFrame([*rows, (90, None, "en"), (91, "the", None)], "doc_id long, text string, lang string")
     profiles = language_id.learn(docs)
-    assert sorted(profiles) == ["de", "en", "es"]
+    assert sorted(r.lang for r in profiles.collect()) == ["de", "en", "es"]
     asked = spark.createDataFrame([(1, "the dog and that house"), (2, "die Straße und der Hund"), (3, "la calle señor perro"), (4, None), (5, "123 ..."), (6, ""), (7, "THE DOG AND THAT HOUSE")], "doc_id long, text string")
     got = {r.doc_id: r for r in language_id.identify(asked, profiles).collect()}
     assert [got[i].lang_pred for i in range(1, 8)] == ["en", "de", "es", "und", "und", "und", "en"]
     assert all(0 <= r.score <= 1 for r in got.values()) and abs(got[1].score - got[7].score) < 1e-5
     assert language_id.identify(odd_docs, profiles).count() == len(odd_rows)
-    assert language_id.identify(odd_docs, {}).filter("lang_pred <> 'und'").count() == 0
-    assert language_id.identify(no_docs, profiles).count() == 0 and language_id.learn(no_docs) == {}
+    # One language at a time gives the same.
+    assert {(r.doc_id, r.lang_pred) for r in language_id.identify(asked, profiles, block=1).collect()} == {(i, r.lang_pred) for i, r in got.items()}
+    none = language_id.learn(no_docs)
+    assert language_id.identify(odd_docs, none).filter("lang_pred <> 'und'").count() == 0
+    assert language_id.identify(no_docs, profiles).count() == 0 and none.count() == 0
 
 
-def test_prototypes_bundle_the_texts(spark):
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(["abc def", "hello world", "zz top ü"])], "doc_id long, text string, lang string")
+def slow_profile(text, dims=1024, seed=7):
+    """A text's vector, letter by letter: bind, permute, bundle."""
     import numpy as np
 
-    vectors = language_id.bundle(["abc def", "hello world", "zz top ü"], 1024, 7)
-    assert np.allclose(vectors.sum(axis=0), language_id.learn(docs)["x"])
+    letters = language_id.letter_vectors(dims, seed).astype(int)
+    marks = [0]
+    for c in text:
+        low = ord(c.lower()[0])
+        mark = 0 if not c.isalpha() else low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 7) % 37
+        if mark or marks[-1]:
+            marks.append(mark)
+    marks += [0] if marks[-1] else []
+    total = np.zeros(dims)
+    for a, b, c in zip(marks, marks[1:], marks[2:], strict=False):
+        total += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+    return total
+
+
+def test_profiles_against_brute_force(spark, odd_rows):
+    import numpy as np
+
+    rows = [(i, r[1], r[2]) for i, r in enumerate(odd_rows)] + [(100 + i, t, lang) for i, (t, lang) in enumerate([("abc déf, x", "x"), ("hello WORLD 7", "y"), ("zz top ü", "x"), ("ñandú çà", None)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {}
+    for _, t, lang in rows:
+        if t is not None and lang is not None:
+            want[lang] = want.get(lang, 0) + slow_profile(t)
+    learned = language_id.learn(docs)
+    got = {r.lang: np.array(r.v) for r in learned.collect()}
+    assert sorted(got) == sorted(want) and all(np.allclose(got[k], v) for k, v in want.items())
+    found = {r.doc_id: r for r in language_id.identify(docs, learned).collect()}
+    for i, t, _ in rows:
+        v = slow_profile(t or "")
+        cosines = {k: float(v @ p / (np.linalg.norm(v) * np.linalg.norm(p) or 1)) for k, p in want.items()}
+        if not any(c.isalpha() for c in t or ""):
+            assert (found[i].lang_pred, found[i].score) == ("und", 0)
+        else:
+            assert abs(cosines[found[i].lang_pred] - max(cosines.values())) < 1e-5 and abs(found[i].score - (max(cosines.values()) + 1) / 2) < 1e-5
 
 
 @pytest.mark.parametrize("name, least", [("op1_pu_quality", 0.93), ("op8_hyperdimensional", 0.97)])
