@@ -13,9 +13,9 @@ cov AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words FRO
 lines AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '{NON}') GROUP BY doc_id),
 norm AS (SELECT doc_id, host, t, lower(trim(regexp_replace(line, '{SPACE}', ' ', 'g'))) AS l FROM lines),
-long AS (SELECT * FROM norm WHERE length(l) >= 20),
-hosts AS (SELECT host, count(DISTINCT t) AS n_host FROM d GROUP BY host),
-often AS (SELECT host, l FROM long JOIN hosts USING (host) GROUP BY host, l, n_host HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.1 * n_host),
+long AS (SELECT * FROM norm WHERE l <> ''),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS n_host FROM d GROUP BY host),
+often AS (SELECT host, l FROM long JOIN hosts USING (host) GROUP BY host, l, n_host HAVING count(DISTINCT doc_id) > 3 AND count(DISTINCT doc_id) > 0.05 * n_host),
 gone AS (SELECT doc_id, sum(len(string_split(l, ' '))) AS g FROM long JOIN often USING (host, l) GROUP BY doc_id),
 base AS (
   SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
@@ -23,7 +23,7 @@ base AS (
   FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_line_words >= 0.5 * n_words AS kept, n_line_words
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_line_words >= 0.7 * n_words AS kept, n_line_words
 FROM base
 """
 

@@ -10,14 +10,16 @@ the unbiased estimate of the full risk, held above zero; where a step would driv
 the second part below zero, the step undoes that instead.  The model is linear
 over square roots of byte and byte-pair frequencies and simple shape features.
 
-The fit uses at most ``most`` positives and ``most`` unlabelled rows, chosen by a
-hash of the id; that bound is a parameter, and 33 MB of features at most reach
-the driver.  Scoring reads every whole text.
+The fit uses about ``most`` positives and ``most`` unlabelled ids at most, chosen by a
+hash of the id, each with one row however often it is repeated; that bound is a
+parameter, and about 33 MB of features at most reach the driver.  Scoring reads every
+whole text.
 
 Defined results: null texts count as empty and get the score of an empty text;
 with no positives to learn from every score is the prior; rows that repeat an id
-each get their row; a null id is never learned from; an empty table gives an
-empty table.
+each get their row, and the fit takes the one whose features sort first; a null id
+is never learned from; an empty table gives an empty table; other columns pass
+whatever their names, but for the score's own, which is replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from juriscope.llm.common import text_blocks
+from juriscope.llm.common import carried, quoted, restored, schema_of, text_blocks
 from juriscope.llm.hashing import find_words, word_hashes
 
 PAIRS = 256
@@ -114,19 +116,20 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "do
     model = Model(min(0.99, max(0.01, n_positive / n if n else 0.5)))
     if not n_positive:
         return model
-    good = seen.filter(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).filter(_chosen(F.col("_id"), min(1.0, most / n_positive))).distinct()
+    good = seen.filter(F.col(label_col) == 1).select(F.col(quoted(id_col)).alias("_id")).filter(_chosen(F.col("_id"), min(1.0, most / n_positive))).distinct()
     # About ``most`` ids whatever the input: they are sent to the texts, which stay where they are.
     rows = docs.filter(learnable)
     share = min(1.0, most / max(1, rows.count()))
-    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(good.withColumn("positive", F.lit(True))), "_id", "left")
-    rows = rows.select(F.coalesce("positive", F.lit(False)).alias("positive"), _chosen(F.col("_id"), share).alias("open"), "text").filter("positive or open")
+    rows = rows.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("text")).join(F.broadcast(good.withColumn("positive", F.lit(True))), "_id", "left")
+    rows = rows.select("_id", F.coalesce("positive", F.lit(False)).alias("positive"), _chosen(F.col("_id"), share).alias("open"), "text").filter("_id is not null and (positive or open)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "open", "x"])
+            x = features(batch.column(3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in x], pa.binary())], ["_id", "positive", "open", "x"])
 
-    got = rows.mapInArrow(run, "positive boolean, open boolean, x binary").toArrow()
+    found = rows.mapInArrow(run, schema_of(rows.select("_id", "positive", "open"), x="binary"))
+    got = found.groupBy("_id", "positive", "open").agg(F.min("x").alias("x")).select("positive", "open", "x").toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
     positive, unlabelled = (got.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("positive", "open"))
     # The order of collected rows doesn't matter to sums beyond rounding; sorting fixes that too.
@@ -140,9 +143,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [model.score(features(batch.column(1).slice(i, 2048))) for i in range(0, len(batch), 2048)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *scores]))], ["_row", out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *scores]))], ["_row", "_score"])
 
-    rest = [c for c in docs.columns if c != out and c != text_col]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(text_col).cast("string").alias("_text"))
-    done = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, `{out}` double")
-    return done.select(*[F.col(f"_row.`{c}`").alias(c) for c in rest], out)
+    rows = docs.select(carried(docs).alias("_row"), F.col(quoted(text_col)).cast("string").alias("_text"))
+    done = rows.mapInArrow(run, schema_of(rows.select("_row"), _score="double"))
+    return done.select(*restored(docs.columns, "_row", **{out: "_score"}))

@@ -177,17 +177,48 @@ def test_quality_rules(odd_docs, odd_rows, no_docs, spark):
     assert quality_rules.clean(no_docs).count() == 0
 
 
-def test_boilerplate_goes_by_host(spark):
+def slow_rules(rows, share=0.05, floor=3, least_left=0.7):
+    """(verdict, cleaned text) of every row (id, text, host), by the rules as written."""
+    normal = lambda line: " ".join(WORD.findall(line)).lower()
+    documents, lines = defaultdict(set), defaultdict(set)
+    for d, t, host in rows:
+        who = (d, None if d is not None else t)
+        documents[host or ""].add(who)
+        for line in (t or "").split("\n"):
+            lines[host or "", normal(line)].add(who)
+    out = []
+    for _d, t, host in rows:
+        often = lambda x: x and len(lines[host or "", x]) > floor and len(lines[host or "", x]) > share * len(documents[host or ""])  # noqa: B023, E731
+        words, texts = WORD.findall(t or ""), (t or "").split("\n")
+        counts = Counter(windows(words, 8))
+        covered = {i + k for i, w in enumerate(windows(words, 8)) if counts[w] > 1 for k in range(8)}
+        gone = sum(len(WORD.findall(x)) for x in texts if often(normal(x)))
+        failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+        out.append((not failed and len(words) - gone >= least_left * len(words), "\n".join(x for x in texts if not often(normal(x))), failed))
+    return out
+
+
+def test_verdicts_and_cleaned_texts(spark, odd_rows):
     menu = "Home | About us | Contact our team | Sign in"
-    rows = [(i, f"{menu}\n" + " ".join(f"w{i}x{k}" for k in range(40)), "a" if i < 30 else "b") for i in range(40)]
-    rows += [(100 + i, f"{menu}\n" + " ".join(f"v{i}x{k}" for k in range(9)), "a") for i in range(2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    verdicts = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
-    assert verdicts[0].n_line_words == 11 and verdicts[0].kept
-    assert verdicts[35].n_line_words == 0 and verdicts[35].kept  # ten documents of host b are under the floor
-    assert verdicts[100].n_line_words == 11 and not verdicts[100].kept and not verdicts[100].base_failed
-    cleaned = {r.doc_id: r.text for r in quality_rules.clean(docs).collect()}
-    assert menu not in cleaned[0] and menu in cleaned[35] and 100 not in cleaned
+    body = lambda d, n: " ".join(f"w{d}x{k}" for k in range(n))
+    rows = [(i, f"{menu}\n{body(i, 40)}\n Share  this\tpage ", "a" if i < 30 else "b") for i in range(40)]
+    rows += [(100 + i, f"{menu}\n{body(100 + i, 14)}\nshare THIS page", "a") for i in range(2)]  # depleted
+    rows += [(200 + i, f"{menu}\n{body(200 + i, 40)}", "c") for i in range(3)]  # three documents are under the floor
+    rows += [(7, f"only here\n{body(7, 30)}", "d")] * 9 + [(None, f"{menu}\n{body(0, 40)}", "c")] * 9 + [(0, f"{body(1, 40)}\nx", "b")]
+    rows += [(300 + r[0] if r[0] is not None else None, r[1], r[3]) for r in odd_rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = slow_rules(rows)
+    got = bag(quality_rules.judge(docs), "doc_id", "base_failed", "kept")
+    assert got == Counter((r[0], w[2], w[0]) for r, w in zip(rows, want, strict=True))
+    assert got[100, False, False] == got[101, False, False] == 1
+    assert bag(quality_rules.clean(docs), "doc_id", "text", "source") == Counter((r[0], w[1], r[2]) for r, w in zip(rows, want, strict=True) if w[0])
+
+
+def test_rules_decide_on_the_table(spark):
+    from juriscope.llm.queries import QUERIES
+
+    verdicts = QUERIES["op3_line_frequency"](spark, "/root/testdata/sf0.01")
+    assert 0 < verdicts.filter("kept = base_failed").count() < 20
 
 
 def test_query_digests(spark):
