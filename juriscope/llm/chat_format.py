@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from juriscope.llm.common import quoted
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -77,7 +79,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """One row for each conversation: conv_id, formatted, loss (the spans of
     ``formatted``, from code point ``start`` on ``length`` long, that a model learns
     from: the texts of the ``learn_from`` role)."""
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    rows = turns.select(F.col(quoted(conv_col)).alias("conv_id"), F.col(quoted(turn_col)).alias("turn"), F.col(quoted(role_col)).cast("string").alias("role"), F.col(quoted(text_col)).cast("string").alias("text"))
     rows = format_turns(rows)
     before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.coalesce(F.sum(F.char_length("shown")).over(before), F.lit(0)))

@@ -2,15 +2,17 @@
 
 Documents come in batches of rising ids.  Every batch's distinct line keys are
 merge-anti-joined with the runs written so far; keys that no run holds become a
-new run, bucketed and sorted by hash, that records the smallest document of each
-key.  When a level has ``fan_in`` runs they are compacted into one run of the
-next level.  Runs never share a key, so together they name each key's owner, and
-a line stays only in its owner.
+new run, one sorted file for each bucket, that records the smallest document of
+each key.  When a level has ``fan_in`` runs they are compacted into one run of the
+next level and deleted.  Runs never share a key, so together they name each key's
+owner, and a line stays only in its owner.  Runs are tables of the session's catalog
+only while batches are added; their rows lie in the shared folder.
 
 Defined results: null and empty texts are one empty line; rows with a null id
 pass unchanged and own no line; rows that repeat an id are one document, each
-row keeping its own lines; an empty table gives an empty table.  Texts may have
-any length; nothing but one text's lines is held together.
+row keeping its own lines; an empty table gives an empty table; other columns pass
+whatever their names, but for n_lines and n_dropped, which are replaced.  Texts may
+have any length; nothing but one text's lines is held together.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juriscope.llm.common import new_path, written
+from juriscope.llm.common import carried, new_path, quoted, removed, restored, size_hint, written
 
 _STRIP = b" \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
+#: Bytes of line keys, as stored, for each bucket of a run.
+BUCKET_BYTES = 64 << 20
 
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -51,24 +55,32 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                     low.append((h & (1 << 64) - 1) - (1 << 63))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tids, pa.int64()), pa.array(pos, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["doc_id", "tid", "pos", "h1", "h2"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tid"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    text = F.col(quoted(text_col)).cast("string")
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text")).filter("doc_id is not null")
     return rows.mapInArrow(keys, "doc_id long, tid long, pos int, h1 long, h2 long")
 
 
 class LineRuns:
     """The runs: a list per level, each a bucketed table (h1, h2, owner) sorted by hash."""
 
-    def __init__(self, spark: SparkSession, fan_in: int = 2):
-        self.spark, self.fan_in = spark, fan_in
+    def __init__(self, spark: SparkSession, buckets: int, fan_in: int = 2):
+        self.spark, self.buckets, self.fan_in = spark, buckets, fan_in
         self.levels: list[list[tuple[str, str]]] = [[]]  # name and path of each run
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # Where a bucket is one file, its rows are read in the order that they were sorted in.
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
         path = new_path(self.spark, "line-run")
         name = "line_run_" + path.rpartition("-")[2]
-        rows.select(*KEY, "owner").write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).option("compression", "lz4").saveAsTable(name)
+        rows.select(*KEY, "owner").repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).option("compression", "lz4").saveAsTable(name)
         return name, path
 
+    def close(self) -> None:
+        """Takes the runs out of the catalog; their files stay for ``owners``."""
+        for level in self.levels:
+            for name, _ in level:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     @property
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name, _ in level]
@@ -87,6 +99,9 @@ class LineRuns:
             if level + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[level + 1].append(self._write(reduce(DataFrame.unionByName, [self.spark.table(name) for name, _ in full])))
+            for name, path in full:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                removed(self.spark, path)
 
     def owners(self) -> DataFrame:
         """All runs as one table without buckets: a join that deals out both sides
@@ -99,11 +114,16 @@ def repeated_lines(lines: DataFrame, batches: int = 4, fan_in: int = 2) -> DataF
     spark = lines.sparkSession
     cuts = lines.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).head()[0] or []
     edges = [None, *sorted(set(cuts)), None]
-    runs = LineRuns(spark, fan_in)
-    for low, high in zip(edges, edges[1:], strict=False):
-        batch = lines if low is None else lines.filter(F.col("doc_id") > low)
-        batch = batch if high is None else batch.filter(F.col("doc_id") <= high)
-        runs.add(batch.groupBy(*KEY).agg(F.min("doc_id").alias("owner")))
+    # As many buckets as the lines ask for, as far as Spark allows; a larger bucket is merged all the same.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_hint(lines) // BUCKET_BYTES)
+    runs = LineRuns(spark, min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))), fan_in)
+    try:
+        for low, high in zip(edges, edges[1:], strict=False):
+            batch = lines if low is None else lines.filter(F.col("doc_id") > low)
+            batch = batch if high is None else batch.filter(F.col("doc_id") <= high)
+            runs.add(batch.groupBy(*KEY).agg(F.min("doc_id").alias("owner")))
+    finally:
+        runs.close()
     return lines.join(runs.owners(), KEY).filter("doc_id <> owner").select("doc_id", "tid", "pos")
 
 
@@ -112,14 +132,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines, the lines before, and n_dropped."""
     lines = written(line_keys(docs, id_col, text_col, min_chars), "lines")
     gone = repeated_lines(lines, batches, fan_in).groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("_of"), F.col("tid").alias("_tid"), F.col("gone").alias("_gone"))
-    taken = docs.withColumns({"_of": F.col(id_col).cast("long"), "_tid": F.xxhash64(text_col)}).join(gone, ["_of", "_tid"], "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    taken = taken.withColumn("_lines", F.split(text, "\n"))
+    text = F.col(quoted(text_col)).cast("string")
+    taken = docs.select(carried(docs).alias("row"), F.coalesce(text, F.lit("")).alias("text"), F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"))
+    taken = taken.join(gone, ["doc_id", "tid"], "left").withColumn("lines", F.split("text", "\n"))
     # One character for each line, 1 for a line that goes: found by index, not by search.
-    gaps = F.transform("_gone", lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.when(i == 0, -1).otherwise(F.get("_gone", i - 1)) - 1), F.lit("1")))
-    taken = taken.withColumn("_flags", F.when(F.col("_gone").isNull(), F.lit(None)).otherwise(F.split(F.array_join(gaps, ""), "")))
-    left = F.array_join(F.filter("_lines", lambda line, i: F.coalesce(F.get("_flags", i), F.lit("0")) != "1"), "\n")
-    taken = taken.withColumn(text_col, F.when(F.col("_gone").isNull(), text).otherwise(left))
-    taken = taken.withColumn("n_lines", F.size("_lines").cast("long"))
-    return taken.withColumn("n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")).drop("_of", "_tid", "_gone", "_lines", "_flags")
+    gaps = F.transform("gone", lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.when(i == 0, -1).otherwise(F.get("gone", i - 1)) - 1), F.lit("1")))
+    taken = taken.withColumn("flags", F.when(F.col("gone").isNull(), F.lit(None)).otherwise(F.split(F.array_join(gaps, ""), "")))
+    left = F.array_join(F.filter("lines", lambda line, i: F.coalesce(F.get("flags", i), F.lit("0")) != "1"), "\n")
+    taken = taken.withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
+    taken = taken.withColumn("n_lines", F.size("lines").cast("long")).withColumn("n_dropped", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"))
+    return taken.select(*restored(docs.columns, "row", **{text_col: "left"}, n_lines="n_lines", n_dropped="n_dropped"))

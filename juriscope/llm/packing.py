@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juriscope.llm.common import written
+from juriscope.llm.common import quoted, written
 
 _WIDTH = 4  # bytes of an id
 
@@ -256,6 +256,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, open_wi
             rows.add((1 << 62) + (part << 32) + i, pieces)
         return pa.Table.from_batches([rows.take()])
 
-    packed = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCHEMA + ", open boolean"), "packed")
+    packed = written(docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, _SCHEMA + ", open boolean"), "packed")
     left = packed.filter("open").drop("open").groupBy(F.expr(f"shiftright(sequence_id, 32) div {merge_parts}").alias("_part")).applyInArrow(merge, _SCHEMA)
     return packed.filter("not open").drop("open").unionByName(left)

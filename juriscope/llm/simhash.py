@@ -11,7 +11,9 @@ each block on (the fingerprint rotated), and after j blocks at most j errors are
 allowed.  No link is lost by that, as ``bits`` errors dealt over ``bits`` blocks
 average one a block, and then some rotation never runs ahead of its average
 (the cycle lemma).  Tasks are node pairs at a depth that follows the number of
-fingerprints; a task returns a spanning forest of its links.
+fingerprints; a node of more than ``task_codes`` fingerprints is cut into chunks by
+hash, and its tasks are the pairs of chunks.  A task returns a spanning forest of its
+links.
 
 Components: edges are contracted, each node to the best of its neighbourhood by
 a hash that changes each round, until none is left; every step is a join.
@@ -19,14 +21,15 @@ a hash that changes each round, until none is left; every step is a join.
 Defined results: null and empty texts have fingerprint zero, linked like any
 other; texts shorter than a shingle count as one shingle; rows that repeat an id
 each get their row; a null id gets a fingerprint and names no component unless
-all of its component is null; an empty table gives an empty table.
+all of its component is null; an empty table gives an empty table; other columns are
+not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from juriscope.llm.common import written
+from juriscope.llm.common import quoted, written
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -82,7 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             flush()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 # ------------------------------------------------------------------- trie join
@@ -191,12 +194,30 @@ def links(codes: DataFrame, bits: int = 4, task_codes: int = 20_000) -> DataFram
             keys.append(F.struct(F.lit(r).alias("r"), F.least(p, q).alias("a"), F.greatest(p, q).alias("b"), x.alias("x")))
     if not keys:
         return codes.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
-    dealt = codes.select(F.explode(F.array(*keys)).alias("k")).select("k.*")
+    dealt = codes.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.*")
+    own = F.shiftrightunsigned("x", 64 - depth)
+    sizes = codes.select(F.explode(F.array(*[F.struct(F.lit(r).alias("r"), prefix(turn)[1].alias("p")) for r, turn in enumerate(turns)])).alias("k")).groupBy("k.r", "k.p").agg(F.count("*").alias("n")).filter(F.col("n") > task_codes)
+    large = written(sizes.select("r", "p", F.ceil(F.col("n") / task_codes).alias("n")), "large")
+    if large.isEmpty():
+        dealt = dealt.select("r", "a", "b", F.lit(0).alias("i"), F.lit(0).alias("j"), "x")
+    else:
+        for side in ("a", "b"):
+            cut = large.select("r", F.col("p").alias(side), F.col("n").alias(f"n_{side}"))
+            dealt = dealt.join(cut, ["r", side], "left").withColumn(f"n_{side}", F.coalesce(f"n_{side}", F.lit(1)))
+        # A code's chunk of its own node meets every chunk of the other.
+        chunk = lambda n: F.pmod(F.xxhash64(F.lit("chunk"), "fp"), F.col(n))
+        every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        first = F.transform(every("n_b"), lambda j: F.struct(chunk("n_a").alias("i"), j.alias("j")))
+        second = F.transform(every("n_a"), lambda i: F.struct(i.alias("i"), chunk("n_b").alias("j")))
+        within = F.transform(every("n_a"), lambda j: F.struct(F.least(chunk("n_a"), j).alias("i"), F.greatest(chunk("n_a"), j).alias("j")))
+        pairs = F.when(F.col("a") == F.col("b"), within).when(own == F.col("a"), first).otherwise(second)
+        dealt = dealt.select("r", "a", "b", F.explode(pairs).alias("c"), "x").select("r", "a", "b", "c.i", "c.j", "x")
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
-        r, first, second = (k.as_py() for k in key)
+        r, first, second = (k.as_py() for k in key[:3])
         x = np.sort(table.column("x").to_numpy().astype(np.int64).view(np.uint64))
         side = x >> np.uint64(64 - depth)
+        # Two chunks of one node are walked as their union.
         a, b = x[side == first], x[side == second] if first != second else None
         whole = a if b is None else np.concatenate([a, b])
         roots = np.arange(len(whole))
@@ -207,16 +228,17 @@ def links(codes: DataFrame, bits: int = 4, task_codes: int = 20_000) -> DataFram
         out = rotate(whole[order], (64 - turns[r]) % 64).view(np.int64)
         return pa.table({"u": out[chain], "v": out[chain + 1]})
 
-    return dealt.groupBy("r", "a", "b").applyInArrow(join, "u long, v long")
+    return dealt.groupBy("r", "a", "b", "i", "j").applyInArrow(join, "u long, v long")
 
 
 # ------------------------------------------------------------------ components
-def contract(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """(node, root): a common root for the nodes of every connected component."""
+def contract(edges: DataFrame) -> DataFrame:
+    """(node, root): a common root for the nodes of every connected component. Every round
+    merges at least the neighbours of the node that ranks first, so no edge is left at last."""
     pair = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
     edges = written(edges.select(*pair("u", "v")).filter("u <> v").distinct(), "edges")
     maps: list[DataFrame] = []
-    for k in range(rounds):
+    for k in count():
         if maps and edges.isEmpty():
             break
         rank = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("rank"), c.alias("to"))  # noqa: B023, E731

@@ -37,11 +37,13 @@ def test_line_dedup(odd_docs, odd_rows, no_docs):
 
 
 def test_runs_compact_and_stay_disjoint(spark):
-    runs = line_dedup.LineRuns(spark, fan_in=2)
+    runs = line_dedup.LineRuns(spark, 3, fan_in=2)
     for k in range(5):
         keys = spark.createDataFrame([(i, i * 7, k) for i in range(k * 5, k * 5 + 10)], "h1 long, h2 long, owner long")
         runs.add(keys)
     assert [len(level) for level in runs.levels] == [1, 0, 1]
+    runs.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
     rows = runs.owners().collect()
     assert len({r.h1 for r in rows}) == len(rows) == 30
     assert all(r.owner == max(0, (r.h1 - 5) // 5) for r in rows)
