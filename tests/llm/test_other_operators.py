@@ -286,3 +286,85 @@ def test_risk_is_held_above_zero():
 
 def test_loss_digest():
     assert hashlib.sha256(b"<|im_end|><|im_start|>assistant ok").hexdigest().startswith("3bfc6ead")
+
+
+AWKWARD = ["_gone", "_f", "_d", "_", "_row", "_tid", "_lines", "_of", "_flags", "a b", "a.b", "A:B", "c0", "row", "lines", "gone", "left", "tid", "host", "of_host", "frequent", "`q`", "bucket", "part", "_part", "_text", "_id", "score_", "who", "h", "fp", "x", "_lang", "_cosine"]
+
+
+def test_clashing_names_pass(spark):
+    """Columns of any name come through operators that return their rows, and don't disturb the others."""
+    from pyspark.sql import functions as F
+
+    from juriscope.llm import line_dedup, quality_rules, simhash, substring_dedup
+
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40)) + "\na line that all rows share", "en", "s", *[f"{c}{i}" for c in AWKWARD]) for i in range(6)]
+    ticked = ["`" + c.replace("`", "``") + "`" for c in AWKWARD]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "lang string", "source string", *[f"{c} string" for c in ticked]]))
+    want = {tuple(r[4:]) for r in rows}
+    profiles = language_id.learn(docs)
+    model = pu_quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), F.lit(True))
+    results = [quality_rules.clean(docs, line_floor=9), line_dedup.dedup_lines(docs), substring_dedup.dedup_substrings(docs), pu_quality.score(docs, model), language_id.identify(docs, profiles)]
+    for got in results:
+        assert got.columns[: len(docs.columns)] == docs.columns
+        assert {tuple(r) for r in got.select(*ticked).collect()} == want
+    assert {r.text for r in pu_quality.score(docs, model).collect()} == {r[1] for r in rows}
+    assert simhash.near_duplicates(docs).count() == sentencepiece_stream.encode(docs, PIECES).count() == 6
+    assert packing.pack(docs, WORDS, 2).select("doc_id").distinct().count() == 6
+    turns = docs.withColumnsRenamed({"doc_id": "conv_id", "lang": "role"}).withColumn("turn", F.lit(0))
+    assert chat_format.format_chats(turns).count() == 6
+    vectors = docs.withColumn("embedding", F.array(F.col("doc_id").cast("double"))).withColumnRenamed("doc_id", "vec_id")
+    assert vector_search.top_k(vectors, vectors, k=1).count() == 6
+
+
+def test_an_output_name_in_the_input_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "one two three", "old", 5, "old", 0.5)], "doc_id long, text string, spans string, n_lines int, lang_pred string, score double")
+    from juriscope.llm import line_dedup, substring_dedup
+
+    assert line_dedup.dedup_lines(docs).first().n_lines == 1
+    assert substring_dedup.dedup_substrings(docs).first().spans == []
+    assert language_id.identify(docs, language_id.learn(docs.limit(0), lang_col="text")).first().lang_pred == "und"
+
+
+def slow_features(text):
+    """Features of one text, counted byte by byte."""
+    import numpy as np
+
+    data = (text or "").encode()
+    one, pair = np.zeros(256), np.zeros(pu_quality.PAIRS)
+    for b in data:
+        one[b] += 1
+    for a, b in zip(data, data[1:], strict=False):
+        pair[((a * 40503 + b * 26687) >> 5) % pu_quality.PAIRS] += 1
+    words = data.split()
+    again = [sum(words[i] == words[i - back] for i in range(back, len(words))) / max(len(words), 1) for back in (2, 1)]
+    total = max(len(data), 1)
+    blank = sum(data.count(b) for b in b" \t\n\x0b\x0c\r")
+    shapes = [*map(math.sqrt, again), math.log1p(len(data)) / 10, len(data) / (blank + 1) / 10, sum(65 <= b < 91 for b in data) / total, len(data) == 0]
+    return np.concatenate([np.sqrt(one / total), np.sqrt(pair / total), shapes])
+
+
+def test_features_and_gradient_against_brute_force(odd_rows):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [r[1] for r in odd_rows] + ["a a a b", "x y x y", "Ab\x0bC"]
+    x = pu_quality.features(pa.array(texts, pa.string()))
+    assert np.allclose(x, np.array([slow_features(t) for t in texts]), atol=1e-5)
+    # One step of the fit goes down the slope of the risk, taken by differences.
+    rng = np.random.default_rng(4)
+    good, open_ = (rng.normal(m, 1, (60, pu_quality.WIDTH)).astype("f4") for m in (0.3, 0))
+    p, model = 0.4, pu_quality.Model(0.4)
+    model.fit(good, open_, steps=1, rate=1e-3, decay=0)
+    both = np.concatenate([good, open_])
+    mean, scale = both.mean(axis=0), 1 / np.maximum(both.std(axis=0), 0.02)
+    bias = math.log(p / (1 - p))
+
+    def risk(w):
+        gx, gu = ((a - mean) * scale @ w + bias for a in (good.astype(float), open_.astype(float)))
+        loss = lambda g, y: np.logaddexp(0, -g if y else g).mean()
+        return p * loss(gx, 1) + max(0.0, loss(gu, 0) - p * loss(gx, 0))
+
+    zero, at = np.zeros(pu_quality.WIDTH), np.arange(0, pu_quality.WIDTH, 37)
+    slope = np.array([(risk(zero + 1e-5 * (np.arange(pu_quality.WIDTH) == i)) - risk(zero)) / 1e-5 for i in at])
+    clear = np.abs(slope) > 1e-3
+    assert clear.sum() > 5 and (np.sign(model.weights[at][clear]) == -np.sign(slope[clear])).all()
