@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+from juriscope.llm import simhash
 from juriscope.llm import set_similarity
 from test_text_operators import WORD, ascii_lower, bag
 
@@ -14,12 +15,19 @@ def grams(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
+def fingerprint(text):
+    import numpy as np
+
+    hashes = simhash.shingle_hashes((text or "").encode(), 5, 42)
+    return int(simhash.majority(np.array(hashes, np.uint64), np.array([0, len(hashes)]))[0])
+
+
 def slow(rows):
-    """(doc_id, component_id) of every row, all pairs compared."""
-    sets = [grams(t) for _, t in rows]
+    """(doc_id, component_id) of every row, all pairs compared: fingerprints and sets."""
+    sets, prints = [grams(t) for _, t in rows], [fingerprint(t) for _, t in rows]
     label = list(range(len(rows)))
     while True:
-        new = [min(label[j] for j in range(len(rows)) if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])) for i in range(len(rows))]
+        new = [min(label[j] for j in range(len(rows)) if sets[i] == sets[j] or (prints[i] ^ prints[j]).bit_count() <= 4 or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])) for i in range(len(rows))]
         if new == label:
             break
         label = new
