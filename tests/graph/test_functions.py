@@ -88,7 +88,7 @@ def test_quotes():
     assert BODY[slice(*s)].strip() == "The rule of Smith v. Jones, 5 U.S. 1, is that every agency must explain itself fully."
     assert quotes.expand([BODY], "every agency must explain") == BODY[slice(*s)].strip()
     assert quotes.expand([BODY], "words that stand nowhere in it") == "words that stand nowhere in it"
-    streams = [quotes.tokens(BODY)]
+    streams = [quotes.Stream(quotes.tokens(BODY))]
     assert quotes.verify(streams, "is that every agency must explain")[0] == "found"
     assert quotes.verify(streams, "We begin")[0] == "short"
     assert quotes.verify(streams, "That ends the matter as the court. The rule of Smith v Jones 5 U.S. 1 is that.")[0] in ("stitched", "partial")
