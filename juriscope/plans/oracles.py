@@ -283,8 +283,8 @@ ORACLES |= {
         """, c AS (SELECT cluster_id, citations[2] AS cite, cluster_id % 100 AS target, case_name FROM opinions)
 SELECT cluster_id, concat(cite, ', 12') AS cite, target, case_name FROM c UNION ALL SELECT cluster_id, cite, target, case_name FROM c"""
     ),
-    "document_titles": """WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, row_number() OVER (PARTITION BY conv_id, role = 'user' ORDER BY turn) AS k FROM conversations WHERE trim(text) <> '')
-SELECT conv_id, pos, concat(CASE role WHEN 'user' THEN 'Dissent' ELSE 'Opinion of the Court' END, CASE WHEN k > 1 THEN concat(' ', k) ELSE '' END) AS title, 1::BIGINT AS n_blocks FROM c""",
+    "document_titles": """WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, row_number() OVER (PARTITION BY conv_id, role = 'user' ORDER BY turn) AS k, n FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE trim(text) <> '')
+SELECT conv_id, pos, CASE WHEN n > 1 THEN concat(CASE role WHEN 'user' THEN 'Dissent' ELSE 'Opinion of the Court' END, CASE WHEN k > 1 THEN concat(' ', k) ELSE '' END) END AS title, 1::BIGINT AS n_blocks FROM c""",
 }
 
 
