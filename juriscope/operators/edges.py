@@ -37,30 +37,21 @@ def build(groups: DataFrame, opinions: DataFrame, controlling: DataFrame) -> Dat
     usable = groups.withColumnRenamed("cluster_id", "citing").withColumnRenamed("cited_cluster_id", "cited")
     usable = usable.filter("cited is not null and cited <> 0 and cited <> citing").join(scoped, "cited", "left_semi")
     flagged = usable.join(controlling.select("citing", "cited", F.lit("controlling").alias("scope")), ["citing", "cited"], "left").withColumn("scope", F.coalesce("scope", F.lit("collection")))
-    common = ["citing", "cited", F.col("n").alias("authority_n"), F.coalesce("n_mentions", F.lit(0)).cast("int").alias("n_mentions"), "scope"]
-    first = F.row_number().over(Window.partitionBy("citing", "cited").orderBy("load_ord", "n"))
-    applied = flagged.withColumn("_first", first).filter("_first = 1").select(
-        F.struct("load_ord", "n", F.lit(0).alias("kind"), F.lit(0).alias("pos")).alias("edge_ord"),
-        F.coalesce(filled(F.col("treatment")), F.lit(tax.PLAIN)).alias("treatment"),
-        F.coalesce(filled(F.col("source")), F.lit("model")).alias("source"),
-        filled(F.col("expert_treatment")).alias("expert_treatment"),
-        or_empty(F.col("quote")).alias("quote"),
-        or_empty(F.col("rationale")).alias("rationale"),
-        F.lit("").alias("acting_case"),
-        *common,
-    )
-    each = flagged.select("*", F.posexplode("recognized").alias("pos", "r")).withColumn("label", F.trim(or_empty(F.col("r.treatment")))).filter(F.col("label").endswith(" by"))
-    recognized = each.select(
-        F.struct("load_ord", "n", F.lit(1).alias("kind"), "pos").alias("edge_ord"),
-        F.replace("label", F.lit(" by"), F.lit(tax.SUFFIX)).alias("treatment"),
-        F.lit("model").alias("source"),
-        F.lit(None).cast("string").alias("expert_treatment"),
-        or_empty(F.col("r.quote")).alias("quote"),
-        or_empty(F.col("r.rationale")).alias("rationale"),
-        F.trim(or_empty(F.col("r.acting_case"))).alias("acting_case"),
-        *common,
+    first = F.row_number().over(Window.partitionBy("citing", "cited").orderBy("load_ord", "n")) == 1
+
+    def edge(kind: int, pos: Column, treatment: Column, source: Column, expert: Column, quote: Column, rationale: Column, acting: Column) -> Column:
+        fields = {"edge_ord": F.struct("load_ord", "n", F.lit(kind).alias("kind"), pos.cast("int").alias("pos")), "treatment": treatment, "source": source, "expert_treatment": expert.cast("string"), "quote": or_empty(quote), "rationale": or_empty(rationale), "acting_case": acting}
+        return F.struct(*[x.alias(name) for name, x in fields.items()])
+
+    own = edge(0, F.lit(0), F.coalesce(filled(F.col("treatment")), F.lit(tax.PLAIN)), F.coalesce(filled(F.col("source")), F.lit("model")), filled(F.col("expert_treatment")), F.col("quote"), F.col("rationale"), F.lit(""))
+    labelled = F.transform(F.coalesce("recognized", F.array()), lambda r, i: F.struct(i.alias("pos"), F.trim(or_empty(r["treatment"])).alias("label"), r.alias("r")))
+    told = F.transform(
+        F.filter(labelled, lambda x: x["label"].endswith(" by")),
+        lambda x: edge(1, x["pos"], F.replace(x["label"], F.lit(" by"), F.lit(tax.SUFFIX)), F.lit("model"), F.lit(None), x["r"]["quote"], x["r"]["rationale"], F.trim(or_empty(x["r"]["acting_case"]))),
     )
-    return applied.unionByName(recognized).select(EDGE)
+    # Both kinds come out of one pass over the groups.
+    each = flagged.withColumn("_first", first).select("citing", "cited", F.col("n").alias("authority_n"), F.coalesce("n_mentions", F.lit(0)).cast("int").alias("n_mentions"), "scope", F.explode(F.concat(F.when(F.col("_first"), F.array(own)).otherwise(F.array()), told)).alias("e"))
+    return each.select("citing", "cited", "authority_n", "n_mentions", "scope", "e.*").select(EDGE)
 
 
 def _side(opinions: DataFrame, courts: DataFrame, side: str) -> DataFrame:

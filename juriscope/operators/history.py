@@ -14,24 +14,25 @@ from pyspark.sql import functions as F
 
 from juriscope.functions import taxonomy as tax
 from juriscope.functions.text import act_verbs, below_entry, canonical_court, disposition_treatment, names_supreme_court, or_empty
+from juriscope.sources.scratch import written
 
 UNKNOWN, LOWEST, FIRST_COLUMN = 99, 4, 3
 
 
-def reach(pairs: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
+def reach(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
     """G1: (cluster_id, node, role): all that direct history leads to from each seed,
     down (below) and up (above) apart; below wins. ``pairs``: actor, target.
 
-    Every step anti-joins the new frontier with what is known, so cycles end; the
-    frontier is cut from its lineage each time."""
+    Every step anti-joins the new frontier with what is known, so a node is met once
+    however many paths lead to it, cycles end, and the loop stops when nothing is new."""
     found = None
     for role, a, b in (("below", "actor", "target"), ("above", "target", "actor")):
-        step = pairs.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-        seen = seeds.select("cluster_id", F.col("cluster_id").alias("node"))
+        step = written(pairs.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct(), "steps")
+        seen = seeds.select("cluster_id", F.col("cluster_id").alias("node")).distinct()
         front = seen
-        for _ in range(most):
+        while True:
             new = front.join(step, "node").select("cluster_id", F.col("next").alias("node")).distinct().join(seen, ["cluster_id", "node"], "left_anti")
-            front = _cut(new)
+            front = written(new, "frontier")
             if front.isEmpty():
                 break
             seen = seen.unionByName(front)
@@ -40,27 +41,6 @@ def reach(pairs: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
     return found
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="juriscope-"))
-    return df.checkpoint()
-
-
-def reach_sql(spark, pairs: DataFrame, depth: int = 8) -> DataFrame:
-    """G1 for acyclic pairs as one recursive query of bounded depth: (cluster_id, node, role)."""
-    pairs.createOrReplaceTempView("direct_pairs")
-    return spark.sql(f"""
-        WITH RECURSIVE down(top, node, d) AS (
-          SELECT actor, target, 1 FROM direct_pairs
-          UNION ALL SELECT down.top, p.target, d + 1 FROM down JOIN direct_pairs p ON p.actor = down.node WHERE d < {depth})
-        SELECT DISTINCT top AS cluster_id, node, 'below' AS role FROM down WHERE top <> node
-        UNION SELECT DISTINCT node, top, 'above' FROM down WHERE top <> node
-    """)
-
-
 def members(chains: DataFrame, seeds: DataFrame, opinions: DataFrame, courts: DataFrame) -> DataFrame:
     """The opinion nodes of each chain with court, level and date; the seed is ``self``."""
     nodes = seeds.select("cluster_id", F.col("cluster_id").alias("node"), F.lit("self").alias("role")).unionByName(chains.select("cluster_id", "node", "role"))

@@ -52,19 +52,24 @@ def tier_hit(tier: Column, wanted: tuple[str, ...]) -> Column:
     return F.lower(F.coalesce(tier, F.lit("none"))).isin(list(wanted)) if wanted else F.lit(False)
 
 
-def row_matches(p: SearchParams) -> Column:
-    """On columns tier, court, dh_severity, cr_severity, search_text."""
+def told_apart(p: SearchParams) -> Column:
+    """P17 as far as the opinion itself tells: tier, court and search_text."""
     key = "".join(c for c in p.q.lower() if c.isascii() and c.isalnum())
     cond = F.lit(True)
     if p.anchors_only:
         cond &= F.col("tier") == "anchor"
     if p.courts:
         cond &= F.col("court").isin(list(p.courts))
-    if p.dh_sev or p.cr_sev:
-        cond &= tier_hit(F.col("dh_severity"), p.dh_sev) | tier_hit(F.col("cr_severity"), p.cr_sev)
     return cond & F.contains("search_text", F.lit(key)) if key else cond
 
 
+def row_matches(p: SearchParams) -> Column:
+    """On columns tier, court, dh_severity, cr_severity, search_text."""
+    if not p.dh_sev and not p.cr_sev:
+        return told_apart(p)
+    return told_apart(p) & (tier_hit(F.col("dh_severity"), p.dh_sev) | tier_hit(F.col("cr_severity"), p.cr_sev))
+
+
 def index_order() -> list[Column]:
     """O1: named opinions first, newest first, by name, in load order."""
     return [F.col("name_missing").asc(), (or_empty(F.col("date_filed")) == "").asc(), F.col("date_filed").desc(), F.lower("case_name").asc(), F.col("load_ord").asc()]

@@ -193,7 +193,12 @@ SELECT visible, total, greatest(1, ceil(visible / 10))::BIGINT AS page_count, 0:
     "index_order": _with("SELECT cluster_id, row_number() OVER (ORDER BY raw_name = '', date_filed DESC, lower(case_name), load_ord) - 1 AS ord FROM opinions"),
     "opinion_index_union": _with("SELECT cluster_id, CASE WHEN NOT is_scoped OR cluster_id % 50 = 0 THEN concat('external ', case_name) ELSE case_name END AS case_name, CASE WHEN NOT is_scoped OR cluster_id % 50 = 0 THEN 1 ELSE 0 END AS side FROM opinions"),
     "keep_first_tier": "SELECT o_orderkey % 700 AS cluster_id, left(o_orderpriority, 1)::INT AS folder, o_orderkey AS stem FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey % 700 ORDER BY folder, o_orderkey) = 1",
-    "history_edges": _with(_DIRECT + "SELECT * FROM pairs"),
+    "history_edges": _with(_DIRECT.replace("verdict = 'ok' AND ", "") + "SELECT * FROM pairs"),
+    "history_reach_raw": f"""WITH RECURSIVE {SQL}, pairs AS (SELECT DISTINCT citing AS actor, cited AS target FROM edges WHERE treatment IN ('Reversed by', 'Vacated by', 'Dismissed by')),
+down(top, node) AS (SELECT cluster_id, cluster_id FROM opinions UNION SELECT d.top, p.target FROM down d JOIN pairs p ON p.actor = d.node),
+up(top, node) AS (SELECT cluster_id, cluster_id FROM opinions UNION SELECT d.top, p.actor FROM up d JOIN pairs p ON p.target = d.node)
+SELECT top AS cluster_id, node, 'below' AS role FROM down WHERE top <> node
+UNION ALL SELECT u.top, u.node, 'above' FROM up u WHERE top <> node AND NOT EXISTS (SELECT 1 FROM down d WHERE d.top = u.top AND d.node = u.node)""",
     "history_reach": _recursive("SELECT * FROM chains"),
     "history_chain": _recursive(
         """, m0 AS (SELECT DISTINCT cluster_id, cluster_id AS node, 'self' AS role FROM chains UNION ALL SELECT * FROM chains),
@@ -318,9 +323,9 @@ g AS (SELECT display, CASE WHEN category IN ('scotus', 'circuit') THEN 'federal_
 SELECT tab, group_name, bool_or(contains(lower(display), 'ar')) OR contains(lower(group_name), 'ar') AS shown, (count(*) FILTER (contains(lower(display), 'ar')))::INT AS n_courts FROM g GROUP BY tab, group_name"""
         ),
         "citing_scope": _with("SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem JOIN opinions ON cluster_id = l_partkey AND tier = 'anchor'"),
-        "last_counts": """WITH f AS (SELECT l_partkey AS cluster_id, l_linenumber AS file, count(*) AS total FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY 1, 2)
+        "last_counts": """WITH f AS (SELECT l_partkey AS cluster_id, 1 - l_linenumber % 2 AS file, count(*) AS total FROM lineitem GROUP BY 1, 2)
 SELECT cluster_id, arg_max(total, file) AS total FROM f GROUP BY cluster_id""",
-        "levels_placed": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 + 1 AS l FROM orders WHERE o_orderkey % 4 = 0)
+        "levels_placed": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 + 1 AS l FROM orders)
 SELECT k AS cluster_id, unnest([0, 1, 2, 3])::INT AS "at", unnest([l, least(l + 1, 4), l - 1, 0])::INT AS level FROM o""",
         "card_labels": tr + "SELECT label, active AS treatment, CASE WHEN ord % 2 = 0 THEN active ELSE regexp_replace(label, ' by$', '') END AS defined_as FROM tr",
     }

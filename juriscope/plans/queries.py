@@ -10,6 +10,7 @@ from juriscope.functions import taxonomy as tax
 from juriscope.functions import documents, quotes, text
 from juriscope.operators import authorities, edges, history, later_courts, resolve, search
 from juriscope.sources import testdata as data
+from juriscope.sources.scratch import written
 
 
 def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +25,18 @@ def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return later_courts.statuses(_later(spark, sf_dir), data.opinions(spark, sf_dir), data.courts(spark, sf_dir))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = data.opinions(spark, sf_dir).filter("is_scoped")
-    s = _statuses(spark, sf_dir).select("cluster_id", "dh_severity", "cr_severity")
-    return o.join(s, "cluster_id").withColumns({"name_missing": F.col("raw_name") == "", "search_text": text.search_text(F.col("case_name"), F.col("citations"))})
+def _index(spark: SparkSession, sf_dir: str, p: search.SearchParams | None = None) -> DataFrame:
+    """The home page's rows; with ``p`` only those that its text, courts and tier let
+    through, and only their edges are joined and grouped."""
+    all_opinions, courts = data.opinions(spark, sf_dir), data.courts(spark, sf_dir)
+    o = all_opinions.filter("is_scoped").withColumns({"name_missing": F.col("raw_name") == "", "search_text": text.search_text(F.col("case_name"), F.col("citations"))})
+    e = data.edges(spark, sf_dir)
+    if p:
+        o = o.filter(search.told_apart(p))
+        e = e.join(o.select(F.col("cluster_id").alias("cited")), "cited", "left_semi")
+    later = later_courts.rows(edges.valid(edges.joined(e, all_opinions, courts)))
+    s = later_courts.statuses(later, o, courts).select("cluster_id", "dh_severity", "cr_severity")
+    return o.join(s, "cluster_id")
 
 
 def later_courts_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,12 +177,13 @@ HOME = search.SearchParams(q="custoMER#00000", dh_sev=("stop", "warning"), cr_se
 
 def home_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of a search."""
-    return search.search(_index(spark, sf_dir), HOME).select("page_index", "cluster_id", "case_name", "date_filed", "dh_severity", "cr_severity")
+    return search.search(_index(spark, sf_dir, HOME), HOME).select("page_index", "cluster_id", "case_name", "date_filed", "dh_severity", "cr_severity")
 
 
 def home_search_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of all anchors."""
-    return search.search(_index(spark, sf_dir), search.SearchParams(page=1)).select("page_index", "cluster_id", "case_name")
+    p = search.SearchParams(page=1)
+    return search.search(_index(spark, sf_dir, p), p).select("page_index", "cluster_id", "case_name")
 
 
 def home_search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,19 +223,32 @@ def _direct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct acts of each pair."""
-    return _direct(spark, sf_dir).select("actor", "target", F.size("links").alias("n_links"), F.get("links", F.lit(0))["treatment"].alias("worst"))
+    """Direct acts of each pair, as recorded: dates and courts rule none out."""
+    pairs = edges.direct_history(data.edges(spark, sf_dir))
+    return pairs.select("actor", "target", F.size("links").alias("n_links"), F.get("links", F.lit(0))["treatment"].alias("worst"))
+
+
+def _chains(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    return history.reach(pairs.select("actor", "target"), data.opinions(spark, sf_dir).select("cluster_id"))
 
 
 def history_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1: the chain of every opinion, over valid edges (raw ones can cycle)."""
-    return history.reach_sql(spark, _direct(spark, sf_dir).select("actor", "target"))
+    """G1: the chain of every opinion over valid edges."""
+    return _chains(spark, sf_dir, _direct(spark, sf_dir))
+
+
+#: The acts that ``history_reach_raw`` follows.
+ENDING = ("Reversed by", "Vacated by", "Dismissed by")
+
+
+def history_reach_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1, E5: chains over acts that end a decision, as recorded, cycles included."""
+    return _chains(spark, sf_dir, edges.direct_history(data.edges(spark, sf_dir).filter(F.col("treatment").isin(*ENDING))))
 
 
 def history_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid of every chain of two or more."""
-    pairs = _direct(spark, sf_dir).select("actor", "target")
-    chains = history.reach_sql(spark, pairs)
+    chains = _chains(spark, sf_dir, _direct(spark, sf_dir))
     seeds = chains.select("cluster_id").distinct()
     m = history.members(chains, seeds, data.opinions(spark, sf_dir), data.courts(spark, sf_dir))
     # Places in a chain: the opinion itself, then the others by id.
@@ -233,6 +256,13 @@ def history_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.layout(m.withColumn("at", at)).select("cluster_id", "node", "role", "at", "row", "col", "tier", "dir", "col_start", "col_end", "span")
 
 
+def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opinions of every chain, and whether a reported act is drawn on it."""
+    m, drawn = _drawn(spark, sf_dir)
+    reported = drawn.select("cluster_id", F.lit("reported").alias("role"))
+    return history.summary(m.select("cluster_id", "role").unionByName(reported)).select("cluster_id", F.col("n_opinions").cast("long").alias("n_opinions"), "has_reported")
+
+
 def reported_acts_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E6, J13, SO5, G10: reported acts that no recorded act covers."""
     v = _views(spark, sf_dir)
@@ -241,15 +271,18 @@ def reported_acts_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("citing").alias("n_citing"))
 
 
+def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The members of every chain, and the reported acts drawn on it."""
+    pairs = written(_direct(spark, sf_dir), "direct")
+    reports = history.unrecorded_reports(edges.reported_acts(_views(spark, sf_dir)).withColumn("target", F.col("cited")), pairs)
+    seeds = data.opinions(spark, sf_dir).select("cluster_id")  # a chain may be its seed alone
+    m = written(history.members(_chains(spark, sf_dir, pairs), seeds, data.opinions(spark, sf_dir), data.courts(spark, sf_dir)), "members")
+    return m, history.drawn_reports(written(reports, "reports"), m)
+
+
 def drawn_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reported acts drawn on every chain."""
-    v = _views(spark, sf_dir)
-    pairs = _direct(spark, sf_dir)
-    reports = history.unrecorded_reports(edges.reported_acts(v).withColumn("target", F.col("cited")), pairs)
-    seeds = data.opinions(spark, sf_dir).select("cluster_id")  # a chain may be its seed alone
-    chains = history.reach_sql(spark, pairs.select("actor", "target"))
-    m = history.members(chains, seeds, data.opinions(spark, sf_dir), data.courts(spark, sf_dir))
-    return history.drawn_reports(reports, m).select("cluster_id", "target", "citing", "court", F.size("treatments").alias("n"))
+    return _drawn(spark, sf_dir)[1].select("cluster_id", "target", "citing", "court", F.size("treatments").alias("n"))
 
 
 def treatment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +354,7 @@ QUERIES = {
         later_courts_status, severity_summary, later_courts_rows, later_courts_pills, later_courts_ranks, list_sort_court, pill_validation,
         edge_validation, court_relation, court_list, court_picker, edges_all, resolve_groups, cite_owners, name_owners,
         authority_rows, authority_ranks, authority_meta, scope_counts, index_entries, home_search, home_search_page2, home_search_counts,
-        index_order, opinion_index_union, keep_first_tier, history_edges, history_reach, history_chain, reported_acts_antijoin, drawn_reports,
+        index_order, opinion_index_union, keep_first_tier, history_edges, history_reach, history_reach_raw, history_summary, history_chain, reported_acts_antijoin, drawn_reports,
         treatment_labels, treatment_table, treatment_definitions, disposition, text_keys, token_streams, excerpts, writing_titles, mention_navigator,
     )
 }
@@ -493,10 +526,10 @@ def citing_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The later of two files overrides."""
+    """The later of two files, of odd and of even lines, overrides."""
     li = data.table(spark, sf_dir, "lineitem")
-    file = lambda n, i: li.filter(F.col("l_linenumber") == n).groupBy(F.col("l_partkey").alias("cluster_id")).agg(F.count("*").alias("total")).withColumn("file", F.lit(i))
-    return file(1, 0).unionByName(file(2, 1)).groupBy("cluster_id").agg(F.max_by("total", "file").alias("total"))
+    file = lambda n, i: li.filter(F.col("l_linenumber") % 2 == n).groupBy(F.col("l_partkey").alias("cluster_id")).agg(F.count("*").alias("total")).withColumn("file", F.lit(i))
+    return file(1, 0).unionByName(file(0, 1)).groupBy("cluster_id").agg(F.max_by("total", "file").alias("total"))
 
 
 def levels_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
