@@ -82,3 +82,22 @@ def test_another_text_of_a_repeated_id_stays(spark):
     rows = [(1, text("a")), (7, text("a")), (7, text("b"))]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert bag(corpus_pipeline.near(spark, docs, ""), "doc_id", "text") == Counter([rows[0], rows[2]])
+
+
+def test_signatures_never_part_similar_sets(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng, rows = np.random.default_rng(2), []
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.unique(np.concatenate([a[: n - int(rng.integers(0, n // 4 + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)]))
+        a = np.unique(a)
+        if len(b):
+            both = len(np.intersect1d(a, b))
+            rows.append((set_similarity.parity(a), set_similarity.parity(b), len(a), len(b), 10 * both >= 8 * (len(a) + len(b) - both)))
+    frame = spark.createDataFrame(rows, "u array<long>, v array<long>, n int, m int, alike boolean")
+    got = frame.withColumn("passes", set_similarity.near_enough(F.col("u"), F.col("v"), F.col("n"), F.col("m"), 80)).groupBy("alike", "passes").count().collect()
+    counts = {(r.alike, r.passes): r["count"] for r in got}
+    assert counts[True, True] > 50 and (True, False) not in counts and counts[False, False] > 50
