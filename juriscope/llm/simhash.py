@@ -15,8 +15,9 @@ fingerprints; a node of more than ``task_codes`` fingerprints is cut into chunks
 hash, and its tasks are the pairs of chunks.  A task returns a spanning forest of its
 links.
 
-Components: edges are contracted, each node to the best of its neighbourhood by
-a hash that changes each round, until none is left; every step is a join.
+Components: edges are contracted, each node to the best of its neighbourhood, by turns
+the least and the first by a hash that changes each round, until none is left; every
+step is a join.
 
 Defined results: null and empty texts have fingerprint zero, linked like any
 other; texts shorter than a shingle count as one shingle; rows that repeat an id
@@ -223,10 +224,13 @@ def links(codes: DataFrame, bits: int = 4, task_codes: int = 20_000) -> DataFram
         roots = np.arange(len(whole))
         for i, j in trie_pairs(a, b, bits, depth):
             union(roots, i, j if b is None else j + len(a))
-        order = np.argsort(roots, kind="stable")
-        chain = np.flatnonzero(roots[order][1:] == roots[order][:-1])
-        out = rotate(whole[order], (64 - turns[r]) % 64).view(np.int64)
-        return pa.table({"u": out[chain], "v": out[chain + 1]})
+        # A star around the least code of each component.
+        out = rotate(whole, (64 - turns[r]) % 64).view(np.int64)
+        hub = out.copy()
+        np.minimum.at(hub, roots, out)
+        hub = hub[roots]
+        away = hub != out
+        return pa.table({"u": hub[away], "v": out[away]})
 
     return dealt.groupBy("r", "a", "b", "i", "j").applyInArrow(join, "u long, v long")
 
@@ -234,14 +238,16 @@ def links(codes: DataFrame, bits: int = 4, task_codes: int = 20_000) -> DataFram
 # ------------------------------------------------------------------ components
 def contract(edges: DataFrame) -> DataFrame:
     """(node, root): a common root for the nodes of every connected component. Every round
-    merges at least the neighbours of the node that ranks first, so no edge is left at last."""
+    merges at least the neighbours of the node that ranks first, so no edge is left at last.
+    Even rounds rank nodes by themselves, which ends a star around its least node at once, odd
+    ones by a hash, which shortens paths of any order."""
     pair = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
     edges = written(edges.select(*pair("u", "v")).filter("u <> v").distinct(), "edges")
     maps: list[DataFrame] = []
     for k in count():
         if maps and edges.isEmpty():
             break
-        rank = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("rank"), c.alias("to"))  # noqa: B023, E731
+        rank = lambda c: F.struct((F.xxhash64(F.lit(k), c) if k % 2 else c).alias("rank"), c.alias("to"))  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         best = both.groupBy("u").agg(F.min(rank(F.col("v"))).alias("best"))
         maps.append(written(best.select(F.col("u").alias("node"), F.least(F.col("best"), rank(F.col("u")))["to"].alias("to")), "map"))
