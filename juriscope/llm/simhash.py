@@ -236,6 +236,10 @@ def links(codes: DataFrame, bits: int = 4, task_codes: int = 20_000) -> DataFram
 
 
 # ------------------------------------------------------------------ components
+#: Edges that one task contracts by itself: 16 bytes each, so a few MB; more are shuffled.
+TASK_EDGES = 200_000
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """(node, root): a common root for the nodes of every connected component. Every round
     merges at least the neighbours of the node that ranks first, so no edge is left at last.
@@ -245,12 +249,16 @@ def contract(edges: DataFrame) -> DataFrame:
     edges = written(edges.select(*pair("u", "v")).filter("u <> v").distinct(), "edges")
     maps: list[DataFrame] = []
     for k in count():
-        if maps and edges.isEmpty():
+        n = edges.count()
+        if maps and not n:
             break
+        # Few edges are one partition, whose round needs no shuffle.
+        edges = edges.coalesce(1) if n <= TASK_EDGES else edges
         rank = lambda c: F.struct((F.xxhash64(F.lit(k), c) if k % 2 else c).alias("rank"), c.alias("to"))  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         best = both.groupBy("u").agg(F.min(rank(F.col("v"))).alias("best"))
-        maps.append(written(best.select(F.col("u").alias("node"), F.least(F.col("best"), rank(F.col("u")))["to"].alias("to")), "map"))
+        to = written(best.select(F.col("u").alias("node"), F.least(F.col("best"), rank(F.col("u")))["to"].alias("to")), "map")
+        maps.append(to.coalesce(1) if n <= TASK_EDGES else to)
         at = lambda c: maps[-1].select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))
         moved = edges.join(at("u"), "u").join(at("v"), "v").filter("to_u <> to_v")
         edges = written(moved.select(*pair("to_u", "to_v")).distinct(), "edges")
