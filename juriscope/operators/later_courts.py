@@ -107,10 +107,14 @@ def _act(direct: bool) -> Column:
 
 def statuses(later: DataFrame, opinions: DataFrame, courts: DataFrame) -> DataFrame:
     """One row for each scoped opinion: what happened on appeal, how later
-    courts treat it, and the two tiers that filters read."""
+    courts treat it, and the two tiers that filters read. L16: its passage is that of the
+    row's leading act, whichever act is shown. ``lead_quote_status``, where ``later`` has it,
+    goes with it."""
+    if "lead_quote_status" not in later.columns:
+        later = later.withColumn("lead_quote_status", F.lit(""))
     acts = later.withColumns({"own": _act(True), "cr": _act(False)})
     place = lambda act: F.struct(F.col(f"{act}.rank").alias("rank"), F.col(f"{act}.reported").alias("reported"), tax.rank(F.col("severity")).alias("row_rank"), F.expr("-unix_date(cast(date_filed as date))").alias("age"), "first_ord")
-    about = lambda act: F.struct(F.col(f"{act}.treatment").alias("treatment"), F.col(f"{act}.severity").alias("severity"), F.col("case_name").alias("citing_name"), F.col("court_display").alias("citing_court"), "citing", "lead_quote", "authority_n")
+    about = lambda act: F.struct(F.col(f"{act}.treatment").alias("treatment"), F.col(f"{act}.severity").alias("severity"), F.col("case_name").alias("citing_name"), F.col("court_display").alias("citing_court"), "citing", F.col("lead_quote").alias("quote"), F.col("lead_quote_status").alias("quote_status"), "authority_n")
     has = lambda act: F.col(act).isNotNull()
     negative = has("cr") & tax.is_negative(F.col("cr.severity"))
     lead_key = F.struct(F.when(F.col("relation").isin("controlling", "equal"), 0).otherwise(1).alias("standing"), place("cr").alias("place"))
@@ -132,9 +136,9 @@ def statuses(later: DataFrame, opinions: DataFrame, courts: DataFrame) -> DataFr
         "cluster_id",
         scope.alias("scope"),
         F.when(appeal.isNotNull(), "treated").when(F.col("last_resort"), "not_reviewable").when(populated, "none").otherwise("unknown").alias("on_appeal_state"),
-        *[appeal[c].alias(f"on_appeal_{c}") for c in ("treatment", "severity", "citing_name", "citing")],
+        *[appeal[c].alias(f"on_appeal_{c}") for c in ("treatment", "severity", "citing_name", "citing", "quote", "quote_status", "authority_n")],
         F.when(lead.isNotNull(), "negative").when(n_later > 0, "plain").when(populated | (scope == "collection"), "none").otherwise("unknown").alias("later_state"),
-        *[lead[c].alias(f"later_{c}") for c in ("treatment", "severity", "citing_name", "citing_court", "citing")],
+        *[lead[c].alias(f"later_{c}") for c in ("treatment", "severity", "citing_name", "citing_court", "citing", "quote", "quote_status", "authority_n")],
         F.when(lead.isNotNull(), n_negative - 1).alias("n_other_negative"),
         F.when(lead.isNotNull(), n_later - n_negative).alias("n_plain"),
         F.when(n_later > 0, n_later).alias("n_total"),

@@ -114,6 +114,14 @@ ORACLES = {
   CASE WHEN ot IS NOT NULL THEN 'treated' WHEN last_resort THEN 'not_reviewable' WHEN populated THEN 'none' ELSE 'unknown' END AS on_appeal_state, ot AS on_appeal_treatment, os AS on_appeal_severity,
   CASE WHEN lt IS NOT NULL THEN 'negative' WHEN n_later > 0 THEN 'plain' WHEN populated OR tier <> 'anchor' THEN 'none' ELSE 'unknown' END AS later_state, lt AS later_treatment, ls AS later_severity, lc AS later_citing,
   CASE WHEN lt IS NOT NULL THEN n_negative - 1 END AS n_other_negative, CASE WHEN lt IS NOT NULL THEN n_later - n_negative END AS n_plain, CASE WHEN n_later > 0 THEN n_later END AS n_total FROM st"""
+    ),
+    "status_passages": _with(
+        _ACTS
+        + """, ps AS (SELECT cited, citing, arg_min(quote, (recognized, rank, nth)) AS quote, arg_min(l_linenumber, nth)::INT AS authority_n FROM kept GROUP BY cited, citing),
+so AS (SELECT cited, own.citing, ps.quote, authority_n FROM own JOIN ps USING (cited, citing)), sl AS (SELECT cited, lead.citing, ps.quote, authority_n FROM lead JOIN ps USING (cited, citing))
+SELECT cluster_id, so.citing AS on_appeal_citing, so.quote AS on_appeal_quote, so.authority_n AS on_appeal_authority_n, CASE WHEN so.citing IS NOT NULL THEN concat('/opinion/', so.citing, '/#authority-', so.authority_n) END AS on_appeal_href,
+  sl.citing AS later_citing, sl.quote AS later_quote, sl.authority_n AS later_authority_n, CASE WHEN sl.citing IS NOT NULL THEN concat('/opinion/', sl.citing, '/#authority-', sl.authority_n) END AS later_href
+FROM st LEFT JOIN so ON so.cited = cluster_id LEFT JOIN sl ON sl.cited = cluster_id"""
     ),
     "severity_summary": _with(_ACTS + "SELECT cluster_id, os AS dh_severity, coalesce(ls, fs) AS cr_severity FROM st"),
     "later_courts_rows": _with(

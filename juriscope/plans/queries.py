@@ -45,6 +45,14 @@ def later_courts_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("cluster_id", "scope", "on_appeal_state", "on_appeal_treatment", "on_appeal_severity", "later_state", "later_treatment", "later_severity", "later_citing", "n_other_negative", "n_plain", "n_total")
 
 
+def status_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passage that each status row links to."""
+    s = _statuses(spark, sf_dir)
+    of = lambda side: [F.col(f"{side}_{c}") for c in ("citing", "quote", "authority_n")]
+    link = lambda side: F.when(F.col(f"{side}_citing").isNotNull(), text.page_link(F.col(f"{side}_citing"), F.col(f"{side}_authority_n"), F.col(f"{side}_quote"), F.col(f"{side}_quote_status"))).alias(f"{side}_href")
+    return s.select("cluster_id", *of("on_appeal"), link("on_appeal"), *of("later"), link("later"))
+
+
 def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two tiers that the home page filters by."""
     return _statuses(spark, sf_dir).select("cluster_id", "dh_severity", "cr_severity")
@@ -351,7 +359,7 @@ def mention_navigator(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        later_courts_status, severity_summary, later_courts_rows, later_courts_pills, later_courts_ranks, list_sort_court, pill_validation,
+        later_courts_status, status_passages, severity_summary, later_courts_rows, later_courts_pills, later_courts_ranks, list_sort_court, pill_validation,
         edge_validation, court_relation, court_list, court_picker, edges_all, resolve_groups, cite_owners, name_owners,
         authority_rows, authority_ranks, authority_meta, scope_counts, index_entries, home_search, home_search_page2, home_search_counts,
         index_order, opinion_index_union, keep_first_tier, history_edges, history_reach, history_reach_raw, history_summary, history_chain, reported_acts_antijoin, drawn_reports,

@@ -30,11 +30,19 @@ def with_quotes(table: DataFrame, opinions: DataFrame, key: str, citations: str,
     return quoted.unionByName(plain)
 
 
+def with_lead_status(later: DataFrame, opinions: DataFrame) -> DataFrame:
+    """Q3 on the leading quote of each Later Courts row, whose text is the citing opinion."""
+    texts = opinions.select(F.col("cluster_id").alias("citing"), writings(F.col("document")).alias("_writings"))
+    quoted = later.filter("lead_quote <> ''").join(texts, "citing", "left")
+    quoted = quoted.withColumn("lead_quote_status", quotes.status(F.col("lead_quote"), F.coalesce("_writings", F.array().cast("array<string>")))).drop("_writings")
+    return quoted.unionByName(later.filter("lead_quote is null or lead_quote = ''").withColumn("lead_quote_status", F.lit("")))
+
+
 def pages(corpus: Corpus) -> DataFrame:
     """One row for each opinion: its lists in page order, its status, its text."""
     o, courts = corpus.opinions, corpus.courts
     views = edges.valid(edges.joined(corpus.edges, o, courts))
-    later = later_courts.ranks(later_courts.rows(views))
+    later = with_lead_status(later_courts.ranks(later_courts.rows(views)), o)
     auth = authorities.ranks(authorities.rows(corpus.groups, o, courts))
     listed = lambda t, key, order, name: t.groupBy(F.col(key).alias("cluster_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), F.struct(*[c for c in t.columns if c not in (key, "first_ord")]).alias("row")))), lambda x: x["row"]).alias(name))
     paragraphs = F.flatten(F.transform("document", lambda w: F.transform(F.filter(w["blocks"], lambda b: b["type"].isin("paragraph", "blockquote")), lambda b: F.trim(F.regexp_replace(F.regexp_replace(b["html"], "<[^>]+>", ""), r"\s+", " ")))))

@@ -66,6 +66,9 @@ def test_pages_and_sinks(spark, corpus, tmp_path):
     pages = {r.cluster_id: r for r in site.pages(corpus).collect()}
     assert [x.citing for x in pages[2].cited_by] == [3, 4] or len(pages[2].cited_by) == 2
     assert pages[4].cited_authorities[0].treatment_active == "Distinguishes" and pages[1].excerpt.startswith("The court speaks")
+    # The passage of a status is the leading act's, checked against the citing opinion's text.
+    assert (pages[2].later_citing, pages[2].later_quote, pages[2].later_quote_status, pages[2].later_authority_n) == (4, "We find Smith inapposite", "found", 1)
+    assert (pages[2].on_appeal_citing, pages[2].on_appeal_quote, pages[2].on_appeal_quote_status) == (3, "", "")
     cited = corpus.opinions.selectExpr("cluster_id AS cited", "citations", "case_name")
     shown = {r.citing: r for r in site.with_quotes(corpus.edges.filter("acting_case = ''").join(cited, "cited"), corpus.opinions, "citing", "citations", "case_name").collect()}
     assert shown[4].quote == "We find Smith inapposite here, it said." and shown[4].quote_status == "found" and shown[4].quote_names == "name" and shown[3].quote_status == ""
