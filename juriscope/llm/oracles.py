@@ -68,4 +68,96 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(concat(role, chr(
 FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op3_line_frequency": OP3, "op4_line_runs": OP4, "op5_doubling": OP5, "op6_va_file": OP6, "op10_chat_grammar": OP10}
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{WORD}') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) END)) AS x FROM d),
+sets AS (SELECT min(doc_id) AS rep, x, len(x) AS n FROM s WHERE len(x) > 0 GROUP BY x),
+items AS (SELECT rep, n, unnest(x) AS item FROM sets),
+links AS (SELECT a.rep AS u, b.rep AS v FROM items a JOIN items b ON a.item = b.item AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n
+  HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT rep AS u, rep AS v FROM sets UNION SELECT reach.u, ways.v FROM reach JOIN ways ON ways.u = reach.v),
+least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT doc_id, len(s.x)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM s LEFT JOIN sets ON sets.x = s.x LEFT JOIN least ON least.u = sets.rep
+"""
+
+#: The 256 remainders that CRC-32 adds a byte by.
+CRC_TABLE = "SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))"
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+
+
+def _edit(state: str, cost: str, edit: str) -> str:
+    """A state, its cost in twelve digits before its edits, after one more edit."""
+    return f"lpad((left({state}, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || substr({state}, 13) || '{edit}'"
+
+
+def _closed(n: str) -> str:
+    """Columns s0 to s3: states n0 to n3 of ``n`` closed by inserts."""
+    two = f"least(n2, {_edit('n0', '5', 'I')}, {_edit('n1', '5', 'I')}, {_edit('n3', '5', 'I')})"
+    return f"SELECT conv_id, k, n0 AS s0, n1 AS s1, m2 AS s2, least(n3, {_edit('m2', '5', 'I')}) AS s3 FROM (SELECT *, {two} AS m2 FROM ({n}))"
+
+
+_KEEP, _NAME = (lambda s, c: f"CASE WHEN i = '{c}' THEN {_edit(s, 'more', 'K')} END"), (lambda s: _edit(s, "1 + more", "R"))
+_TWO = ", ".join(f"{_KEEP(s, 'u')}, {_NAME(s)}" for s in ("s0", "s1", "s3"))
+_START = "SELECT conv_id, 0::BIGINT AS k, lpad('0', 12, '0') AS n0, NULL::VARCHAR AS n1, NULL::VARCHAR AS n2, NULL::VARCHAR AS n3 FROM ids"
+_STEP = f"""SELECT conv_id, k, {_edit("s0", "2", "D")} AS n0,
+    CASE WHEN forced THEN {_edit("s1", "2", "D")} ELSE least({_edit("s1", "2", "D")}, {_KEEP("s0", "s")}) END AS n1,
+    CASE WHEN forced THEN {_edit("s2", "2", "D")} ELSE least({_edit("s2", "2", "D")}, {_TWO}) END AS n2,
+    CASE WHEN forced THEN {_edit("s3", "2", "D")} ELSE least({_edit("s3", "2", "D")}, {_KEEP("s2", "a")}, {_NAME("s2")}) END AS n3
+    FROM (SELECT dp.conv_id, seq.k, s0, s1, s2, s3, i, fault IN (1, 2) AS forced, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS more FROM dp JOIN seq ON seq.conv_id IS NOT DISTINCT FROM dp.conv_id AND seq.k = dp.k + 1)"""
+OP12 = rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS name FROM conversations),
+coded AS (SELECT given.*, {CRC.format("name")} % 20 AS code FROM given, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM coded),
+nth AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM hurt),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS k, nth > 1 AS again, rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS said FROM nth),
+seq AS (SELECT *, left(role, 1) AS i, CASE WHEN said = '' THEN 1 WHEN again THEN 2 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS two FROM placed),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+dp AS (
+  {_closed(_START)}
+  UNION ALL
+  {_closed(_STEP)}
+),
+best AS (SELECT conv_id, least(s0, s3) AS b FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1),
+walk AS (
+  SELECT conv_id, substr(b, 13) AS audit, 0::BIGINT AS p, 0::BIGINT AS k, 0 AS state, NULL::VARCHAR AS piece FROM best
+  UNION ALL
+  SELECT w.conv_id, audit, p + 1, w.k + (e <> 'I')::BIGINT,
+    CASE WHEN e = 'D' THEN state WHEN e = 'K' AND i = 's' THEN 1 WHEN state = 2 THEN 3 ELSE 2 END,
+    CASE WHEN e = 'D' THEN NULL WHEN e = 'K' THEN concat(role, ':', text) ELSE concat(CASE WHEN state = 2 THEN 'assistant' ELSE 'user' END, ':', CASE WHEN e = 'I' THEN '' ELSE text END) END
+  FROM (SELECT *, substr(audit, p + 1, 1) AS e FROM walk WHERE p < length(audit)) w LEFT JOIN seq ON seq.conv_id IS NOT DISTINCT FROM w.conv_id AND seq.k = w.k + 1
+),
+said AS (SELECT conv_id, sha256(coalesce(string_agg(piece, chr(10) ORDER BY p), '')) AS repaired_sha256 FROM walk GROUP BY conv_id),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+  count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM seq GROUP BY conv_id)
+SELECT best.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, left(b, 12)::BIGINT AS cost, substr(b, 13) AS audit, repaired_sha256
+FROM best JOIN said ON said.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+OP13 = rf"""
+WITH crc AS ({CRC_TABLE}),
+own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, c - c % 5 AS head, {CRC.format("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM own), crc),
+turns AS (SELECT ids.c, own.* EXCLUDE (c) FROM ids JOIN own ON own.c = head AND i <= h UNION ALL SELECT c, own.* EXCLUDE (c) FROM ids JOIN own USING (c) WHERE i > h),
+numbered AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY i) AS d FROM turns),
+path AS (SELECT c, d, octet_length(encode(text)) AS size, md5(string_agg(concat(length(role), ':', role, length(text), ':', text), ',') OVER (PARTITION BY c ORDER BY d)) AS key FROM numbered
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+node AS (SELECT key, min(d) AS d, min(c) AS conv_id, count(*) AS n, min(size) AS size FROM path GROUP BY key),
+up AS (SELECT node.key, above.key AS parent FROM node JOIN path above ON above.c = node.conv_id AND above.d = node.d - 1),
+kids AS (SELECT parent AS key, count(*) AS n_children FROM up GROUP BY parent),
+below AS (SELECT above.key, sum((node.n - 1) * node.size) AS saved, count(*) FILTER (kids.key IS NULL) AS n_leaves
+  FROM node LEFT JOIN kids ON kids.key = node.key JOIN path above ON above.c = node.conv_id AND above.d <= node.d GROUP BY above.key),
+ends AS (SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT * FROM path QUALIFY row_number() OVER (PARTITION BY c ORDER BY d DESC) = 1) GROUP BY key)
+SELECT node.conv_id, node.d::BIGINT AS depth, above.conv_id AS parent_conv_id, node.n::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM node JOIN below ON below.key = node.key LEFT JOIN kids ON kids.key = node.key LEFT JOIN up ON up.key = node.key LEFT JOIN node above ON above.key = up.parent LEFT JOIN ends ON ends.key = node.key
+"""
+
+ORACLES = {"op3_line_frequency": OP3, "op4_line_runs": OP4, "op5_doubling": OP5, "op6_va_file": OP6, "op10_chat_grammar": OP10, "op11_prefix_trees": OP11, "op12_role_viterbi": OP12, "op13_prefix_trie": OP13}

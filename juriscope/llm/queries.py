@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juriscope.llm import chat_format, language_id, line_dedup, packing, pu_quality, quality_rules, sentencepiece_stream, simhash, substring_dedup, vector_search
+from juriscope.llm import chat_format, conversation_repair, conversation_trie, jaccard_trie, language_id, line_dedup, packing, pu_quality, quality_rules, sentencepiece_stream, simhash, substring_dedup, vector_search
 from juriscope.llm.common import table
 
 
@@ -89,6 +89,19 @@ def op10_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_trie.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
+def op12_role_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.report(turns).drop("n_repaired")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(conversation_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,5 +115,8 @@ QUERIES = {
         op8_hyperdimensional,
         op9_simhash_trie,
         op10_chat_grammar,
+        op11_prefix_trees,
+        op12_role_viterbi,
+        op13_prefix_trie,
     )
 }
