@@ -20,9 +20,10 @@ longest set below can't reach P, or when all below is in the probe's component.
 
 Rounds: first every set is joined in one block only, its largest; then components are
 joined by one set each where a block was too large for a task; at last all sets of every
-block that holds two components.  Blocks with the same sets are one.  A block of more
-than ``TASK_ITEMS`` n-grams is cut into chunks by hash and its tasks are the pairs of
-chunks.  Tasks return spanning forests.
+block that holds two components.  For that, blocks that share sets are one block as long
+as it fits a task, so that a set is sent once and not with each of its parts.  A block of
+more than ``TASK_ITEMS`` n-grams is cut into chunks by hash and its tasks are the pairs
+of chunks.  Tasks return spanning forests.
 
 Defined results: null and empty texts have an empty set and are linked with nothing;
 rows that repeat an id each get their row; a null id gets its row and names no component
@@ -318,10 +319,8 @@ def similar(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def apart(roots: DataFrame) -> DataFrame:
         """The entries of blocks that hold two components, each with its component."""
         named = entries.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        mixed = named.groupBy("block").agg((F.min("root") < F.max("root")).alias("mixed"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y"))
-        # Blocks of the same sets are one.
-        once = mixed.filter("mixed").groupBy("k", "x", "y").agg(F.min("block").alias("block")).select("block")
-        return written(named.join(once, "block").select("block", "sid", "root", "n"), "apart")
+        mixed = named.groupBy("block").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed").select("block")
+        return written(named.join(mixed, "block").select("block", "sid", "root", "n"), "apart")
 
     left = apart(roots)
     if any_large:
@@ -330,7 +329,15 @@ def similar(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         reps = left.join(totals, "block").groupBy("root").agg(F.max(F.struct("total", "block", "sid")).alias("r")).select("r.block", "r.sid")
         roots = joined(roots, written(trie_join(placed(reps, True), percent), "links"))
         left = apart(roots)
-    return joined(roots, written(trie_join(placed(left.select("block", "sid"), True), percent), "links"))
+    # Blocks that share sets, as far as they fit a task together.
+    hubs = left.groupBy("block").agg(F.min("sid").alias("u"))
+    clusters = contract(left.join(hubs, "block").select("u", F.col("sid").alias("v")))
+    of = written(left.join(clusters.withColumnRenamed("node", "sid").withColumnRenamed("root", "cluster"), "sid").select("block", "sid", "n", "cluster"), "clusters")
+    members = of.select("cluster", "sid", "n").distinct()
+    fits = written(members.groupBy("cluster").agg((F.sum("n") <= TASK_ITEMS).alias("fits")), "fits")
+    together = members.join(fits.filter("fits"), "cluster").select(F.col("cluster").alias("block"), "sid")
+    single = of.join(fits.filter("NOT fits"), "cluster").select("block", "sid")
+    return joined(roots, written(trie_join(placed(together.unionByName(single), True), percent), "links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90) -> DataFrame:
@@ -341,8 +348,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(quoted(text_col)).cast("string")
     texts = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("doc_id", "text")).select("doc_id", "row", "text")
     marks = written(marks_of(texts, shingle, percent), "marks")
-    met = marks.select("sid", "n", F.explode("keys").alias("block")).distinct()
-    shared = met.groupBy("block").agg(F.count("*").alias("k")).filter("k > 1").select("block")
+    once = marks.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    met = once.select("sid", "n", F.explode("keys").alias("block")).repartition("block")
+    # Two sets whose sizes differ too much aren't similar.
+    near = (F.col("k") > 2) | (100 * F.col("least") >= percent * F.col("most"))
+    shared = met.groupBy("block").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("n").alias("most")).filter((F.col("k") > 1) & near).select("block")
     entries = written(met.join(shared, "block").select("block", "sid", "n"), "entries")
     codes = written(marks.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row")), "codes")
     # The text of one row of each set that meets another.
