@@ -37,12 +37,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juriscope.llm.common import quoted, written
+from juriscope.llm import hashing
+from juriscope.llm.common import quoted, text_blocks, written
 from juriscope.llm.hashing import mix
-from juriscope.llm.set_similarity import joined, set_id, shingle_sets
 from juriscope.llm.simhash import contract, union
 
 #: N-grams that one task holds of a block: 8 MB, some ten times that while it joins them.
@@ -51,6 +52,39 @@ TASK_ITEMS = 1 << 20
 STEP = 1 << 20
 
 
+# ------------------------------------------------------------------------ sets
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of texts: their distinct shingles, each text's sorted, and the first of
+    each text (with the number of all at the end)."""
+    for start, stop, data, offsets in text_blocks(column):
+        data = _LOWER[data]
+        starts, stops, firsts = hashing.find_words(data, offsets)
+        words = hashing.word_hashes(data, starts, stops) if len(starts) else np.zeros(0, np.uint64)
+        grams = hashing.window_hashes(words, shingle)
+        of = np.repeat(np.arange(stop - start), np.diff(firsts))
+        inside = hashing.inside_texts(firsts, shingle, len(grams)) if len(grams) else np.zeros(0, bool)
+        grams, of = grams[inside], of[: len(inside)][inside]
+        n = np.diff(firsts)
+        short = np.flatnonzero((n > 0) & (n < shingle))
+        if len(short):
+            whole = [hashing.window_hashes(words[firsts[i] : firsts[i + 1]], int(n[i]))[0] for i in short]
+            grams, of = np.concatenate([grams, np.array(whole, np.uint64)]), np.concatenate([of, short])
+        order = np.lexsort((grams, of))
+        grams, of = grams[order], of[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
+        grams, of = grams[new], of[new]
+        yield grams, np.searchsorted(of, np.arange(stop - start + 1))
+
+
+def set_id(grams: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(grams.tobytes())
+
+
 # ---------------------------------------------------------------------- blocks
 def whole(percent: int) -> int:
     """The least size at which two sets of ``percent`` may differ: of n and n - 1 elements."""
@@ -89,23 +123,25 @@ def _longs(values: np.ndarray) -> pa.Array:
 
 
 def marks_of(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, row, sid, n, keys): the set of every row of ``texts`` (doc_id, row, text), its
-    size and the keys of its parts."""
+    """The columns of ``texts``, whose last is the text, without it and with sid, n and keys:
+    the set of every row, its size and the keys of its parts."""
+    kept = texts.columns[:-1]
+    schema = ", ".join(f"{c} {t}" for c, t in texts.dtypes[:-1]) + ", sid long, n long, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for items, firsts in shingle_sets(batch.column(2), shingle):
+            for items, firsts in shingle_sets(batch.column(len(kept)), shingle):
                 n = np.diff(firsts)
                 ids = np.array([set_id(items[a:b]) for a, b in zip(firsts[:-1], firsts[1:], strict=True)], np.uint64)
                 of, keys = parts(items, firsts, percent)
                 keys = keys[np.argsort(of, kind="stable")]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(n)))])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _longs(keys))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), batch.column(1).slice(at, len(n)), _longs(ids), pa.array(n), lists], ["doc_id", "row", "sid", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(n)) for k in range(len(kept))), _longs(ids), pa.array(n), lists], [*kept, "sid", "n", "keys"])
                 at += len(n)
 
-    return texts.mapInArrow(run, "doc_id long, row long, sid long, n long, keys array<long>")
+    return texts.mapInArrow(run, schema)
 
 
 def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
@@ -295,9 +331,25 @@ def trie_join(placed: DataFrame, percent: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- rounds
-def similar(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def at_roots(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``links`` (u, v) between the roots of their ends."""
+    for side in ("u", "v"):
+        links = links.join(roots.select(F.col("node").alias(side), "root"), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    return links.filter("u <> v").select("u", "v")
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after ``links`` (u, v) are added to the components of ``roots``: only
+    links between components are contracted."""
+    up = contract(at_roots(links, roots))
+    moved = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return written(moved.unionByName(up.select("node", "root").join(roots.select("node"), "node", "left_anti")), "roots")
+
+
+def similar(entries: DataFrame, sets: DataFrame, percent: int, known: DataFrame) -> DataFrame:
     """(node, root) of the sets that are linked to another; ``entries`` (block, sid, n)
-    hold blocks of two sets and more, ``sets`` (sid, items) their n-grams."""
+    hold blocks of two sets and more, ``sets`` (sid, items) their n-grams, ``known`` (u, v)
+    links that are found already."""
     sizes = entries.groupBy("block").agg(F.sum("n").alias("total"))
     large = written(sizes.filter(F.col("total") > TASK_ITEMS).select("block", F.ceil(F.col("total") / TASK_ITEMS).alias("chunks")), "large")
     any_large = not large.isEmpty()
@@ -312,16 +364,17 @@ def similar(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             cut = cut.select("block", "sid", F.explode(spread).alias("c")).select("block", "c.a", "c.b", "sid")
         return cut.join(sets, "sid")
 
-    # Every set once, in its largest block.
-    best = entries.join(sizes, "block").groupBy("sid").agg(F.max(F.struct("total", "block"))["block"].alias("block"))
-    roots = contract(written(trie_join(placed(best.select("block", "sid"), False), percent), "links"))
-
     def apart(roots: DataFrame) -> DataFrame:
         """The entries of blocks that hold two components, each with its component."""
         named = entries.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         mixed = named.groupBy("block").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed").select("block")
         return written(named.join(mixed, "block").select("block", "sid", "root", "n"), "apart")
 
+    roots = contract(known)
+    # Every set once, in its largest block.
+    left = apart(roots)
+    best = left.join(sizes, "block").groupBy("sid").agg(F.max(F.struct("total", "block"))["block"].alias("block"))
+    roots = joined(roots, written(trie_join(placed(best.select("block", "sid"), False), percent), "links"))
     left = apart(roots)
     if any_large:
         # One set of each component, in the largest block that it shares with others.
@@ -340,27 +393,35 @@ def similar(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined(roots, written(trie_join(placed(together.unionByName(single), True), percent), "links"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the size of each row's set and its class, named by
-    the smallest doc_id reached over links of ``percent`` or more."""
-    if not 0 < percent <= 100:
-        raise ValueError("percent must be above 0 and at most 100")
-    text = F.col(quoted(text_col)).cast("string")
-    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("doc_id", "text")).select("doc_id", "row", "text")
-    marks = written(marks_of(texts, shingle, percent), "marks")
+def components(texts: DataFrame, marks: DataFrame, shingle: int, percent: int, known: DataFrame) -> DataFrame:
+    """(sid, component_id): the class of every set of ``marks``, named by the smallest doc_id;
+    ``texts`` (doc_id, row, text) and ``marks`` (doc_id, row, sid, n, keys) have the same
+    rows, ``known`` (u, v) are links between sets found elsewhere."""
     once = marks.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     met = once.select("sid", "n", F.explode("keys").alias("block")).repartition("block")
     # Two sets whose sizes differ too much aren't similar.
     near = (F.col("k") > 2) | (100 * F.col("least") >= percent * F.col("most"))
     shared = met.groupBy("block").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("n").alias("most")).filter((F.col("k") > 1) & near).select("block")
     entries = written(met.join(shared, "block").select("block", "sid", "n"), "entries")
-    codes = written(marks.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row")), "codes")
+    codes = written(marks.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row")), "codes")
     # The text of one row of each set that meets another.
     asked = codes.join(entries.select("sid").distinct(), "sid", "left_semi").select("row")
     sets = written(sets_of(texts.join(asked, "row"), shingle).dropDuplicates(["sid"]), "sets", codec="uncompressed")
-    roots = similar(entries, sets, percent)
+    roots = similar(entries, sets, percent, known)
     named = written(codes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = written(named.join(least, "root").select("sid", "component_id"), "components")
+    return written(named.join(least, "root").select("sid", "component_id"), "components")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the size of each row's set and its class, named by
+    the smallest doc_id reached over links of ``percent`` or more."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    text = F.col(quoted(text_col)).cast("string")
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("doc_id", "text")).select("doc_id", "row", "text")
+    marks = written(marks_of(texts, shingle, percent), "marks")
+    none = marks.select(F.col("sid").alias("u"), F.col("sid").alias("v")).limit(0)
+    of = components(texts, marks, shingle, percent, none)
     found = marks.select("doc_id", "n", "sid").join(of, "sid", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -84,20 +84,27 @@ def test_another_text_of_a_repeated_id_stays(spark):
     assert bag(corpus_pipeline.near(spark, docs, ""), "doc_id", "text") == Counter([rows[0], rows[2]])
 
 
-def test_signatures_never_part_similar_sets(spark):
+def test_texts_of_one_template_meet_in_few_blocks():
+    """Blocks hold few pairs of texts that share most of their words but not enough."""
     import numpy as np
-    from pyspark.sql import functions as F
-
-    rng, rows = np.random.default_rng(2), []
-    for _ in range(300):
-        n = int(rng.integers(1, 200))
-        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        b = np.unique(np.concatenate([a[: n - int(rng.integers(0, n // 4 + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)]))
-        a = np.unique(a)
-        if len(b):
-            both = len(np.intersect1d(a, b))
-            rows.append((set_similarity.parity(a), set_similarity.parity(b), len(a), len(b), 10 * both >= 8 * (len(a) + len(b) - both)))
-    frame = spark.createDataFrame(rows, "u array<long>, v array<long>, n int, m int, alike boolean")
-    got = frame.withColumn("passes", set_similarity.near_enough(F.col("u"), F.col("v"), F.col("n"), F.col("m"), 80)).groupBy("alike", "passes").count().collect()
-    counts = {(r.alike, r.passes): r["count"] for r in got}
-    assert counts[True, True] > 50 and (True, False) not in counts and counts[False, False] > 50
+    from juriscope.llm import jaccard_trie
+
+    frame = [f"t{k}" for k in range(21)]
+    sets = []
+    for i in range(400):
+        words = list(frame)
+        for at, k in ((4, 0), (11, 1), (17, 2)):
+            words.insert(at, f"own{i}x{k}")
+        (items, _), *_ = jaccard_trie.shingle_sets(__import__("pyarrow").array([" ".join(words)]), 5)
+        sets.append(items)
+    firsts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    of, key = jaccard_trie.parts(np.concatenate(sets), firsts, 80)
+    sizes = Counter(key.tolist())
+    assert sum(n * (n - 1) // 2 for n in sizes.values()) < 0.35 * len(sets) * (len(sets) - 1) / 2
+
+
+@pytest.mark.parametrize("columns", ["id long, body string, row string, sid string, tid string", "id long, body string, n string, keys string, block string"])
+def test_clashing_names(spark, columns):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(3, text, "x", "y", "z"), (1, text + " more", "x", "y", "z"), (2, "other text", None, None, None)], columns)
+    assert bag(set_similarity.near_duplicates(docs, "id", "body"), "doc_id", "component_id") == Counter([(3, 1), (1, 1), (2, 2)])
