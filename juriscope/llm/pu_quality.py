@@ -103,9 +103,14 @@ class Model:
         return self
 
 
+def limit_of(share: float) -> int:
+    """The 63-bit numbers up to which a share of all lies, however small it is."""
+    return max(0, min((1 << 63) - 1, int(share * float(1 << 63))))
+
+
 def _chosen(key: Column, share: float) -> Column:
     """A fixed share of ids by hash."""
-    return F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1_000_000)) < int(share * 1_000_000 + 0.5)
+    return F.shiftrightunsigned(F.xxhash64(F.lit("fit"), key), 1) <= limit_of(share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 8192) -> Model:

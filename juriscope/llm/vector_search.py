@@ -80,23 +80,31 @@ def approximate(rows: np.ndarray, cell_bits: int) -> tuple[np.ndarray, np.ndarra
     low, high = rows.min(axis=0), rows.max(axis=0)
     n = 1 << cell_bits
     width = np.maximum(high / n - low / n, 1.0) * (1 + 1e-9)
-    cells = np.clip((rows - low) // width, 0, n - 1).astype(np.uint8)
-    edges = low + np.arange(n)[:, None] * width
+    with np.errstate(over="ignore", invalid="ignore"):
+        cells = np.nan_to_num(np.clip((rows - low) // width, 0, n - 1)).astype(np.uint8)
+        edges = low + np.arange(n)[:, None] * width
+        wild = ~np.isfinite(high - low + width)
+    if wild.any():  # beyond doubles: one cell without edges
+        cells[:, wild] = 0
+        return cells, np.where(wild, -np.inf, edges), np.where(wild, np.inf, edges + width)
     # Rounding of wide cells must not put a row outside of its own.
     slack = 1e-12 * np.maximum(np.abs(low), np.abs(high)) + 1e-9 * width
     return cells, edges - slack, edges + width + slack
 
 
 def bounds(queries: np.ndarray, cells: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of queries x rows inner products from the cells alone."""
+    """Lower and upper bounds of queries x rows inner products from the cells alone; none
+    (infinite ones) where they are beyond doubles, so that such rows are read."""
     at = np.arange(cells.shape[1])
     lo, hi = lower[cells, at], upper[cells, at]
     size = np.abs(queries)
-    # Halves of the sums: middle and spread need one product each.
-    middle, spread = queries @ ((lo + hi) / 2).T, size @ ((hi - lo) / 2).T
-    # Rounding is in proportion to the terms, not to their sum.
-    slack = 1e-15 * (len(at) + 4) * (size @ np.maximum(np.abs(lo), np.abs(hi)).T) + 1e-6
-    return middle - spread - slack, middle + spread + slack
+    with np.errstate(over="ignore", invalid="ignore"):
+        # Halves of the sums: middle and spread need one product each.
+        middle, spread = queries @ ((lo + hi) / 2).T, size @ ((hi - lo) / 2).T
+        # Rounding is in proportion to the terms, not to their sum.
+        slack = 1e-15 * (len(at) + 4) * (size @ np.maximum(np.abs(lo), np.abs(hi)).T) + 1e-6
+        low, high = middle - spread - slack, middle + spread + slack
+    return np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
 
 
 def exact_products(rows: np.ndarray, query: np.ndarray):
@@ -110,10 +118,11 @@ def exact_products(rows: np.ndarray, query: np.ndarray):
     return np.array([sum(int(a) * b for a, b in zip(row, q, strict=True)) for row in rows], object)
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, cell_bits: int = 5, step: int = 64, known: list | None = None):
+def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, cell_bits: int = 5, step: int = 64, known: list | None = None, built: tuple | None = None):
     """The k best (ids, scores) of each query among the block's rows and ``known``, those
-    of earlier blocks, with the number of exact vectors read."""
-    cells, lower, upper = approximate(rows, cell_bits)
+    of earlier blocks, with the number of exact vectors read. ``built``: the block's cells
+    and edges, where they are known."""
+    cells, lower, upper = built or approximate(rows, cell_bits)
     low, high = bounds(queries, cells, lower, upper)
     own = query_ids[:, None] == ids[None, :]
     low[own] = high[own] = -np.inf
@@ -127,7 +136,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ro
         some = np.flatnonzero((high[q] >= floor[q]) & ~own[q])
         some = some[np.argsort(-high[q, some], kind="stable")]
         for i in range(0, len(some), step):
-            if len(scores) == k and high[q, some[i]] < float(scores[-1]):
+            if len(scores) == k and float(high[q, some[i]]) < int(scores[-1]):
                 break
             part = some[i : i + step]
             read += len(part)
@@ -139,28 +148,52 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ro
     return out, read
 
 
+def with_cells(blobs: DataFrame, cell_bits: int) -> DataFrame:
+    """The approximation file: each block of rows with its cells and their edges, built once
+    however many blocks of queries meet it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                dim, rows = batch.column(0)[i].as_py(), np.frombuffer(batch.column(3)[i].as_buffer(), np.float64)
+                built = approximate(rows.reshape(-1, dim), cell_bits)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, *(pa.array([x.tobytes()], pa.binary()) for x in built)], ["dim", "block", "row_ids", "row_vectors", "cells", "lower", "upper"])
+
+    return blobs.mapInArrow(run, "dim int, block int, row_ids binary, row_vectors binary, cells binary, lower binary, upper binary")
+
+
+#: Queries that one task holds.
+TASK_QUERIES = 1 << 15
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_rows: int = 4096, query_rows: int = 512, cell_bits: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k greatest inner products among ``rows``."""
     blocks = parts_for(rows.count(), 16 * block_rows, least=32)
-    base = _blobs(rows, id_col, vector_col, scale, block_rows, blocks).select("dim", "block", F.col("ids").alias("row_ids"), F.col("vectors").alias("row_vectors"))
-    asked = _blobs(queries, id_col, vector_col, scale, query_rows, blocks).drop("block")
-    # Each block of queries goes to every block number, which stands for many rows; the rows
-    # of a block number meet it there, a block at a time, with the kth score so far.
-    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    shares = max(1, -(-queries.count() // TASK_QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # A task joins one block number, which stands for many rows, with one share of the queries:
+    # blocks of either are held one at a time, with the kth score so far.
+    base = with_cells(_blobs(rows, id_col, vector_col, scale, block_rows, blocks), cell_bits).select("*", every(shares).alias("share"))
+    asked = _blobs(queries, id_col, vector_col, scale, query_rows, blocks).withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int")).drop("block").select("*", every(blocks).alias("block"))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         dim, out = key[0].as_py(), []
-        for qi, qv in zip(right.column("ids").to_pylist(), right.column("vectors").to_pylist(), strict=True):
-            q, qx, best = np.frombuffer(qi, np.int64), np.frombuffer(qv, np.float64).reshape(-1, dim), None
-            for ri, rv in zip(left.column("row_ids").to_pylist(), left.column("row_vectors").to_pylist(), strict=True):
-                best, _ = search_block(q, qx, np.frombuffer(ri, np.int64), np.frombuffer(rv, np.float64).reshape(-1, dim), k, cell_bits, known=best)
+        files = []
+        for i in range(len(left)):
+            ids, vectors, cells, lower, upper = (left.column(c)[i].as_buffer() for c in ("row_ids", "row_vectors", "cells", "lower", "upper"))
+            table = lambda b: np.frombuffer(b, np.float64).reshape(-1, dim)
+            files.append((np.frombuffer(ids, np.int64), table(vectors), (np.frombuffer(cells, np.uint8).reshape(-1, dim), table(lower), table(upper))))
+        for qi, qv in zip(right.column("ids"), right.column("vectors"), strict=True):
+            q, qx, best = np.frombuffer(qi.as_buffer(), np.int64), np.frombuffer(qv.as_buffer(), np.float64).reshape(-1, dim), None
+            for ids, vectors, built in files:
+                best, _ = search_block(q, qx, ids, vectors, k, cell_bits, known=best, built=built)
             for one, (ids, scores) in zip(q, best or [], strict=False):
                 held = np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in scores], np.int64) if scores.dtype == object else scores
                 out.append((np.full(len(ids), one), ids, held, (held != scores).astype(bool)))
         q, i, s, beyond = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
         return pa.table({"query_id": q, "vec_id": i, "score": s, "beyond": beyond})
 
-    near = base.groupBy("dim", "block").cogroup(asked.groupBy("dim", "block")).applyInArrow(run, "query_id long, vec_id long, score long, beyond boolean")
+    near = base.groupBy("dim", "block", "share").cogroup(asked.groupBy("dim", "block", "share")).applyInArrow(run, "query_id long, vec_id long, score long, beyond boolean")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     score = F.when(F.col("beyond"), F.raise_error(F.concat(F.lit("a score does not fit 64 bits, query "), "query_id")).cast("long")).otherwise(F.col("score"))
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))

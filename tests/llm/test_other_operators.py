@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -104,6 +105,38 @@ def test_scores_beyond_a_long_are_an_error(spark):
     assert [r.vec_id for r in vector_search.top_k(frame, frame.filter("vec_id = 0"), k=2).orderBy("rank").collect()] == [3, 1]
 
 
+def test_components_beyond_all_bounds_lose_no_row(spark):
+    """Sums that doubles can't bound are read exactly: here a score that a long can't hold."""
+    rows = [(0, [1e160, 1.0]), (1, [0.0, 1.0]), (2, [-1e160, 2.0]), (3, [0.0, 5.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        vector_search.top_k(frame, frame.filter("vec_id = 0")).collect()
+    frame = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1e305, 3.0]), (2, [-1e305, 2.0]), (3, [0.0, 5.0])], "vec_id long, embedding array<double>")
+    found = vector_search.top_k(frame, frame.filter("vec_id = 0"), scale=1.0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(3, 5), (1, 3), (2, 2)]
+
+
+def test_queries_of_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "TASK_QUERIES", 40)
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = Counter()
+    exact = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    for q in exact:
+        best = sorted((-sum(a * b for a, b in zip(exact[q], v, strict=True)), i) for i, v in exact.items() if i != q)[:3]
+        want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    got = vector_search.top_k(frame, frame, k=3, block_rows=50, query_rows=20)
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == want
+
+
+def test_the_sample_of_a_fit_has_its_size_at_every_scale():
+    for rows in (10**4, 10**9, 10**12, 10**15):
+        share = min(1.0, 8192 / rows)
+        assert abs(pu_quality.limit_of(share) / 2**63 - share) <= 1e-6 * share
+    assert pu_quality.limit_of(1.0) == 2**63 - 1
+
+
 def test_vector_search_skips_exact_reads():
     import numpy as np
 
