@@ -5,12 +5,14 @@ lower case; a shorter text is one window.  The hash is the global order of n-gra
 Equal sets meet first, so copies cost one row.
 
 Blocks: two sets of similarity P or more differ in at most d of their n + m elements,
-(100 + P) d <= (100 - P)(n + m).  Cut the hash space in halves wherever a set holds
-``whole`` elements or more, the least number at which one difference is allowed.  The
-bound is a mean, so it holds in one half at least that isn't empty; where it holds and
-fewer elements are left, no difference is allowed and the parts are equal.  So two
-similar sets agree in a whole part: sets meet by the hashes of their parts, which are
-runs of the ordered set, and hardly any others meet, whatever n-grams are frequent.
+(100 + P) d <= (100 - P)(n + m).  The hash space is cut into equal parts, more for larger
+sets, and a set's part is what it holds of one.  Each element that differs spoils one part,
+so of the parts of either at most d are not the other's; in a common order the first one
+that both have is among the first d + 1 of both.  These are the keys by which sets meet,
+d taken for the largest partner; the order puts parts of many elements first, which
+hardly any other set has, whatever n-grams are frequent.  A set that fills no more than
+d parts also takes part in a finer cut, at last in one by elements.  Sizes go by powers of
+two; a set whose partner may be of a higher one takes part in that cut too.
 
 Trie: the sets of a block are the paths of a prefix tree, stored as ranges of the sorted
 sets with the length that each range shares.  A probe walks down from the root; the part
@@ -86,35 +88,60 @@ def set_id(grams: np.ndarray) -> int:
 
 
 # ---------------------------------------------------------------------- blocks
-def whole(percent: int) -> int:
-    """The least size at which two sets of ``percent`` may differ: of n and n - 1 elements."""
-    if percent == 100:
-        return 1 << 62
-    return max(1, -(-((100 + percent) - (100 - percent)) // (2 * (100 - percent))))
+def most_apart(n: np.ndarray, percent: int) -> np.ndarray:
+    """In how many elements sets of n may differ from any of similarity ``percent``."""
+    return (100 - percent) * (n + 100 * n // percent) // (100 + percent)
+
+
+#: Which share of the parts of a cut is keys at most, and how often a cut is made finer
+#: before single elements are taken.
+SHARE, FINER = 0.75, 4
 
 
 def parts(items: np.ndarray, firsts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key) of every part of the sets ``items[firsts[i]:firsts[i + 1]]``, each sorted."""
-    least = whole(percent)
-    low, high, of = firsts[:-1], firsts[1:], np.arange(len(firsts) - 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(items), dtype=np.uint64)])
-    out_of, out_key = [], []
-    for depth in range(65):
-        full = high > low
-        low, high, of = low[full], high[full], of[full]
-        if not len(low):
-            break
-        leaf = (high - low < least) | (depth == 64)
-        out_of.append(of[leaf])
-        out_key.append(mix(sums[high[leaf]] - sums[low[leaf]] + np.uint64(depth)))
-        low, high, of = low[~leaf], high[~leaf], of[~leaf]
-        if not len(low):
+    """(set, key) of the parts by which the sets ``items[firsts[i]:firsts[i + 1]]``, each
+    sorted, meet."""
+    n = np.diff(firsts)
+    power = np.where(n > 0, np.frexp(n.astype(float))[1] - 1, 0)
+    mixed = mix(items)
+    jobs = []
+    for up in range(64):
+        reached = np.flatnonzero((n > 0) & ((1 << np.minimum(power + up, 62)) <= 100 * n // percent))
+        if not len(reached):
             break
-        ones = np.concatenate([[0], np.cumsum((items >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)])
-        middle = high - (ones[high] - ones[low])
-        low, high, of = np.concatenate([low, middle]), np.concatenate([middle, high]), np.concatenate([of, of])
-    if not out_of:
+        # The parts of a set of twice the size, so that those of this size are no more.
+        jobs.append((reached, np.maximum(1, np.ceil(most_apart(2 << (power[reached] + up), percent) / SHARE)).astype(np.int64)))
+    if not jobs:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    of, cuts = (np.concatenate(x) for x in zip(*jobs, strict=True))
+    apart = most_apart(n, percent)
+    out_of, out_key = [], []
+    for turn in range(FINER + 1):
+        size = n[of]
+        job = np.repeat(np.arange(len(of)), size)
+        at = np.arange(len(job)) + np.repeat(firsts[:-1][of] - (np.cumsum(size) - size), size)
+        if turn < FINER:
+            part = (items[at] >> np.uint64(32)) * cuts[job].astype(np.uint64) >> np.uint64(32)
+            new = np.ones(len(at), bool)
+            new[1:] = (part[1:] != part[:-1]) | (job[1:] != job[:-1])
+            take = apart[of] + 1
+        else:
+            new = np.ones(len(at), bool)
+            take = size - (percent * size + 99) // 100 + 1
+        start = np.flatnonzero(new)
+        held = np.diff(np.append(start, len(at)))
+        mine = job[start]
+        key = mix(np.add.reduceat(mixed[at], start) + mix(cuts[mine].astype(np.uint64)) * np.uint64(2 * turn + 1))
+        order = np.lexsort((key, -held, mine))
+        filled = np.bincount(mine, minlength=len(of))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(filled) - filled, filled)
+        chosen = order[place < take[mine[order]]]
+        out_of.append(of[mine[chosen]])
+        out_key.append(key[chosen])
+        few = filled <= apart[of]
+        of, cuts = of[few], 2 * cuts[few]
+        if not len(of):
+            break
     return np.concatenate(out_of), np.concatenate(out_key)
 
 
