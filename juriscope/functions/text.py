@@ -106,7 +106,7 @@ def newest_first(date: Column) -> list[Column]:
 
 
 def section_anchor(title: Column) -> Column:  # T8
-    slug = F.regexp_replace(F.regexp_replace(F.lower(or_empty(title)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    slug = F.regexp_replace(F.regexp_replace(or_empty(title), "[^A-Za-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(slug == "", "").otherwise(F.concat(F.lit("section-"), slug))
 
 

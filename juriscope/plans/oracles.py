@@ -244,7 +244,7 @@ SELECT cluster_id, treatment, CASE treatment WHEN 'Reversed and remanded by' THE
   CASE treatment WHEN 'Affirmed by' THEN 'Affirms' WHEN 'Reversed and remanded by' THEN 'Reverses and remands' WHEN 'Ordered by' THEN 'Ordered' END AS label,
   CASE WHEN treatment = 'Ordered by' THEN CASE WHEN x <> '' THEN x ELSE l END WHEN treatment IS NOT NULL THEN '' END AS said FROM t""",
     "text_keys": f"""WITH p AS (SELECT p_partkey, concat(p_name, ' v. ', p_brand) AS name, concat(p_size, 'us', p_partkey) AS cite_key, {_ALNUM.format("p_name")} AS short_name FROM part)
-SELECT p_partkey, cite_key, short_name, CASE WHEN length(short_name) >= 5 THEN short_name ELSE '' END AS quote_key, concat('section-', trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-')) AS anchor, {_NAME.format("name")} AS name_key,
+SELECT p_partkey, cite_key, short_name, CASE WHEN length(short_name) >= 5 THEN short_name ELSE '' END AS quote_key, concat('section-', trim(regexp_replace(name, '[^A-Za-z0-9]+', '-', 'g'), '-')) AS anchor, {_NAME.format("name")} AS name_key,
   array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z]+'), lambda w: length(w) > 2 AND NOT list_contains({text.STOP_WORDS!r}, w)))), ' ') AS words FROM p""",
     "token_streams": """WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '\\*\\d+', ' ', 'g')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS t FROM documents)
 SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM t""",

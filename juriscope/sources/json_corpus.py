@@ -107,7 +107,11 @@ def load(spark: SparkSession, root: str) -> Corpus:
     rows = p.join(c, "stem", "left").join(g, "stem", "left").join(t, "stem", "left")
     has = lambda col: F.size(F.coalesce(col, F.array())) > 0
     rows = rows.withColumn("writings", F.when(has("seeded"), F.col("seeded")).when(has("reread"), F.col("reread")).otherwise(F.coalesce("opinions", F.array().cast(f"array<{WRITING}>"))))
-    rows = rows.withColumn("document", documents.document_udf("writings"))
+    # The writings' citation spans get the numbers of their groups; a text that was read anew
+    # gets the citations that the payload's own html links.
+    cited = F.transform("groups", lambda x: F.struct(x["gid"].alias("gid"), x["n"].alias("n"), x["cited_cluster_id"].cast("string").alias("cluster"), F.coalesce(text.filled(x["name"]), text.filled(x["cl_name"]), F.lit("")).alias("name")))
+    sources = F.array_join(F.transform(F.coalesce("opinions", F.array().cast(f"array<{WRITING}>")), lambda o: text.or_empty(o["html"])), "\n")
+    rows = rows.withColumn("document", documents.document_udf("writings", has("seeded"), F.map_entries("occurrences"), cited, "manual", documents.cite_map_udf(sources)))
     cites = text.order_citations(F.coalesce("citations", F.array().cast("array<string>")))
     opinions = rows.select(
         "cluster_id",

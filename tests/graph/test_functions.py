@@ -59,7 +59,7 @@ def test_picker_ends_with_other(spark):
 
 def test_text_keys(spark):
     row = one(spark, text.short_date(L("2010-03-04")), text.short_date(L("2010")), text.docket_numbers(L("11-393, 11-398; 1")), text.cite_key(L("103 F.3d 888, 890")), text.short_name(L("Smith & Co. v. Jones")), text.section_anchor(L("Dissent (Kagan)")), text.act_verbs(L("Affirmed in part; Reversed in part")), text.clean_authority_name(L("Troppi v Scarf (leave denied)")), text.display_name(L(" "), F.array(L("1 U.S. 2")), L("")))
-    assert tuple(row) == ("03/04/2010", "2010", ["11-393", "11-398", "1"], "103f3d888", "smithco", "section-dissent-kagan", ["affirmed", "reversed"], "Troppi v Scarf", "Unnamed opinion (1 U.S. 2)")
+    assert tuple(row) == ("03/04/2010", "2010", ["11-393", "11-398", "1"], "103f3d888", "smithco", "section-Dissent-Kagan", ["affirmed", "reversed"], "Troppi v Scarf", "Unnamed opinion (1 U.S. 2)")
     cites = F.array(*map(L, ["5 L. Ed. 2d 3", "9 WL 1", "1 F.3d 2", "3 U.S. 4", "2 F. Supp. 2d 9"]))
     assert one(spark, text.order_citations(cites))[0] == ["3 U.S. 4", "1 F.3d 2", "2 F. Supp. 2d 9", "5 L. Ed. 2d 3", "9 WL 1"]
 
@@ -105,13 +105,13 @@ def test_headings_and_blocks():
     assert blocks[0]["html"] == "KAGAN, J. took no part." and '<citedCase data-cluster-id="12" data-case="A v. B">1 U.S. 2</citedCase>' in blocks[2]["html"]
     assert notes[0]["label"] == "1"
     doc = documents.document([{"id": "a", "type": "020lead", "author": "", "html": source}, {"id": "b", "type": "", "author": "", "html": source}])
-    assert [w["title"] for w in doc] == ["Dissent", "Dissent 2"] and doc[1]["footnotes"][0]["id"] == "fn-1-1"
+    assert [w["title"] for w in doc] == ["Dissent", "Dissent 2"] and doc[1]["footnotes"][0]["id"] == "fn-2-1"
     dump = "<pre class='inline'>\n          BACKGROUND\n    First line of a paragraph that goes on for more than sixty char-\nacters in all.\n\n 3\n    Second.\n</pre>"
     assert [(b["type"], b["html"]) for b in documents.dumped(dump)] == [("heading", "BACKGROUND"), ("paragraph", "First line of a paragraph that goes on for more than sixty characters in all."), ("paragraph", "Second.")]
     known = documents.cite_map([source.replace("1 U.S. 2", "1 U.S. 2, 5")])
     assert known == {"1 U.S. 2, 5": ("12", "A v. B"), "1 U.S. 2": ("12", "A v. B")}
     assert documents.inject("in 1 U.S. 2, and 11 U.S. 2", known).count("<citedCase") == 1
-    assert documents.add_mentions("<em>Smith</em> and Smith & Smith", [("Smith", 1, "4", "", 2)]).index("<citedCase") == 19
+    assert documents.add_mentions(["<em>Smith</em> and Smith & Smith"], "<em>Smith</em> and Smith & Smith", [("Smith", 1, "4", "", 2)])[0].index("<citedCase") == 19
     assert documents.balanced("<em>a</strong><b>c</em>") == "<em>a<b>c</b></em>"
 
 
