@@ -95,10 +95,10 @@ def tallies(views: DataFrame) -> DataFrame:
 
 
 def direct_history(edges: DataFrame) -> DataFrame:
-    """E5: (actor, target, links): direct acts of each pair, most serious first."""
+    """E5: (actor, target, links, first_ord): direct acts of each pair, most serious first."""
     link = F.struct(tax.rank(tax.severity(F.col("treatment"))).alias("rank"), "edge_ord", "treatment", tax.severity(F.col("treatment")).alias("severity"), or_empty(F.col("quote")).alias("quote"))
     pairs = edges.filter(F.array_contains(array_of(tax.DIRECT), F.col("treatment"))).groupBy(F.col("citing").alias("actor"), F.col("cited").alias("target"))
-    return pairs.agg(F.transform(F.array_sort(F.collect_list(link)), lambda x: F.struct(x["treatment"].alias("treatment"), x["severity"].alias("severity"), x["quote"].alias("quote"))).alias("links"))
+    return pairs.agg(F.transform(F.array_sort(F.collect_list(link)), lambda x: F.struct(x["treatment"].alias("treatment"), x["severity"].alias("severity"), x["quote"].alias("quote"))).alias("links"), F.min("edge_ord").alias("first_ord"))
 
 
 def reported_acts(views: DataFrame) -> DataFrame:

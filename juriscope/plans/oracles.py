@@ -74,6 +74,21 @@ def _recursive(select: str) -> str:
     return f"WITH RECURSIVE {SQL}{_DIRECT}, {_DOWN}" + _REACH.replace(_DIRECT, "") + select
 
 
+def _raw(select: str) -> str:
+    """Over direct history as recorded: its strong components (scc), and what components reach (cr)."""
+    return f"""WITH RECURSIVE {SQL},
+pairs AS (SELECT DISTINCT citing AS a, cited AS b FROM edges JOIN tr ON tr.label = edges.label WHERE is_direct AND NOT recognized),
+core AS (SELECT a AS node FROM pairs INTERSECT SELECT b FROM pairs),
+steps AS (SELECT a, b FROM pairs WHERE a <> b AND a IN (SELECT node FROM core) AND b IN (SELECT node FROM core)),
+r AS (SELECT a, b FROM steps UNION SELECT r.a, s.b FROM r JOIN steps s ON s.a = r.b),
+scc AS (SELECT r.a AS node, min(r.b) AS comp FROM r JOIN r back ON back.a = r.b AND back.b = r.a GROUP BY r.a),
+of_ AS (SELECT node, coalesce(comp, node) AS comp FROM (SELECT cluster_id AS node FROM opinions UNION SELECT a FROM pairs UNION SELECT b FROM pairs) LEFT JOIN scc USING (node)),
+sizes AS (SELECT comp, count(*) AS n FROM of_ GROUP BY comp),
+ce AS (SELECT DISTINCT x.comp AS a, y.comp AS b FROM pairs JOIN of_ x ON x.node = a JOIN of_ y ON y.node = b WHERE x.comp <> y.comp),
+cr AS (SELECT a, b FROM ce UNION SELECT cr.a, ce.b FROM cr JOIN ce ON ce.a = cr.b)
+{select}"""
+
+
 _VERBS = "list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower({0}), '[;,]|\\band\\b'), lambda w: trim(replace(replace(w, 'in part', ''), 'by', ''))), lambda v: v <> '')))"
 _PAST = "regexp_replace(replace({0}, ' as recognized by', ' by'), ' by$', '')"
 
@@ -202,11 +217,9 @@ SELECT visible, total, greatest(1, ceil(visible / 10))::BIGINT AS page_count, 0:
     "opinion_index_union": _with("SELECT cluster_id, CASE WHEN NOT is_scoped OR cluster_id % 50 = 0 THEN concat('external ', case_name) ELSE case_name END AS case_name, CASE WHEN NOT is_scoped OR cluster_id % 50 = 0 THEN 1 ELSE 0 END AS side FROM opinions"),
     "keep_first_tier": "SELECT o_orderkey % 700 AS cluster_id, left(o_orderpriority, 1)::INT AS folder, o_orderkey AS stem FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey % 700 ORDER BY folder, o_orderkey) = 1",
     "history_edges": _with(_DIRECT.replace("verdict = 'ok' AND ", "") + "SELECT * FROM pairs"),
-    "history_reach_raw": f"""WITH RECURSIVE {SQL}, pairs AS (SELECT DISTINCT citing AS actor, cited AS target FROM edges WHERE treatment IN ('Reversed by', 'Vacated by', 'Dismissed by')),
-down(top, node) AS (SELECT cluster_id, cluster_id FROM opinions UNION SELECT d.top, p.target FROM down d JOIN pairs p ON p.actor = d.node),
-up(top, node) AS (SELECT cluster_id, cluster_id FROM opinions UNION SELECT d.top, p.actor FROM up d JOIN pairs p ON p.target = d.node)
-SELECT top AS cluster_id, node, 'below' AS role FROM down WHERE top <> node
-UNION ALL SELECT u.top, u.node, 'above' FROM up u WHERE top <> node AND NOT EXISTS (SELECT 1 FROM down d WHERE d.top = u.top AND d.node = u.node)""",
+    "history_components": _raw("SELECT node, comp AS component FROM scc"),
+    "history_reach_raw": _raw("""SELECT n.node, n.comp AS component, z.n AS n_component, (coalesce(b.n, 0) + z.n - 1)::BIGINT AS n_below, coalesce(a.n, 0)::BIGINT AS n_above FROM of_ n JOIN sizes z USING (comp)
+  LEFT JOIN (SELECT cr.a AS comp, sum(n) AS n FROM cr JOIN sizes ON sizes.comp = cr.b GROUP BY 1) b USING (comp) LEFT JOIN (SELECT cr.b AS comp, sum(n) AS n FROM cr JOIN sizes ON sizes.comp = cr.a GROUP BY 1) a USING (comp)"""),
     "history_reach": _recursive("SELECT * FROM chains"),
     "history_chain": _recursive(
         """, m0 AS (SELECT DISTINCT cluster_id, cluster_id AS node, 'self' AS role FROM chains UNION ALL SELECT * FROM chains),
@@ -341,6 +354,66 @@ SELECT k AS cluster_id, unnest([0, 1, 2, 3])::INT AS "at", unnest([l, least(l +
 
 ORACLES |= _small()
 
+#: Whole chains: nodes and edges of three kinds; reports are drawn one after the other.
+_LAYOUT = f""",
+m0 AS (SELECT cluster_id, cluster_id AS node, 'self' AS role FROM opinions UNION ALL SELECT * FROM chains),
+m AS (SELECT m0.*, s.case_name, s.display, s.date_filed, s.level, s.category, s.last_resort, row_number() OVER (PARTITION BY m0.cluster_id ORDER BY role <> 'self', node) - 1 AS pl FROM m0 JOIN sides s ON s.cluster_id = m0.node),
+nm AS (SELECT cluster_id, count(*) AS n FROM m GROUP BY cluster_id),
+ln AS (SELECT citing AS actor, cited AS target, list(label ORDER BY rank, {_O}) AS labels, min(({_O})) AS first_ord FROM views WHERE verdict = 'ok' AND NOT recognized AND is_direct GROUP BY 1, 2),
+rec AS (SELECT a.cluster_id, a.pl AS actor, b.pl AS target, labels, row_number() OVER (PARTITION BY a.cluster_id, a.pl ORDER BY first_ord) AS ord
+  FROM ln JOIN m a ON a.node = ln.actor JOIN m b ON b.node = ln.target AND b.cluster_id = a.cluster_id),
+be AS (SELECT m.cluster_id, m.pl, CASE WHEN node % 3 = 1 THEN concat('Trial Court ', node % 4) ELSE '' END AS court, CASE WHEN node % 3 = 0 THEN m.case_name ELSE '' END AS name,
+    CASE WHEN node % 5 = 0 THEN 'Affirmed by' WHEN node % 5 = 1 THEN 'Reversed and remanded by' WHEN node % 2 = 0 OR node % 5 = 2 THEN 'Ordered by' END AS did,
+    CASE WHEN node % 5 < 2 THEN '' WHEN node % 2 = 0 THEN concat('Motion ', node % 10) ELSE 'Modified' END AS said
+  FROM m WHERE node % 3 < 2 AND NOT EXISTS (SELECT 1 FROM rec WHERE rec.cluster_id = m.cluster_id AND rec.actor = m.pl)),
+bn AS (SELECT cluster_id, court, name, any_value(n) + row_number() OVER (PARTITION BY cluster_id ORDER BY min(pl)) - 1 AS pl FROM be JOIN nm USING (cluster_id) GROUP BY cluster_id, court, name),
+kb AS (SELECT cluster_id, count(*) AS n FROM bn GROUP BY cluster_id),
+onrec AS (SELECT DISTINCT cluster_id, target, {_VERBS.format("regexp_replace(x, ' by$', '')")} AS known FROM (SELECT cluster_id, target, unnest(labels) AS x FROM rec)),
+rp AS (SELECT m.cluster_id, m.pl AS t, m.date_filed AS tdate, k.citing, k.label, k.rank, ({", ".join("k." + c for c in ORDER)}) AS ord, k.citing_name, k.citing_date, k.l_suppkey % 3 AS acting FROM kept k JOIN m ON m.node = k.cited
+  WHERE recognized AND is_direct AND NOT EXISTS (SELECT 1 FROM onrec o WHERE o.cluster_id = m.cluster_id AND o.target = m.pl AND list_has_all(o.known, {_VERBS.format("regexp_replace(k.label, ' by$', '')")}))),
+rl AS (SELECT cluster_id, t, citing, label, any_value(rank) AS rank, min(ord) AS ord FROM rp GROUP BY cluster_id, t, citing, label),
+ev AS (SELECT cluster_id, t, citing, any_value(tdate) AS tdate, arg_min(citing_name, ord) AS name, arg_min(citing_date, ord) AS date, arg_min(acting, ord) AS acting, min(ord) AS first_ord FROM rp GROUP BY cluster_id, t, citing),
+en AS (SELECT ev.*, labels, concat(name, '|', date) AS who, row_number() OVER (PARTITION BY ev.cluster_id ORDER BY date, tdate, ev.t, first_ord) AS ord
+  FROM ev JOIN (SELECT cluster_id, t, citing, list(label ORDER BY rank, ord) AS labels FROM rl GROUP BY cluster_id, t, citing) l USING (cluster_id, t, citing)),
+dr AS (SELECT cluster_id, ord, t, who, fresh, name, date, acting FROM (
+  SELECT en.*, list_filter(labels, lambda x: NOT list_contains(coalesce(claimed, []), concat(en.t, '|', x)) AND NOT list_contains(coalesce(claimed, []), concat(who, '#', x))) AS fresh FROM en LEFT JOIN claims c ON c.cluster_id = en.cluster_id AND c.ord = en.ord - 1) WHERE len(fresh) > 0),
+cd AS (SELECT cluster_id, who, any_value(f) + row_number() OVER (PARTITION BY cluster_id ORDER BY min(ord)) - 1 AS pl, arg_min(name, ord) AS name, arg_min(date, ord) AS date, arg_min(acting, ord) AS acting
+  FROM dr JOIN (SELECT nm.cluster_id, nm.n + coalesce(kb.n, 0) AS f FROM nm LEFT JOIN kb USING (cluster_id)) USING (cluster_id) GROUP BY cluster_id, who),
+e AS (SELECT cluster_id, actor, target, 0 AS kind, ord, list_transform(labels, lambda x: {{'l': x, 't': ''}}) AS links FROM rec
+  UNION ALL SELECT be.cluster_id, be.pl, bn.pl, 1, 0, CASE WHEN did IS NULL THEN [] ELSE [{{'l': did, 't': said}}] END FROM be JOIN bn ON bn.cluster_id = be.cluster_id AND bn.court = be.court AND bn.name = be.name
+  UNION ALL SELECT dr.cluster_id, cd.pl, t, 2, ord, list_transform(fresh, lambda x: {{'l': x, 't': ''}}) FROM dr JOIN cd USING (cluster_id, who)),
+nd AS (SELECT cluster_id, pl, role, node, case_name, display AS court, level, category, last_resort, date_filed, true AS in_court, false AS top FROM m
+  UNION ALL SELECT cluster_id, pl, 'below', NULL, name, court, NULL, NULL, false, '', false, false FROM bn
+  UNION ALL SELECT cluster_id, pl, 'reported', NULL, name, ['Supreme Court of the United States', 'Court of Appeals for the Ninth Circuit', 'Court not identified'][acting + 1], NULL, NULL, false, date, acting < 2, acting = 0 FROM cd),
+lv1 AS (SELECT nd.*, CASE WHEN nd.level IS NOT NULL THEN nd.level WHEN role = 'below' THEN least((SELECT max(m.level) FROM e JOIN m ON m.cluster_id = e.cluster_id AND m.pl = e.actor WHERE e.cluster_id = nd.cluster_id AND e.target = nd.pl) + 1, 4)
+    WHEN top THEN 0 ELSE greatest((SELECT min(m.level) FROM e JOIN m ON m.cluster_id = e.cluster_id AND m.pl = e.target WHERE e.cluster_id = nd.cluster_id AND e.actor = nd.pl) - 1, 0) END AS lvl FROM nd),
+g AS (SELECT *, (count(*) OVER (PARTITION BY cluster_id) - row_number() OVER t) * 2 + 1 AS row, 2 + dense_rank() OVER (PARTITION BY cluster_id ORDER BY lvl DESC) AS col, row_number() OVER t AS seq,
+    CASE lvl WHEN 0 THEN 'Highest court' WHEN 1 THEN CASE WHEN bool_or(in_court) OVER l AND NOT bool_or(in_court AND NOT last_resort) OVER l THEN 'Court of last resort' ELSE 'Appellate court' END
+      WHEN 2 THEN CASE WHEN bool_or(in_court) OVER l AND NOT bool_or(in_court AND coalesce(category, '') <> 'state_appellate') OVER l THEN 'Intermediate appellate court' ELSE 'Trial court' END ELSE 'Trial court' END AS lab
+  FROM lv1 WINDOW t AS (PARTITION BY cluster_id ORDER BY date_filed, pl), l AS (PARTITION BY cluster_id, lvl)),
+lv AS (SELECT cluster_id, col, any_value(lab) AS lab FROM g GROUP BY cluster_id, col),
+sl AS (SELECT e.cluster_id, actor, kind, ord, unnest(links) AS x, generate_subscripts(links, 1) AS i FROM e),
+sa AS (SELECT sl.cluster_id, actor, kind, sl.ord AS ord, string_agg(concat(coalesce(active, regexp_replace(x.l, ' by$', '')), '=', CASE WHEN actor = 0 THEN coalesce(active, regexp_replace(x.l, ' by$', '')) ELSE regexp_replace(x.l, ' by$', '') END, ':', coalesce(severity, 'Neutral'), ':', x.t), ', ' ORDER BY i) AS said
+  FROM sl LEFT JOIN tr ON tr.label = x.l GROUP BY sl.cluster_id, actor, kind, sl.ord),
+ac AS (SELECT cluster_id, actor, string_agg(said, ' / ' ORDER BY kind, ord) AS acts FROM sa GROUP BY cluster_id, actor),
+p AS (SELECT g.*, lag(col) OVER (PARTITION BY cluster_id ORDER BY seq) AS prev, count(*) OVER (PARTITION BY cluster_id) AS n_nodes, count(node) OVER (PARTITION BY cluster_id) AS n_opinions, bool_or(role = 'reported') OVER (PARTITION BY cluster_id) AS has_reported FROM g)
+SELECT p.cluster_id, p.pl::INT AS "at", p.role, p.node, p.case_name, p.court, p.lvl::INT AS level, p.row::INT AS row, p.col::INT AS col, CASE WHEN up.lab = p.lab THEN 'Lower court' ELSE p.lab END AS tier,
+  CASE WHEN prev IS NULL THEN NULL WHEN p.col > prev THEN 'up' WHEN p.col < prev THEN 'down' ELSE 'same' END AS dir, coalesce(acts, '') AS acts, n_opinions, has_reported
+FROM p LEFT JOIN lv up ON up.cluster_id = p.cluster_id AND up.col = p.col + 1 LEFT JOIN ac ON ac.cluster_id = p.cluster_id AND ac.actor = p.pl WHERE n_nodes > 1"""
+#: Acts that are claimed after each event of a chain: of its decision, and of its card.
+_CLAIMS = """,
+claims(cluster_id, ord, claimed) AS (SELECT DISTINCT cluster_id, 0::BIGINT, []::VARCHAR[] FROM en UNION ALL
+  SELECT c.cluster_id, en.ord, list_concat(claimed, flatten(list_transform(list_filter(labels, lambda x: NOT list_contains(claimed, concat(en.t, '|', x)) AND NOT list_contains(claimed, concat(who, '#', x))), lambda x: [concat(en.t, '|', x), concat(who, '#', x)])))
+  FROM claims c JOIN en ON en.cluster_id = c.cluster_id AND en.ord = c.ord + 1),
+dr AS ("""
+_LAYOUT = _LAYOUT.replace(",\ndr AS (", _CLAIMS, 1)
+_CHAINS = _LAYOUT[: _LAYOUT.rindex("\nSELECT p.cluster_id")]
+ORACLES["history_layout_full"] = _recursive(_LAYOUT)
+ORACLES["history_summary"] = _recursive(_CHAINS + "\nSELECT cluster_id, count(node) AS n_opinions, bool_or(role = 'reported') AS has_reported FROM nd GROUP BY cluster_id")
+ORACLES["drawn_reports"] = _recursive(
+    _CHAINS + "\nSELECT dr.cluster_id, m.node AS target, en.citing, ['Supreme Court of the United States', 'Court of Appeals for the Ninth Circuit', 'Court not identified'][dr.acting + 1] AS court, len(fresh)::INT AS n FROM dr JOIN en USING (cluster_id, ord) JOIN m ON m.cluster_id = dr.cluster_id AND m.pl = dr.t"
+)
+
 ORACLES["pill_validation"] = _with(
     """, ex AS (SELECT cited, citing, expert_treatment AS e FROM kept QUALIFY row_number() OVER (PARTITION BY cited, citing ORDER BY recognized, rank, nth) = 1),
 p AS (SELECT k.cited, k.citing, k.recognized, k.label, k.rank, e, contains(e, ' as recognized by') AS er, replace(e, ' as recognized by', ' by') AS eb,

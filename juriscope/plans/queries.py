@@ -8,34 +8,27 @@ from pyspark.sql import functions as F
 from juriscope.functions import courts as court_fn
 from juriscope.functions import taxonomy as tax
 from juriscope.functions import documents, quotes, text
-from juriscope.operators import authorities, edges, history, later_courts, resolve, search
+from juriscope.operators import authorities, condense, edges, history, later_courts, resolve, search
+from juriscope.plans.indexes import graph
 from juriscope.sources import testdata as data
 from juriscope.sources.scratch import written
 
 
-def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges.joined(data.edges(spark, sf_dir), data.opinions(spark, sf_dir), data.courts(spark, sf_dir))
-
-
-def _later(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return later_courts.rows(edges.valid(_views(spark, sf_dir)))
-
-
 def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return later_courts.statuses(_later(spark, sf_dir), data.opinions(spark, sf_dir), data.courts(spark, sf_dir))
+    g = graph(spark, sf_dir)
+    return later_courts.statuses(g.later, g.opinions, g.courts)
 
 
 def _index(spark: SparkSession, sf_dir: str, p: search.SearchParams | None = None) -> DataFrame:
     """The home page's rows; with ``p`` only those that its text, courts and tier let
     through, and only their edges are joined and grouped."""
-    all_opinions, courts = data.opinions(spark, sf_dir), data.courts(spark, sf_dir)
-    o = all_opinions.filter("is_scoped").withColumns({"name_missing": F.col("raw_name") == "", "search_text": text.search_text(F.col("case_name"), F.col("citations"))})
-    e = data.edges(spark, sf_dir)
+    g = graph(spark, sf_dir)
+    o = g.opinions.filter("is_scoped").withColumns({"name_missing": F.col("raw_name") == "", "search_text": text.search_text(F.col("case_name"), F.col("citations"))})
+    later = g.later
     if p:
         o = o.filter(search.told_apart(p))
-        e = e.join(o.select(F.col("cluster_id").alias("cited")), "cited", "left_semi")
-    later = later_courts.rows(edges.valid(edges.joined(e, all_opinions, courts)))
-    s = later_courts.statuses(later, o, courts).select("cluster_id", "dh_severity", "cr_severity")
+        later = later.join(o.select(F.col("cluster_id").alias("cited")), "cited", "left_semi")
+    s = later_courts.statuses(later, o, g.courts).select("cluster_id", "dh_severity", "cr_severity")
     return o.join(s, "cluster_id")
 
 
@@ -60,24 +53,24 @@ def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def later_courts_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each citing opinion."""
-    r = _later(spark, sf_dir)
+    r = graph(spark, sf_dir).later
     return r.select("cited", "citing", "case_name", "court_display", "date_filed", "date_short", "relation", "treatment", "severity", "recognized_filter", F.size("applied").alias("n_applied"), F.size("recognized").alias("n_recognized"), "n_mentions", "has_detail")
 
 
 def later_courts_pills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pills of every row in order."""
-    r = _later(spark, sf_dir).select("cited", "citing", F.posexplode(F.concat("applied", "recognized")).alias("pos", "p"))
+    r = graph(spark, sf_dir).later.select("cited", "citing", F.posexplode(F.concat("applied", "recognized")).alias("pos", "p"))
     return r.select("cited", "citing", "pos", F.col("p.treatment").alias("treatment"), F.col("p.severity").alias("severity"), F.col("p.direction").alias("direction"))
 
 
 def later_courts_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places under every sort key."""
-    return later_courts.ranks(_later(spark, sf_dir)).select("cited", "citing", "dom_index", "severity_index", "recency_index", "name_index", "mentions_index", "court_index")
+    return later_courts.ranks(graph(spark, sf_dir).later).select("cited", "citing", "dom_index", "severity_index", "recency_index", "name_index", "mentions_index", "court_index")
 
 
 def list_sort_court(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The negative rows of each list by court, three of each."""
-    r = later_courts.ranks(_later(spark, sf_dir)).withColumn("applied_filter", later_courts.unnamed_filter(F.coalesce(F.get("applied", F.lit(0))["severity"], F.col("severity"))))
+    r = later_courts.ranks(graph(spark, sf_dir).later).withColumn("applied_filter", later_courts.unnamed_filter(F.coalesce(F.get("applied", F.lit(0))["severity"], F.col("severity"))))
     r = r.withColumn("recognized_filter", F.lower("recognized_filter"))
     r = r.filter(search.list_visible("customer", applied=("stop", "warning"), recognized=("stop",)))
     return r.select("cited", "citing", F.col(search.sort_column("later", "court")).alias("ord"))
@@ -85,13 +78,13 @@ def list_sort_court(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pill_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pills and rows that agree or disagree with the expert."""
-    r = _later(spark, sf_dir).select("validation", F.explode("validated").alias("p"))
+    r = graph(spark, sf_dir).later.select("validation", F.explode("validated").alias("p"))
     return r.groupBy(F.col("validation").alias("row_state"), F.col("p.kind").alias("kind"), F.col("p.validation").alias("state")).agg(F.count("*").alias("n"))
 
 
 def edge_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges by verdict and tier."""
-    return _views(spark, sf_dir).groupBy("verdict", "severity").agg(F.count("*").alias("n"))
+    return graph(spark, sf_dir).views.groupBy("verdict", "severity").agg(F.count("*").alias("n"))
 
 
 def court_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +106,7 @@ def court_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1, A10, P4, J11, SO2: edges from resolved citation groups, counted by label."""
-    o = data.opinions(spark, sf_dir)
-    g = resolve.resolve_groups(data.groups(spark, sf_dir), o)
+    o, g = graph(spark, sf_dir).opinions, graph(spark, sf_dir).groups
     scope = g.filter("cluster_id % 2 = 0").select(F.col("cluster_id").alias("citing_cluster_id"), F.lit(None).cast("bigint").alias("anchor_opinion_id"), F.col("cited_cluster_id").alias("anchor_cluster_id"))
     pairs = edges.scope_pairs(scope, o.withColumn("opinion_ids", F.array().cast("array<bigint>")))
     e = edges.build(g, o, pairs)
@@ -123,7 +115,7 @@ def edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolve_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every citation group resolves to."""
-    g = resolve.resolve_groups(data.groups(spark, sf_dir), data.opinions(spark, sf_dir))
+    g = graph(spark, sf_dir).groups
     return g.groupBy("cluster_id").agg(F.count("*").alias("n_groups"), F.count("cited_cluster_id").alias("n_resolved"), F.sum("cited_cluster_id").cast("long").alias("sum_ids"))
 
 
@@ -137,23 +129,15 @@ def name_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.name_owners(data.opinions(spark, sf_dir))
 
 
-def _authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = data.opinions(spark, sf_dir)
-    g = resolve.resolve_groups(data.groups(spark, sf_dir), o)
-    n = F.row_number().over(authorities.Window.partitionBy("cluster_id").orderBy("n"))
-    g = g.withColumn("n", n).withColumns({"court": F.lit(""), "treatment_other_label": F.lit("")})
-    return authorities.rows(g, o, data.courts(spark, sf_dir))
-
-
 def authority_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authorities by what their opinion does to them."""
-    a = _authorities(spark, sf_dir)
+    a = graph(spark, sf_dir).authorities
     return a.groupBy("treatment_active", "court_relation", "overall_severity", "recognized_filter", "validation", "is_scoped").agg(F.count("*").alias("n"), F.sum(F.size("evidence_cards")).cast("long").alias("n_cards"), F.count_if("has_detail").alias("n_detail"))
 
 
 def authority_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3, O3."""
-    return authorities.ranks(_authorities(spark, sf_dir)).select("cluster_id", "n", "dom_index", "severity_index", "date_index", "name_index", "mentions_index", "court_index")
+    return authorities.ranks(graph(spark, sf_dir).authorities).select("cluster_id", "n", "dom_index", "severity_index", "date_index", "name_index", "mentions_index", "court_index")
 
 
 def authority_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,73 +208,60 @@ def keep_first_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("cluster_id").agg(F.min_by(F.struct("folder", "stem"), F.struct("folder", "stem")).alias("f")).select("cluster_id", "f.folder", "f.stem")
 
 
-def _direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct acts among valid edges: each leads to a strictly lower court, so chains end."""
-    ok = _views(spark, sf_dir).filter("verdict = 'ok'")
-    return edges.direct_history(ok)
-
-
 def history_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct acts of each pair, as recorded: dates and courts rule none out."""
-    pairs = edges.direct_history(data.edges(spark, sf_dir))
+    pairs = graph(spark, sf_dir).raw_direct
     return pairs.select("actor", "target", F.size("links").alias("n_links"), F.get("links", F.lit(0))["treatment"].alias("worst"))
 
 
-def _chains(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
-    return history.reach(pairs.select("actor", "target"), data.opinions(spark, sf_dir).select("cluster_id"))
-
-
 def history_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: the chain of every opinion over valid edges."""
-    return _chains(spark, sf_dir, _direct(spark, sf_dir))
+    return graph(spark, sf_dir).chains.select("cluster_id", "node", "role")
 
 
-#: The acts that ``history_reach_raw`` follows.
-ENDING = ("Reversed by", "Vacated by", "Dismissed by")
+def history_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1, E5: opinions that reach one another over direct history as recorded."""
+    return graph(spark, sf_dir).components.select("node", "component")
 
 
 def history_reach_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1, E5: chains over acts that end a decision, as recorded, cycles included."""
-    return _chains(spark, sf_dir, edges.direct_history(data.edges(spark, sf_dir).filter(F.col("treatment").isin(*ENDING))))
+    """G1, E5: how far direct history as recorded leads from each opinion, over all its
+    labels and through cycles; reach is kept for each component."""
+    g = graph(spark, sf_dir)
+    nodes = g.opinions.select(F.col("cluster_id").alias("node")).unionByName(g.raw_direct.select(F.explode(F.array("actor", "target")).alias("node"))).distinct()
+    return condense.reach_counts(nodes, g.components, g.raw_reach)
 
 
 def history_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid of every chain of two or more."""
-    chains = _chains(spark, sf_dir, _direct(spark, sf_dir))
-    seeds = chains.select("cluster_id").distinct()
-    m = history.members(chains, seeds, data.opinions(spark, sf_dir), data.courts(spark, sf_dir))
-    # Places in a chain: the opinion itself, then the others by id.
-    at = F.row_number().over(history.Window.partitionBy("cluster_id").orderBy(F.when(F.col("role") == "self", 0).otherwise(1), "node")) - 1
-    return history.layout(m.withColumn("at", at)).select("cluster_id", "node", "role", "at", "row", "col", "tier", "dir", "col_start", "col_end", "span")
+    """The grid of the opinions of every chain of two or more."""
+    g = graph(spark, sf_dir)
+    m = history.members(g.chains, g.chains.select("cluster_id").distinct(), g.opinions, g.courts)
+    return history.layout(history.placed_members(m)).select("cluster_id", "node", "role", "at", "row", "col", "tier", "dir", "col_start", "col_end", "span")
+
+
+def history_layout_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole chains: opinions, decisions below and cards of
+    reported acts on one grid, with what each decision did."""
+    nodes, links, _ = graph(spark, sf_dir).whole_chains
+    grid = history.laid_out(nodes, links)
+    said = F.array_join(F.transform("acts", lambda a: F.array_join(F.transform(a, lambda x: F.concat(x["treatment"], F.lit("="), x["defined_as"], F.lit(":"), x["severity"], F.lit(":"), x["text"])), ", ")), " / ")
+    return grid.select("cluster_id", "at", "role", "node", "case_name", F.col("court_display").alias("court"), F.col("level").cast("int").alias("level"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "tier", "dir", F.coalesce(said, F.lit("")).alias("acts"), "n_opinions", "has_reported")
 
 
 def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opinions of every chain, and whether a reported act is drawn on it."""
-    m, drawn = _drawn(spark, sf_dir)
-    reported = drawn.select("cluster_id", F.lit("reported").alias("role"))
-    return history.summary(m.select("cluster_id", "role").unionByName(reported)).select("cluster_id", F.col("n_opinions").cast("long").alias("n_opinions"), "has_reported")
+    nodes, _, _ = graph(spark, sf_dir).whole_chains
+    return history.summary(nodes).select("cluster_id", F.col("n_opinions").cast("long").alias("n_opinions"), "has_reported")
 
 
 def reported_acts_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E6, J13, SO5, G10: reported acts that no recorded act covers."""
-    v = _views(spark, sf_dir)
-    reports = edges.reported_acts(v).withColumn("target", F.col("cited"))
-    left = history.unrecorded_reports(reports, _direct(spark, sf_dir))
-    return left.groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("citing").alias("n_citing"))
-
-
-def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The members of every chain, and the reported acts drawn on it."""
-    pairs = written(_direct(spark, sf_dir), "direct")
-    reports = history.unrecorded_reports(edges.reported_acts(_views(spark, sf_dir)).withColumn("target", F.col("cited")), pairs)
-    seeds = data.opinions(spark, sf_dir).select("cluster_id")  # a chain may be its seed alone
-    m = written(history.members(_chains(spark, sf_dir, pairs), seeds, data.opinions(spark, sf_dir), data.courts(spark, sf_dir)), "members")
-    return m, history.drawn_reports(written(reports, "reports"), m)
+    return graph(spark, sf_dir).reports.groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("citing").alias("n_citing"))
 
 
 def drawn_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reported acts drawn on every chain."""
-    return _drawn(spark, sf_dir)[1].select("cluster_id", "target", "citing", "court", F.size("treatments").alias("n"))
+    """Reported acts drawn on every chain."""
+    return graph(spark, sf_dir).whole_chains[2].select("cluster_id", "target", "citing", "court", F.size("treatments").alias("n"))
 
 
 def treatment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +333,7 @@ QUERIES = {
         later_courts_status, status_passages, severity_summary, later_courts_rows, later_courts_pills, later_courts_ranks, list_sort_court, pill_validation,
         edge_validation, court_relation, court_list, court_picker, edges_all, resolve_groups, cite_owners, name_owners,
         authority_rows, authority_ranks, authority_meta, scope_counts, index_entries, home_search, home_search_page2, home_search_counts,
-        index_order, opinion_index_union, keep_first_tier, history_edges, history_reach, history_reach_raw, history_summary, history_chain, reported_acts_antijoin, drawn_reports,
+        index_order, opinion_index_union, keep_first_tier, history_edges, history_reach, history_components, history_reach_raw, history_summary, history_chain, history_layout_full, reported_acts_antijoin, drawn_reports,
         treatment_labels, treatment_table, treatment_definitions, disposition, text_keys, token_streams, excerpts, writing_titles, mention_navigator,
     )
 }

@@ -21,11 +21,16 @@ def folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table of its own, deleted when the application ends."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder, deleted when the application ends."""
     path = f"{folder(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table of its own, deleted when the application ends."""
+    path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -46,6 +46,17 @@ def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("case_name", F.when(F.col("raw_name") != "", F.col("raw_name")).otherwise(F.concat(F.lit("Unnamed opinion ("), F.get("citations", F.lit(0)), F.lit(")"))))
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, case_name, on_appeal, disposition): what orders say that they reviewed."""
+    o = opinions(spark, sf_dir)
+    k = F.col("cluster_id")
+    entry = lambda court, name, quote: F.struct(court.alias("court"), name.alias("name"), quote.alias("quote"))
+    trial = entry(F.concat(F.lit("Trial Court "), (k % 4).cast("string")), F.lit(""), F.lit("an order"))
+    below = F.when(k % 3 == 0, F.array(trial, entry(F.lit(""), F.col("case_name"), F.lit("")))).when(k % 3 == 1, F.array(trial)).otherwise(F.array().cast("array<struct<court:string,name:string,quote:string>>"))
+    label = F.when(k % 5 == 0, "Affirmed").when(k % 5 == 1, "Reversed and remanded").when(k % 5 == 2, "Modified").when(k % 5 == 3, "None").otherwise("")
+    return o.select(k.alias("node"), "case_name", below.alias("on_appeal"), F.struct(label.alias("label"), F.when(k % 2 == 0, F.concat(F.lit("Motion "), (k % 10).cast("string"))).otherwise("").alias("text")).alias("disposition"))
+
+
 def _label() -> Column:
     return F.element_at(array_of(tax.LABELS), ((F.col("l_linenumber") + F.col("l_suppkey")) % 20 + 1).cast("int"))
 
