@@ -5,6 +5,7 @@ from __future__ import annotations
 from juriscope.functions import courts as court_fn
 from juriscope.functions import taxonomy as tax
 from juriscope.functions import text
+from juriscope.operators.citations import ICONS, marker
 from juriscope.sources.testdata import ORDER, SQL
 
 _O = ", ".join(ORDER)
@@ -195,6 +196,20 @@ SELECT cluster_id, n::INT AS n, dom::INT AS dom_index, (row_number() OVER (PARTI
   (row_number() OVER (PARTITION BY cluster_id ORDER BY iso DESC, dom) - 1)::INT AS date_index, (row_number() OVER (PARTITION BY cluster_id ORDER BY {_NAME_KEY.format("name")}, dom) - 1)::INT AS name_index,
   (row_number() OVER (PARTITION BY cluster_id ORDER BY n_mentions DESC, dom) - 1)::INT AS mentions_index,
   (row_number() OVER (PARTITION BY cluster_id ORDER BY CASE WHEN relation IN ('controlling', 'equal') THEN 0 ELSE 1 END, coalesce(level, 99), {_NAME_KEY.format("name")}, dom) - 1)::INT AS court_index FROM d"""
+    ),
+    "page_bodies": _with(
+        _AUTH
+        + f""", ic(tier, svg) AS (VALUES {", ".join(f"('{t}', '{marker(t)}')" for t in ICONS)}),
+nm AS (SELECT g.cluster_id, g.n, g.cited, concat('Customer#', lpad((g.part % 200)::VARCHAR, 9, '0'), ' v. P') AS name, s.cluster_id IS NOT NULL AS scoped, au.cluster_id IS NOT NULL AS held, coalesce(au.is_scoped, false) AS has_page, coalesce(svg, '') AS svg
+  FROM grp g JOIN opinions me ON me.cluster_id = g.cluster_id LEFT JOIN opinions s ON s.cluster_id = g.cited AND s.is_scoped LEFT JOIN au ON au.cluster_id = g.cluster_id AND au.n = g.n LEFT JOIN ic ON ic.tier = {_TIER}[au.overall + 1]),
+lk AS (SELECT cluster_id, n, CASE
+    WHEN n % 5 <> 4 AND held THEN concat('<a class="cited-case-wrap" href="#authority-', n, '" title="', name, '" data-group="', n, '" data-name="', name, '" data-url="', CASE WHEN has_page THEN concat('/opinion/', cited, '/') ELSE '' END,
+      '"><span class="cited-case', CASE WHEN n % 3 = 0 THEN ' cited-case--added' ELSE '' END, '">cite ', n, '</span>', svg, '</a>')
+    WHEN n % 5 <> 4 THEN concat('<span class="cited-case">cite ', n, '</span>') WHEN cited IS NULL THEN concat('cite ', n)
+    ELSE concat('<span class="cited-case-wrap">', CASE WHEN scoped THEN concat('<a class="cited-case" href="/opinion/', cited, '/" title="', name, '">cite ', n, '</a>') ELSE concat('<span class="cited-case" title="', name, '">cite ', n, '</span>') END, '</span>') END AS link FROM nm),
+tx AS (SELECT cluster_id, string_agg(concat(' ', link, '.'), '' ORDER BY n) AS said, arg_min(link, n) AS first, CASE WHEN cluster_id % 2 = 0 THEN 'p' ELSE 'blockquote' END AS tag FROM lk GROUP BY cluster_id)
+SELECT cluster_id, concat(CASE WHEN cluster_id % 4 = 0 THEN '<section id="section-Opinion-Order" data-section-id="Opinion &amp; Order"><h2>Opinion &amp; Order</h2>' ELSE '<section id="writing-1" data-section-id="writing-1">' END, '<', tag, '><em>See', said, '</em></', tag,
+  '><aside class="opinion-footnotes" aria-label="Footnotes"><h3 class="opinion-heading opinion-heading--notes">Footnotes</h3><ol><li id="fn-1-1"><span class="fn-label"><a class="fn-label__link" href="#fnref-1-1" aria-label="Back to reference 1">1</a></span><div class="fn-body"><p>', first, '</p></div></li></ol></aside></section>') AS body FROM tx"""
     ),
     "authority_meta": "SELECT l_orderkey AS cluster_id, count(*) AS n_authorities, sum(l_quantity::INT)::BIGINT AS n_mentions FROM lineitem GROUP BY 1",
     "scope_counts": _with(

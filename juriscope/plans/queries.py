@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from juriscope.functions import courts as court_fn
 from juriscope.functions import taxonomy as tax
 from juriscope.functions import documents, quotes, text
-from juriscope.operators import authorities, condense, edges, history, later_courts, resolve, search
+from juriscope.operators import authorities, citations, condense, edges, history, later_courts, resolve, search
 from juriscope.plans.indexes import graph
 from juriscope.sources import testdata as data
 from juriscope.sources.scratch import written
@@ -140,6 +140,14 @@ def authority_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return authorities.ranks(graph(spark, sf_dir).authorities).select("cluster_id", "n", "dom_index", "severity_index", "date_index", "name_index", "mentions_index", "court_index")
 
 
+def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every opinion with its citations tied to its Authorities rows."""
+    g = graph(spark, sf_dir)
+    n = F.row_number().over(authorities.Window.partitionBy("cluster_id").orderBy("n"))
+    texts = data.documents(g.groups.withColumn("n", n)).join(g.opinions.select("cluster_id", "is_scoped"), "cluster_id", "right")
+    return citations.bodies(texts, g.authorities)
+
+
 def authority_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9."""
     return authorities.meta(data.groups(spark, sf_dir)).select("cluster_id", "n_authorities", F.col("n_mentions").cast("long").alias("n_mentions"))
@@ -332,7 +340,7 @@ QUERIES = {
     for f in (
         later_courts_status, status_passages, severity_summary, later_courts_rows, later_courts_pills, later_courts_ranks, list_sort_court, pill_validation,
         edge_validation, court_relation, court_list, court_picker, edges_all, resolve_groups, cite_owners, name_owners,
-        authority_rows, authority_ranks, authority_meta, scope_counts, index_entries, home_search, home_search_page2, home_search_counts,
+        authority_rows, authority_ranks, page_bodies, authority_meta, scope_counts, index_entries, home_search, home_search_page2, home_search_counts,
         index_order, opinion_index_union, keep_first_tier, history_edges, history_reach, history_components, history_reach_raw, history_summary, history_chain, history_layout_full, reported_acts_antijoin, drawn_reports,
         treatment_labels, treatment_table, treatment_definitions, disposition, text_keys, token_streams, excerpts, writing_titles, mention_navigator,
     )

@@ -106,6 +106,19 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def documents(groups: DataFrame) -> DataFrame:
+    """(cluster_id, document): a text for each order that cites its groups (cluster_id, n,
+    cited_cluster_id, name), one writing with a block and a note."""
+    c, n = F.col("cited_cluster_id").cast("string"), F.col("n")
+    tag = F.concat(F.lit("<citedCase"), F.when(n % 5 != 4, F.concat(F.lit(' data-group="'), n.cast("string"), F.lit('"'))).otherwise(""), F.when(c.isNotNull(), F.concat(F.lit(' data-cluster-id="'), c, F.lit('"'))).otherwise(""), F.lit(' data-case="'), "name", F.lit('"'), F.when(n % 3 == 0, ' data-manual="1"').otherwise(""), F.lit(">cite "), n.cast("string"), F.lit("</citedCase>"))
+    said = groups.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", tag.alias("tag")))), lambda x: x["tag"]).alias("tags"))
+    text = F.concat(F.lit("<em>See"), F.array_join(F.transform("tags", lambda t: F.concat(F.lit(" "), t, F.lit("."))), ""))
+    block = F.struct(F.when(F.col("cluster_id") % 2 == 0, "paragraph").otherwise("blockquote").alias("type"), text.alias("html"))
+    note = F.struct(F.lit("1").alias("label"), F.get("tags", F.lit(0)).alias("html"), F.lit("fn-1-1").alias("id"), F.lit("fnref-1-1").alias("ref_id"))
+    writing = F.struct(F.when(F.col("cluster_id") % 4 == 0, "Opinion & Order").alias("title"), F.array(block).alias("blocks"), F.array(note).alias("footnotes"))
+    return said.select("cluster_id", F.array(writing).alias("document"))
+
+
 _TREATMENTS = ", ".join(f"({i}, '{t[0]}', '{t[1]}', {str(t[2]).lower()}, {str(t[3]).lower()}, '{t[4]}')" for i, t in enumerate(tax.TREATMENTS))
 
 #: The same derivation in DuckDB SQL: CTEs tr, courts, opinions, edges, sides, views.
