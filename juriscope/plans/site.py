@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from juriscope.functions import documents, quotes, text
-from juriscope.operators import authorities, edges, later_courts
+from juriscope.operators import authorities, citations, edges, history, later_courts
 from juriscope.sources.json_corpus import Corpus
 
 
@@ -38,8 +38,21 @@ def with_lead_status(later: DataFrame, opinions: DataFrame) -> DataFrame:
     return quoted.unionByName(later.filter("lead_quote is null or lead_quote = ''").withColumn("lead_quote_status", F.lit("")))
 
 
+def grids(corpus: Corpus, views: DataFrame) -> DataFrame:
+    """(cluster_id, history): the grid of each opinion's whole chain, in the order of its nodes."""
+    o = corpus.opinions
+    pairs = edges.direct_history(corpus.edges)
+    seeds = o.select("cluster_id")
+    m = history.members(history.reach(pairs, pairs, seeds), seeds, o, corpus.courts)
+    records = o.select(F.col("cluster_id").alias("node"), "case_name", "on_appeal", "disposition")
+    nodes, links, _ = history.whole_chain(m, pairs, records, edges.reported_acts(views).withColumn("target", F.col("cited")))
+    grid = history.laid_out(nodes, links)
+    cell = F.struct(*[c for c in grid.columns if c != "cluster_id" and c != "at"])
+    return grid.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", cell.alias("cell")))), lambda x: x["cell"]).alias("history"))
+
+
 def pages(corpus: Corpus) -> DataFrame:
-    """One row for each opinion: its lists in page order, its status, its text."""
+    """One row for each opinion: its lists in page order, its status, its chain, its text."""
     o, courts = corpus.opinions, corpus.courts
     views = edges.valid(edges.joined(corpus.edges, o, courts))
     later = with_lead_status(later_courts.ranks(later_courts.rows(views)), o)
@@ -53,4 +66,6 @@ def pages(corpus: Corpus) -> DataFrame:
         .join(listed(auth, "cluster_id", "dom_index", "cited_authorities"), "cluster_id", "left")
         .join(later_courts.statuses(later, o, courts), "cluster_id", "left")
         .join(corpus.counts, "cluster_id", "left")
+        .join(citations.bodies(o, auth), "cluster_id", "left")
+        .join(grids(corpus, views), "cluster_id", "left")
     )

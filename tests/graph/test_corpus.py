@@ -66,6 +66,12 @@ def test_pages_and_sinks(spark, corpus, tmp_path):
     pages = {r.cluster_id: r for r in site.pages(corpus).collect()}
     assert [x.citing for x in pages[2].cited_by] == [3, 4] or len(pages[2].cited_by) == 2
     assert pages[4].cited_authorities[0].treatment_active == "Distinguishes" and pages[1].excerpt.startswith("The court speaks")
+    # The chain: three courts act on one another, and a card of the act that a fourth reports.
+    grid = pages[1].history
+    assert [(x.node, x.role) for x in grid] == [(1, "self"), (2, "above"), (3, "above")] and not grid[0].has_reported
+    assert [[[y.treatment for y in a] for a in x.acts or []] for x in grid] == [[], [["Affirms"]], [["Reverses"]]]
+    assert [x.col for x in grid] == [3, 4, 5] and pages[4].history is None
+    assert pages[1].body == '<section id="writing-1" data-section-id="writing-1"><p>The court speaks at length about nothing. We find Smith inapposite here, it said.</p></section>'
     # The passage of a status is the leading act's, checked against the citing opinion's text.
     assert (pages[2].later_citing, pages[2].later_quote, pages[2].later_quote_status, pages[2].later_authority_n) == (4, "We find Smith inapposite", "found", 1)
     assert (pages[2].on_appeal_citing, pages[2].on_appeal_quote, pages[2].on_appeal_quote_status) == (3, "", "")
