@@ -256,15 +256,18 @@ FROM p LEFT JOIN lv up ON up.cluster_id = p.cluster_id AND up.col = p.col + 1"""
 rep AS (SELECT *, {_VERBS.format(_PAST.format("treatment"))} AS verbs FROM kept WHERE recognized AND is_direct)
 SELECT cited AS target, count(*) AS n, count(DISTINCT citing) AS n_citing FROM rep r WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.target = r.cited AND list_has_all(l.known, r.verbs)) GROUP BY cited"""
     ),
-    "treatment_labels": f"""WITH {SQL.split("courts AS (")[0].rstrip().rstrip(",")},
-f(label) AS (SELECT label FROM tr UNION ALL SELECT replace(label, ' by', ' as recognized by') FROM tr UNION ALL VALUES ('Extended'), ('Modified by')),
-b AS (SELECT label, contains(label, ' as recognized by') AS recognized, replace(label, ' as recognized by', ' by') AS base, regexp_replace(replace(label, ' as recognized by', ' by'), ' by$', '') AS past FROM f)
-SELECT b.label, recognized, base, past, coalesce(t.severity, 'Other') AS severity, CASE t.severity WHEN 'Stop' THEN 0 WHEN 'Warning' THEN 1 WHEN 'Caution' THEN 2 WHEN 'Neutral' THEN 3 ELSE 4 END AS rank,
-  CASE WHEN recognized THEN concat('Recognizes as ', lower(past)) ELSE coalesce(t.active, past) END AS active, concat('Recognizes to be ', lower(past)) AS recognizes,
+    "treatment_labels": _with(
+        """, f AS (SELECT treatment AS label, count(*) AS n FROM views GROUP BY 1),
+b AS (SELECT label, n, contains(label, ' as recognized by') AS recognized, replace(label, ' as recognized by', ' by') AS base, regexp_replace(replace(label, ' as recognized by', ' by'), ' by$', '') AS past FROM f)
+SELECT b.label, n, recognized, base, past, coalesce(t.severity, 'Other') AS severity, CASE t.severity WHEN 'Stop' THEN 0 WHEN 'Warning' THEN 1 WHEN 'Caution' THEN 2 WHEN 'Neutral' THEN 3 ELSE 4 END AS rank,
+  CASE WHEN recognized THEN concat('Recognizes as ', lower(past)) ELSE coalesce(t.active, past) END AS active, concat('Recognizes to be ', lower(past)) AS recognizes, replace(base, ' by', ' as recognized by') AS reported_as,
   CASE WHEN recognized THEN 'Related Reference' WHEN t.is_direct THEN 'Direct History' ELSE 'Citing Reference' END AS direction, base <> 'Cited by' AS evidence, coalesce(t.is_direct, false) AS direct,
-  coalesce(t.severity <> 'Neutral', false) AS negative FROM b LEFT JOIN tr t ON t.label = b.base""",
-    "treatment_table": f"""WITH {SQL.split("courts AS (")[0].rstrip().rstrip(",")}
-SELECT severity, coalesce(string_agg(label, '|' ORDER BY ord) FILTER (is_direct), '') AS direct_history, coalesce(string_agg(label, '|' ORDER BY ord) FILTER (NOT is_direct), '') AS citing_reference FROM tr GROUP BY severity""",
+  coalesce(t.severity <> 'Neutral', false) AS negative FROM b LEFT JOIN tr t ON t.label = b.base"""
+    ),
+    "treatment_table": _with(
+        """, f AS (SELECT label, count(*) AS n FROM views WHERE NOT recognized GROUP BY 1)
+SELECT severity, coalesce(string_agg(label, '|' ORDER BY ord) FILTER (is_direct), '') AS direct_history, coalesce(string_agg(label, '|' ORDER BY ord) FILTER (NOT is_direct), '') AS citing_reference, sum(n)::BIGINT AS n FROM f JOIN tr USING (label) GROUP BY severity"""
+    ),
     "disposition": """WITH d AS (SELECT o_orderkey AS cluster_id, CASE o_orderkey % 5 WHEN 0 THEN 'Affirmed' WHEN 1 THEN 'Reversed and remanded' WHEN 2 THEN 'Modified' WHEN 3 THEN 'None' ELSE '' END AS l,
   CASE WHEN o_orderkey % 3 = 0 THEN concat('Motion ', o_orderstatus) ELSE '' END AS x FROM orders),
 t AS (SELECT *, CASE WHEN l IN ('Affirmed', 'Reversed and remanded') THEN concat(l, ' by') WHEN x <> '' OR l NOT IN ('', 'None', 'Other') THEN 'Ordered by' END AS treatment FROM d)
@@ -292,14 +295,14 @@ def _definitions() -> str:
     for label, text_ in tax.DEFINITIONS.items():
         if label != tax.PLAIN:
             rows.append("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (label, text_)) + ")")
-    return f"""WITH {SQL.split("courts AS (")[0].rstrip().rstrip(",")}, d(label, text) AS (VALUES {", ".join(rows)}),
+    return f"""WITH {SQL}, d(label, text) AS (VALUES {", ".join(rows)}),
 x AS (SELECT d.*, active, regexp_replace(label, ' by$', '') AS past, CASE WHEN is_direct THEN 'another court' ELSE 'a later case' END AS actor, CASE WHEN is_direct THEN 'the decision below' ELSE 'the cited case' END AS target,
   CASE WHEN is_direct THEN 'another court' ELSE 'another case' END AS reported FROM d JOIN tr USING (label)),
 f AS (SELECT label AS form, '' AS lead, replace(replace(text, '{{actor}}', actor), '{{target}}', 'this case') AS t FROM x UNION ALL SELECT past, '', replace(replace(text, '{{actor}}', actor), '{{target}}', 'this case') FROM x
   UNION ALL SELECT active, '', replace(replace(text, '{{actor}}', 'this case'), '{{target}}', target) FROM x
   UNION ALL SELECT concat(past, ' as recognized by'), 'A later case noted that ', replace(replace(text, '{{actor}}', reported), '{{target}}', 'this case') FROM x
   UNION ALL SELECT concat('Recognizes to be ', lower(past)), 'This case noted that ', replace(replace(text, '{{actor}}', reported), '{{target}}', 'the cited case') FROM x)
-SELECT form, CASE WHEN lead = '' THEN concat(upper(t[1:1]), t[2:]) ELSE concat(lead, lower(t[1:1]), t[2:]) END AS definition FROM f"""
+SELECT form, CASE WHEN lead = '' THEN concat(upper(t[1:1]), t[2:]) ELSE concat(lead, lower(t[1:1]), t[2:]) END AS definition, n FROM f JOIN (SELECT treatment AS form, count(*) AS n FROM views GROUP BY 1) USING (form)"""
 
 
 ORACLES["treatment_definitions"] = _definitions()
@@ -312,8 +315,12 @@ hd AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(
 q AS (SELECT DISTINCT doc_id, item_id, quote FROM hd JOIN bw USING (head))"""
 _TOKENS = "concat(' ', trim(regexp_replace(lower(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\\*\\d+', ' ', 'g')), '[^a-z0-9]+', ' ', 'g')), ' ')"
 
+_TIDY = "trim(regexp_replace(translate(lower({0}), '‘’“”–—', '\'\'\'\'\"\"--'), '\\s+', ' ', 'g'))"
 ORACLES |= {
     "quote_containment": f"WITH {_QUOTED} SELECT doc_id, item_id, contains({_TOKENS.format('text')}, {_TOKENS.format('quote')}) AS found FROM q JOIN documents USING (doc_id)",
+    "quote_location": f"""WITH {_QUOTED}, t AS (SELECT doc_id, item_id, list_transform(string_split(d.text, chr(10)), lambda b: {_TIDY.format('b')}) AS bs, {_TIDY.format('quote')} AS goal FROM q JOIN documents d USING (doc_id))
+SELECT doc_id, item_id, coalesce(nullif(coalesce(list_position(list_transform(bs, lambda b: contains(b, goal)), true), 0), 0) - 1,
+  CASE WHEN length(goal) > 60 THEN nullif(coalesce(list_position(list_transform(bs, lambda b: contains(b, left(goal, 60))), true), 0), 0) - 1 END)::BIGINT AS block FROM t""",
     "quote_names_case": _with("SELECT cluster_id, CASE cluster_id % 3 WHEN 0 THEN CASE WHEN length(" + _ALNUM.format("citations[2]") + ") >= 5 THEN 'cite' ELSE '' END WHEN 1 THEN CASE WHEN raw_name = '' THEN 'cite' ELSE 'name' END ELSE '' END AS names FROM opinions"),
     "mark_case": _with(
         f"""SELECT cluster_id, CASE WHEN raw_name = ''
@@ -336,7 +343,6 @@ def _list(values: list[str]) -> str:
 def _small() -> dict[str, str]:
     from juriscope.plans.queries import FORMS, PROSE, TAGGED
 
-    tr = f"WITH {SQL.split('courts AS (')[0].rstrip().rstrip(',')}\n"
     pick = lambda values: f"{_list(values)}[o_orderkey % {len(values)} + 1]"
     cases = "[" + ", ".join(str(c).lower() for _, c in FORMS) + "]"
     return {
@@ -351,7 +357,7 @@ r AS (SELECT k, unnest([0, 1, 2]) AS nth, unnest(t) AS t FROM c)
 SELECT k, arg_min(nth, (CASE WHEN t = 'Odd' THEN CASE WHEN nth = 0 THEN -1 ELSE 4 END WHEN t = 'Stop' THEN 0 WHEN t = 'Caution' THEN 2 ELSE 3 END, nth))::INT AS lead FROM r GROUP BY k""",
         "below_entries": """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'ct' WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 2 = 0 THEN 'a court' ELSE 'ct' END AS court,
   CASE WHEN o_orderkey % 5 = 0 THEN 'Smithson matter' WHEN o_orderkey % 3 = 0 THEN 'People v. Roe' ELSE '' END AS name FROM orders""",
-        "act_verbs": tr + f"SELECT label, array_to_string({_VERBS.format(_PAST.format('label'))}, '|') AS verbs FROM tr",
+        "act_verbs": _with(f", f AS (SELECT treatment AS label, count(*) AS n FROM views GROUP BY 1) SELECT label, n, array_to_string({_VERBS.format(_PAST.format('label'))}, '|') AS verbs FROM f"),
         "court_typeahead": _with(
             f""", cat(ord, category, shown) AS (VALUES {_CATS}),
 g AS (SELECT display, CASE WHEN category IN ('scotus', 'circuit') THEN 'federal_appellate' WHEN category = 'district' THEN 'federal_district' ELSE 'state' END AS tab,
@@ -363,7 +369,6 @@ SELECT tab, group_name, bool_or(contains(lower(display), 'ar')) OR contains(lowe
 SELECT cluster_id, arg_max(total, file) AS total FROM f GROUP BY cluster_id""",
         "levels_placed": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 + 1 AS l FROM orders)
 SELECT k AS cluster_id, unnest([0, 1, 2, 3])::INT AS "at", unnest([l, least(l + 1, 4), l - 1, 0])::INT AS level FROM o""",
-        "card_labels": tr + "SELECT label, active AS treatment, CASE WHEN ord % 2 = 0 THEN active ELSE regexp_replace(label, ' by$', '') END AS defined_as FROM tr",
     }
 
 
@@ -425,6 +430,11 @@ _LAYOUT = _LAYOUT.replace(",\ndr AS (", _CLAIMS, 1)
 _CHAINS = _LAYOUT[: _LAYOUT.rindex("\nSELECT p.cluster_id")]
 ORACLES["history_layout_full"] = _recursive(_LAYOUT)
 ORACLES["history_summary"] = _recursive(_CHAINS + "\nSELECT cluster_id, count(node) AS n_opinions, bool_or(role = 'reported') AS has_reported FROM nd GROUP BY cluster_id")
+ORACLES["card_labels"] = _recursive(
+    _CHAINS + """
+SELECT coalesce(active, regexp_replace(x.l, ' by$', '')) AS treatment, CASE WHEN actor = 0 THEN coalesce(active, regexp_replace(x.l, ' by$', '')) ELSE regexp_replace(x.l, ' by$', '') END AS defined_as, coalesce(severity, 'Neutral') AS severity, count(*) AS n
+FROM sl LEFT JOIN tr ON tr.label = x.l GROUP BY ALL"""
+)
 ORACLES["drawn_reports"] = _recursive(
     _CHAINS + "\nSELECT dr.cluster_id, m.node AS target, en.citing, ['Supreme Court of the United States', 'Court of Appeals for the Ninth Circuit', 'Court not identified'][dr.acting + 1] AS court, len(fresh)::INT AS n FROM dr JOIN en USING (cluster_id, ord) JOIN m ON m.cluster_id = dr.cluster_id AND m.pl = dr.t"
 )

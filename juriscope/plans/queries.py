@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from juriscope.functions import courts as court_fn
 from juriscope.functions import taxonomy as tax
 from juriscope.functions import documents, quotes, text
-from juriscope.operators import authorities, citations, condense, edges, history, later_courts, resolve, search
+from juriscope.operators import authorities, citations, condense, edges, history, later_courts, quotations, resolve, search
 from juriscope.plans.indexes import graph
 from juriscope.sources import testdata as data
 from juriscope.sources.scratch import written
@@ -272,22 +272,27 @@ def drawn_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).whole_chains[2].select("cluster_id", "target", "citing", "court", F.size("treatments").alias("n"))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label, n): every label of the edges, as recorded, and how many edges have it."""
+    return graph(spark, sf_dir).views.groupBy(F.col("treatment").alias("label")).agg(F.count("*").alias("n"))
+
+
 def treatment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every form of every label."""
-    dim = tax.dim_treatment(spark)
-    forms = dim.select("label").unionByName(dim.select(tax.recognized_form(F.col("label")).alias("label"))).unionByName(spark.createDataFrame([("Extended",), ("Modified by",)], "label string"))
+    """Every form of every label that edges have."""
     x = F.col("label")
-    return forms.select(x, tax.is_recognized(x).alias("recognized"), tax.base(x).alias("base"), tax.past(x).alias("past"), tax.severity(x).alias("severity"), tax.rank(tax.severity(x)).alias("rank"), tax.active(x).alias("active"), tax.recognizes(x).alias("recognizes"), tax.direction(x).alias("direction"), tax.has_evidence(x).alias("evidence"), tax.is_direct(x).alias("direct"), tax.is_negative(tax.severity(x)).alias("negative"))
+    return _labels(spark, sf_dir).select(x, "n", tax.is_recognized(x).alias("recognized"), tax.base(x).alias("base"), tax.past(x).alias("past"), tax.severity(x).alias("severity"), tax.rank(tax.severity(x)).alias("rank"), tax.active(x).alias("active"), tax.recognizes(x).alias("recognizes"), tax.recognized_form(x).alias("reported_as"), tax.direction(x).alias("direction"), tax.has_evidence(x).alias("evidence"), tax.is_direct(x).alias("direct"), tax.is_negative(tax.severity(x)).alias("negative"))
 
 
 def treatment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A13."""
-    return tax.treatment_table(spark).select("severity", F.array_join("direct_history", "|").alias("direct_history"), F.array_join("citing_reference", "|").alias("citing_reference"))
+    """Edges by tier, and the labels of direct history and of references among them."""
+    labels = _labels(spark, sf_dir).filter(~tax.is_recognized(F.col("label"))).join(tax.dim_treatment(spark).select("label", "ord"), "label")
+    of = lambda direct: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(tax.is_direct(F.col("label")) == F.lit(direct), F.struct("ord", "label")))), lambda x: x["label"]), "|")
+    return labels.groupBy(tax.severity(F.col("label")).alias("severity")).agg(of(True).alias("direct_history"), of(False).alias("citing_reference"), F.sum("n").cast("long").alias("n"))
 
 
 def treatment_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L10."""
-    return tax.definitions(spark)
+    """Definitions of the labels that edges have, as the pills of their rows show them."""
+    return _labels(spark, sf_dir).join(tax.definitions(spark).withColumnRenamed("form", "label"), "label").select(F.col("label").alias("form"), "definition", "n")
 
 
 def disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,16 +370,22 @@ def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "item_id", quotes.stands_in(F.col("quote"), F.array("text")).alias("found"))
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages with every document that they may be quoted from."""
+    texts = data.table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text")
+    quoted = data.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return quotations.candidates(quoted, texts, "item_id", "quote", "doc_id", "text")
+
+
 def verify_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q3: status of every passage in the documents that hold its first words."""
-    q = _quoted(spark, sf_dir)
-    return q.select("doc_id", "item_id", quotes.status(F.col("quote"), F.array("text")).alias("status"))
+    """Q3: status of every passage in the documents that hold a run of it, changed words,
+    case and gaps included."""
+    return _passages(spark, sf_dir).select("doc_id", "item_id", quotes.status(F.col("quote"), F.array("text")).alias("status"))
 
 
 def expand_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q1, Q2: a passage's middle, widened to its sentences."""
-    q = _quoted(spark, sf_dir).withColumn("part", F.array_join(F.slice(F.split(F.trim("quote"), r"\s+"), 3, 8), " "))
-    return q.select("doc_id", "item_id", quotes.expand_udf(F.split("text", "\n"), "part").alias("sentences"))
+    """Q1, Q2: whole passages widened to the sentences of the documents that hold them or a run of them."""
+    return _passages(spark, sf_dir).select("doc_id", "item_id", quotes.expand_udf(F.split("text", "\n"), "quote").alias("sentences"))
 
 
 def quote_names_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -491,9 +502,8 @@ def below_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def act_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The acts that labels name."""
-    d = tax.dim_treatment(spark)
-    return d.select("label", F.array_join(text.act_verbs(tax.past(F.col("label"))), "|").alias("verbs"))
+    """The acts that the labels of edges name."""
+    return _labels(spark, sf_dir).select("label", "n", F.array_join(text.act_verbs(tax.past(F.col("label"))), "|").alias("verbs"))
 
 
 def court_typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -530,10 +540,12 @@ def levels_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a card says that a decision did."""
-    d = tax.dim_treatment(spark)
-    c = history.card_labels(F.col("label"), F.col("ord") % 2 == 0)
-    return d.select("label", c["treatment"].alias("treatment"), c["defined_as"].alias("defined_as"))
+    """What the cards of chains say that decisions did."""
+    nodes, links, _ = graph(spark, sf_dir).whole_chains
+    own = nodes.select("cluster_id", F.col("at").alias("actor"), (F.col("role") == "self").alias("own"))
+    each = links.select("cluster_id", "actor", F.explode("links").alias("x")).join(own, ["cluster_id", "actor"])
+    c = history.card_labels(F.col("x.treatment"), F.col("own"))
+    return each.groupBy(c["treatment"].alias("treatment"), c["defined_as"].alias("defined_as"), F.col("x.severity").alias("severity")).agg(F.count("*").alias("n"))
 
 
 QUERIES |= {f.__name__: f for f in (case_groups, canonical_courts, authority_names, page_links, list_clamps, lead_cards, below_entries, act_verbs, court_typeahead, citing_scope, last_counts, levels_placed, card_labels)}
