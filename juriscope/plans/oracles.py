@@ -336,6 +336,9 @@ SELECT conv_id, pos, CASE WHEN n > 1 THEN concat(CASE role WHEN 'user' THEN 'Dis
 }
 
 
+ORACLES["mark_case_sql"] = ORACLES["mark_case"]
+
+
 def _list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from juriscope.functions import courts as court_fn
 from juriscope.functions import taxonomy as tax
-from juriscope.functions import documents, quotes, text
+from juriscope.functions import documents, quotes, sql, text
 from juriscope.operators import authorities, citations, condense, edges, history, later_courts, quotations, resolve, search
 from juriscope.plans.indexes import graph
 from juriscope.sources import testdata as data
@@ -414,6 +414,20 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.explode("d.blocks").alias("b")).groupBy("page_id", F.col("b.type").alias("type")).agg(F.count("*").alias("n"), F.sum(F.length("b.html")).cast("long").alias("n_chars"))
 
 
+def html_blocks_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1 to H4 in SQL text: blocks of every page by type, from a table function."""
+    sql.register(spark)
+    pages = data.table(spark, sf_dir, "pages")
+    return spark.sql("SELECT p.page_id, b.type, count(*) AS n, cast(sum(length(b.html)) AS bigint) AS n_chars FROM {pages} p, LATERAL html_blocks(p.html) b GROUP BY p.page_id, b.type", pages=pages)
+
+
+def mark_case_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q6 in SQL text: quotes with the case's name in strong."""
+    sql.register(spark)
+    o = graph(spark, sf_dir).opinions
+    return spark.sql("""SELECT cluster_id, mark_case(concat('"In <', case_name, '> (', citations[1], ') & later.'), citations, case_name) AS marked FROM {o}""", o=o)
+
+
 def cite_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H5: citations that a source links."""
     o = data.opinions(spark, sf_dir).withColumn("cite", F.get("citations", F.lit(1)))
@@ -428,7 +442,7 @@ def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", F.posexplode(documents.document_udf("ws")).alias("pos", "d")).select("conv_id", F.col("pos").cast("long").alias("pos"), "d.title", F.size("d.blocks").cast("long").alias("n_blocks"))
 
 
-QUERIES |= {f.__name__: f for f in (quote_containment, verify_quote, expand_quote, quote_names_case, mark_case, quote_location, html_blocks, cite_map, document_titles)}
+QUERIES |= {f.__name__: f for f in (quote_containment, verify_quote, expand_quote, quote_names_case, mark_case, quote_location, html_blocks, html_blocks_sql, mark_case_sql, cite_map, document_titles)}
 
 
 # ------------------------------------------------------- further scalar operators
