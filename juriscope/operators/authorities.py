@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from juriscope.functions import courts as court_fn
 from juriscope.functions import taxonomy as tax
 from juriscope.functions.text import docket_numbers, filled, name_order, or_empty, search_text
+from juriscope.operators import hubs
 from juriscope.operators.later_courts import court_order
 
 
@@ -67,21 +68,18 @@ def rows(groups: DataFrame, opinions: DataFrame, courts: DataFrame) -> DataFrame
     )
 
 
-def ranks(authorities: DataFrame) -> DataFrame:
-    """Each row's place within its opinion under every sort key."""
-    within = Window.partitionBy("cluster_id")
-    severity, recognized, overall = (tax.rank(F.col(c)) for c in ("severity", "recognized_severity", "overall_severity"))
-    a = authorities.withColumn("dom_index", F.row_number().over(within.orderBy(severity, recognized, "n")) - 1)
-    place = lambda *keys: F.row_number().over(within.orderBy(*keys, "dom_index")) - 1
-    return a.withColumns(
-        {
-            "severity_index": place(overall, severity, recognized, "n"),
-            "date_index": place((F.col("date_filed_iso") == "").asc(), F.col("date_filed_iso").desc()),
-            "name_index": place(name_order(F.col("name"))),
-            "mentions_index": place((-F.col("n_mentions")).asc()),
-            "court_index": place(court_order(F.col("court_relation"), F.col("court_level"), F.col("name"))),
-        }
-    )
+def ranks(authorities: DataFrame, most: int = hubs.HUB) -> DataFrame:
+    """Each row's place within its opinion under every sort key; an opinion of more
+    than ``most`` rows is placed in ranges."""
+    severity, recognized, overall = (tax.rank(F.col(c)).asc() for c in ("severity", "recognized_severity", "overall_severity"))
+    others = {
+        "severity_index": [overall, severity, recognized, F.col("n").asc()],
+        "date_index": [(F.col("date_filed_iso") == "").asc(), F.col("date_filed_iso").desc()],
+        "name_index": [name_order(F.col("name")).asc()],
+        "mentions_index": [F.col("n_mentions").desc()],
+        "court_index": [court_order(F.col("court_relation"), F.col("court_level"), F.col("name")).asc()],
+    }
+    return hubs.places(authorities, "cluster_id", "n", ("dom_index", [severity, recognized, F.col("n").asc()]), others, most)
 
 
 def meta(groups: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ so aggregations combine before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from juriscope.functions import taxonomy as tax
 from juriscope.functions.text import docket_numbers, filled, name_order, or_empty, search_text, short_date
+from juriscope.operators import hubs
 
 
 def rows(views: DataFrame) -> DataFrame:
@@ -80,21 +81,18 @@ def dom_order() -> list[Column]:
     return [tax.rank(F.col("severity")).asc(), F.col("date_filed").desc(), F.col("first_ord").asc()]
 
 
-def ranks(later: DataFrame) -> DataFrame:
-    """Each row's place within its cited opinion under every sort key."""
-    within = Window.partitionBy("cited")
-    later = later.withColumn("dom_index", F.row_number().over(within.orderBy(*dom_order())) - 1)
-    place = lambda *keys: F.row_number().over(within.orderBy(*keys, "dom_index")) - 1
+def ranks(later: DataFrame, most: int = hubs.HUB) -> DataFrame:
+    """Each row's place within its cited opinion under every sort key. An opinion
+    that more than ``most`` others cite is placed in ranges."""
     newest = [(or_empty(F.col("date_filed")) == "").asc(), F.col("date_filed").desc()]
-    return later.withColumns(
-        {
-            "severity_index": place(tax.rank(F.col("severity")), *newest),
-            "recency_index": place(*newest),
-            "name_index": place(name_order(F.col("case_name"))),
-            "mentions_index": place((-F.col("n_mentions")).asc()),
-            "court_index": place(court_order(F.col("relation"), F.col("court_level"), F.col("case_name"))),
-        }
-    )
+    others = {
+        "severity_index": [tax.rank(F.col("severity")).asc(), *newest],
+        "recency_index": newest,
+        "name_index": [name_order(F.col("case_name")).asc()],
+        "mentions_index": [F.col("n_mentions").desc()],
+        "court_index": [court_order(F.col("relation"), F.col("court_level"), F.col("case_name")).asc()],
+    }
+    return hubs.places(later, "cited", "citing", ("dom_index", dom_order()), others, most)
 
 
 def _act(direct: bool) -> Column:

@@ -454,3 +454,6 @@ s AS (SELECT *, CASE WHEN e IS NULL THEN 'unverified' WHEN agree THEN 'agree' WH
 r AS (SELECT *, CASE WHEN bool_or(state = 'disagree') OVER w THEN 'disagree' WHEN bool_or(state = 'agree') OVER w THEN 'agree' ELSE 'unverified' END AS row_state FROM s WINDOW w AS (PARTITION BY cited, citing))
 SELECT row_state, CASE WHEN recognized THEN 'recognized' ELSE 'applied' END AS kind, state, count(*) AS n FROM r GROUP BY ALL"""
 )
+
+# Places are the same however rows are cut.
+ORACLES |= {f"{name}_hubs": ORACLES[name] for name in ("later_courts_ranks", "authority_ranks")}

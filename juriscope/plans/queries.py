@@ -68,6 +68,12 @@ def later_courts_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return later_courts.ranks(graph(spark, sf_dir).later).select("cited", "citing", "dom_index", "severity_index", "recency_index", "name_index", "mentions_index", "court_index")
 
 
+def later_courts_ranks_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same places where every opinion that over 32 others cite is a hub,
+    placed in ranges that no single task holds."""
+    return later_courts.ranks(graph(spark, sf_dir).later, most=32).select("cited", "citing", "dom_index", "severity_index", "recency_index", "name_index", "mentions_index", "court_index")
+
+
 def list_sort_court(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The negative rows of each list by court, three of each."""
     r = later_courts.ranks(graph(spark, sf_dir).later).withColumn("applied_filter", later_courts.unnamed_filter(F.coalesce(F.get("applied", F.lit(0))["severity"], F.col("severity"))))
@@ -140,6 +146,11 @@ def authority_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return authorities.ranks(graph(spark, sf_dir).authorities).select("cluster_id", "n", "dom_index", "severity_index", "date_index", "name_index", "mentions_index", "court_index")
 
 
+def authority_ranks_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same places where every opinion of more than four authorities is a hub."""
+    return authorities.ranks(graph(spark, sf_dir).authorities, most=4).select("cluster_id", "n", "dom_index", "severity_index", "date_index", "name_index", "mentions_index", "court_index")
+
+
 def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every opinion with its citations tied to its Authorities rows."""
     g = graph(spark, sf_dir)
@@ -343,9 +354,9 @@ def mention_navigator(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        later_courts_status, status_passages, severity_summary, later_courts_rows, later_courts_pills, later_courts_ranks, list_sort_court, pill_validation,
+        later_courts_status, status_passages, severity_summary, later_courts_rows, later_courts_pills, later_courts_ranks, later_courts_ranks_hubs, list_sort_court, pill_validation,
         edge_validation, court_relation, court_list, court_picker, edges_all, resolve_groups, cite_owners, name_owners,
-        authority_rows, authority_ranks, page_bodies, authority_meta, scope_counts, index_entries, home_search, home_search_page2, home_search_counts,
+        authority_rows, authority_ranks, authority_ranks_hubs, page_bodies, authority_meta, scope_counts, index_entries, home_search, home_search_page2, home_search_counts,
         index_order, opinion_index_union, keep_first_tier, history_edges, history_reach, history_components, history_reach_raw, history_summary, history_chain, history_layout_full, reported_acts_antijoin, drawn_reports,
         treatment_labels, treatment_table, treatment_definitions, disposition, text_keys, token_streams, excerpts, writing_titles, mention_navigator,
     )
