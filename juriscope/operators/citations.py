@@ -117,3 +117,17 @@ def bodies(opinions: DataFrame, authorities: DataFrame | None = None) -> DataFra
     section = F.concat(lit('<section id="'), anchor, lit('" data-section-id="'), data_id, lit('">'), F.when(titled, F.concat(lit("<h2>"), escape_html(F.col("title")), lit("</h2>"))).otherwise(""), of(False), notes, lit("</section>"))
     sections = whole.select("cluster_id", F.struct("w", section.alias("html")).alias("s"))
     return sections.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["html"]), "\n").alias("body"))
+
+
+def text_bodies(opinions: DataFrame, authorities: DataFrame | None = None) -> DataFrame:
+    """H13 for text documents: (cluster_id, body) from ``document``, as ``string_document``
+    returns it: what stands before the first section is bare, sections have their headings,
+    and a section without a paragraph keeps its heading."""
+    parts = segments(opinions)
+    parts = spliced(parts, linked(spans(parts), opinions, authorities))
+    shown = parts.select("cluster_id", "w", F.struct("k", F.concat(F.lit("<p>"), "html", F.lit("</p>")).alias("html")).alias("p"))
+    pieces = shown.groupBy("cluster_id", "w").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["html"]), "\n").alias("html"))
+    held = pieces.groupBy("cluster_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "html"))).alias("_of"))
+    inner = lambda i: F.coalesce(F.element_at("_of", i + 1), F.lit(""))
+    section = lambda x, i: F.when(x["title"].isNull(), inner(i)).otherwise(F.concat(F.lit('<section id="'), section_anchor(x["title"]), F.lit('" data-section-id="'), escape_html(x["title"]), F.lit('"><h2>'), escape_html(x["title"]), F.lit("</h2>"), inner(i), F.lit("</section>")))
+    return opinions.join(held, "cluster_id", "left").select("cluster_id", F.array_join(F.transform("document", section), "\n").alias("body"))

@@ -457,3 +457,21 @@ SELECT row_state, CASE WHEN recognized THEN 'recognized' ELSE 'applied' END AS k
 
 # Places are the same however rows are cut.
 ORACLES |= {f"{name}_hubs": ORACLES[name] for name in ("later_courts_ranks", "authority_ranks")}
+
+
+def _escaped(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+ORACLES["text_bodies"] = rf"""WITH d AS (SELECT doc_id, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, regexp_split_to_array(concat('@@', coalesce(text, '')), '
+
+') AS ps FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, list_filter(list_transform(ps, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps, {_escaped("lang")} AS lang, {_escaped("source")} AS source,
+  regexp_replace(regexp_replace(source, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM d),
+h AS (SELECT *, array_to_string(list_transform(ps, lambda x: concat('<p>', {_escaped("x")}, '</p>')), chr(10)) AS inside,
+  concat('<span class="cited-case-wrap">', CASE WHEN doc_id % 2 = 0 THEN concat('<a class="cited-case" href="/opinion/', doc_id, '/">', lang, '</a>') ELSE concat('<span class="cited-case">', lang, '</span>') END, '</span>') AS link FROM p),
+b AS (SELECT doc_id, concat('<p>Of &lt;', lang, '&gt;</p>', chr(10), '<section id="', CASE WHEN slug = '' THEN '' ELSE concat('section-', slug) END, '" data-section-id="', source, '"><h2>', source, '</h2>',
+  CASE WHEN starts_with(inside, '<p>@@</p>') THEN concat('<p>', link, inside[6:]) ELSE concat('<p>', link, ' ', inside[6:]) END, '</section>') AS body FROM h)
+SELECT doc_id AS cluster_id, length(body) AS n_chars, md5(body) AS digest FROM b"""

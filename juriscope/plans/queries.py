@@ -453,7 +453,18 @@ def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", F.posexplode(documents.document_udf("ws")).alias("pos", "d")).select("conv_id", F.col("pos").cast("long").alias("pos"), "d.title", F.size("d.blocks").cast("long").alias("n_blocks"))
 
 
-QUERIES |= {f.__name__: f for f in (quote_containment, verify_quote, expand_quote, quote_names_case, mark_case, quote_location, html_blocks, html_blocks_sql, mark_case_sql, cite_map, document_titles)}
+def text_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a text document of a preamble and a section for its
+    source, in which the first word is a citation; links lead to pages of even documents."""
+    d = data.table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")
+    body = F.coalesce("text", F.lit(""))
+    cited = F.concat(F.lit('<citedCase data-cluster-id="'), F.col("doc_id").cast("string"), F.lit('">'), F.coalesce("lang", F.lit("?")), F.lit("</citedCase> "))
+    whole = F.concat(F.lit("Of <"), F.coalesce("lang", F.lit("?")), F.lit(">\n\n## "), F.coalesce("source", F.lit("?")), F.lit("\n\n"), cited, body)
+    o = d.select(F.col("doc_id").alias("cluster_id"), (F.col("doc_id") % 2 == 0).alias("is_scoped"), documents.string_document(whole).alias("document"))
+    return citations.text_bodies(o).select("cluster_id", F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("digest"))
+
+
+QUERIES |= {f.__name__: f for f in (quote_containment, verify_quote, expand_quote, quote_names_case, mark_case, quote_location, html_blocks, html_blocks_sql, mark_case_sql, cite_map, document_titles, text_bodies)}
 
 
 # ------------------------------------------------------- further scalar operators

@@ -51,6 +51,17 @@ def grids(corpus: Corpus, views: DataFrame) -> DataFrame:
     return grid.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", cell.alias("cell")))), lambda x: x["cell"]).alias("history"))
 
 
+def bodies(opinions: DataFrame, authorities: DataFrame) -> DataFrame:
+    """Bodies of writings, and of text documents where ``is_text`` tells of any."""
+    if "is_text" not in opinions.columns:
+        return citations.bodies(opinions, authorities)
+    kind = F.coalesce("is_text", F.lit(False))
+    # Links look at the whole collection, so only the documents of the other kind are emptied.
+    of = lambda mine: opinions.withColumn("document", F.when(mine, F.col("document")))
+    text = citations.text_bodies(of(kind), authorities).filter("body is not null")
+    return citations.bodies(of(~kind), authorities).unionByName(text)
+
+
 def pages(corpus: Corpus) -> DataFrame:
     """One row for each opinion: its lists in page order, its status, its chain, its text."""
     o, courts = corpus.opinions, corpus.courts
@@ -60,12 +71,12 @@ def pages(corpus: Corpus) -> DataFrame:
     listed = lambda t, key, order, name: t.groupBy(F.col(key).alias("cluster_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), F.struct(*[c for c in t.columns if c not in (key, "first_ord")]).alias("row")))), lambda x: x["row"]).alias(name))
     paragraphs = F.flatten(F.transform("document", lambda w: F.transform(F.filter(w["blocks"], lambda b: b["type"].isin("paragraph", "blockquote")), lambda b: F.trim(F.regexp_replace(F.regexp_replace(b["html"], "<[^>]+>", ""), r"\s+", " ")))))
     return (
-        o.withColumns({"excerpt": text.excerpt(F.filter(paragraphs, lambda p: p != "")), "sections": documents.sections(F.col("document")), "disposition": text.disposition_label(F.col("disposition.label"), F.col("disposition.text")), "docket_numbers": text.docket_numbers(F.col("docket_number"))})
+        o.filter("is_scoped").withColumns({"excerpt": text.excerpt(F.filter(paragraphs, lambda p: p != "")), "sections": documents.sections(F.col("document")), "disposition": text.disposition_label(F.col("disposition.label"), F.col("disposition.text")), "docket_numbers": text.docket_numbers(F.col("docket_number"))})
         .drop("on_appeal")
         .join(listed(later, "cited", "dom_index", "cited_by"), "cluster_id", "left")
         .join(listed(auth, "cluster_id", "dom_index", "cited_authorities"), "cluster_id", "left")
         .join(later_courts.statuses(later, o, courts), "cluster_id", "left")
         .join(corpus.counts, "cluster_id", "left")
-        .join(citations.bodies(o, auth), "cluster_id", "left")
+        .join(bodies(o, auth), "cluster_id", "left")
         .join(grids(corpus, views), "cluster_id", "left")
     )

@@ -140,12 +140,23 @@ def load(spark: SparkSession, root: str) -> Corpus:
     return Corpus(opinions, groups, edges.build(groups, opinions, pairs), court_fn.registered(p), citing_counts(spark, root))
 
 
+def _fixtures(spark: SparkSession, root: str) -> Corpus:
+    from juriscope.sources import fixtures
+
+    return fixtures.load(spark, root)
+
+
 #: Sources by name; each takes (spark, root) and returns a Corpus.
-SOURCES = {"json": load}
+SOURCES = {"json": load, "fixtures": _fixtures}
+#: The setting that names a source where the caller doesn't.
+SOURCE_CONF = "spark.juriscope.source"
 
 
-def load_source(name: str, spark: SparkSession, root: str) -> Corpus:
-    """S1."""
+def load_source(name: str | None, spark: SparkSession, root: str) -> Corpus:
+    """A source by its name, or by the session's setting, or of JSON files."""
+    name = name or spark.conf.get(SOURCE_CONF, "json")
+    if name not in SOURCES:
+        raise ValueError(f"no source {name}: {', '.join(SOURCES)}")
     return SOURCES[name](spark, root)
 
 
