@@ -3,8 +3,8 @@
 Documents come in batches of rising ids.  Every batch's distinct line keys are
 merge-anti-joined with the runs written so far; keys that no run holds become a
 new run, one sorted file for each bucket, that records the smallest document of
-each key.  When a level has ``fan_in`` runs they are compacted into one run of the
-next level and deleted.  Runs never share a key, so together they name each key's
+each key.  When a level has ``fan_in`` runs and batches are still to come, they are
+compacted into one run of the next level and deleted.  Runs never share a key, so together they name each key's
 owner, and a line stays only in its owner.  Runs are tables of the session's catalog
 only while batches are added; their rows lie in the shared folder.
 
@@ -89,10 +89,11 @@ class LineRuns:
         """Rows of ``keys`` whose key no run holds: one merge anti join for each run."""
         return reduce(lambda left, run: left.join(run.hint("merge"), KEY, "left_anti"), self.runs, keys)
 
-    def add(self, keys: DataFrame) -> None:
-        """Adds a batch's own keys (h1, h2, owner; one row for each key) as a run."""
+    def add(self, keys: DataFrame, last: bool = False) -> None:
+        """Adds a batch's own keys (h1, h2, owner; one row for each key) as a run. After the
+        ``last`` batch nothing is compacted: no batch meets the runs, and ``owners`` reads all."""
         self.levels[0].append(self._write(self.unseen(keys)))
-        for level in range(len(self.levels)):
+        for level in range(0 if last else len(self.levels)):
             if len(self.levels[level]) < self.fan_in:
                 break
             full, self.levels[level] = self.levels[level], []
@@ -121,7 +122,7 @@ def repeated_lines(lines: DataFrame, batches: int = 4, fan_in: int = 2) -> DataF
         for low, high in zip(edges, edges[1:], strict=False):
             batch = lines if low is None else lines.filter(F.col("doc_id") > low)
             batch = batch if high is None else batch.filter(F.col("doc_id") <= high)
-            runs.add(batch.groupBy(*KEY).agg(F.min("doc_id").alias("owner")))
+            runs.add(batch.groupBy(*KEY).agg(F.min("doc_id").alias("owner")), last=high is None)
     finally:
         runs.close()
     return lines.join(runs.owners(), KEY).filter("doc_id <> owner").select("doc_id", "tid", "pos")

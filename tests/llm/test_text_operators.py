@@ -49,6 +49,15 @@ def test_runs_compact_and_stay_disjoint(spark):
     assert all(r.owner == max(0, (r.h1 - 5) // 5) for r in rows)
 
 
+def test_nothing_is_compacted_after_the_last_batch(spark, monkeypatch):
+    made, write = [], line_dedup.LineRuns._write
+    monkeypatch.setattr(line_dedup.LineRuns, "_write", lambda self, rows: made.append(write(self, rows)) or made[-1])
+    docs = spark.createDataFrame([(d, f"the line of document {d % 30}\nthe line of document {d}") for d in range(80)], "doc_id long, text string")
+    got = line_dedup.dedup_lines(docs, batches=4)
+    assert bag(got, "doc_id", "text") == Counter((d, f"the line of document {d}" if d >= 30 else t) for d, t in map(tuple, docs.collect()))
+    assert len(made) == 5  # four batches and what the first two become
+
+
 def windows(words, n):
     return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
 
