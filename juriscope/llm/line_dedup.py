@@ -2,11 +2,12 @@
 
 Documents come in batches of rising ids.  Every batch's distinct line keys are
 merge-anti-joined with the runs written so far; keys that no run holds become a
-new run, one sorted file for each bucket, that records the smallest document of
+new run, dealt out by key and sorted, that records the smallest document of
 each key.  When a level has ``fan_in`` runs and batches are still to come, they are
-compacted into one run of the next level and deleted.  Runs never share a key, so together they name each key's
-owner, and a line stays only in its owner.  Runs are tables of the session's catalog
-only while batches are added; their rows lie in the shared folder.
+compacted into one run of the next level and dropped.  Runs never share a key, so together they name each key's
+owner, and a line stays only in its owner.  Runs are persisted on the executors' disks
+only while batches are added (one that is lost is computed again); the owners are
+written to the shared folder, in files by their size and not one for each part of a run.
 
 Defined results: null and empty texts are one empty line; rows with a null id
 pass unchanged and own no line; rows that repeat an id are one document, each
@@ -24,13 +25,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from juriscope.llm.common import carried, new_path, quoted, removed, restored, size_hint, written
+from juriscope.llm.common import carried, quoted, restored, size_hint, written
 
 _STRIP = b" \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
-#: Bytes of line keys, as stored, for each bucket of a run.
-BUCKET_BYTES = 64 << 20
+#: Bytes of line keys, as stored, for each part of a run and each file of owners.
+PART_BYTES = 64 << 20
 
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -61,29 +63,26 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 class LineRuns:
-    """The runs: a list per level, each a bucketed table (h1, h2, owner) sorted by hash."""
+    """The runs: a list per level, each a persisted table (h1, h2, owner) in ``parts``
+    partitions by hash, sorted within each."""
 
-    def __init__(self, spark: SparkSession, buckets: int, fan_in: int = 2):
-        self.spark, self.buckets, self.fan_in = spark, buckets, fan_in
-        self.levels: list[list[tuple[str, str]]] = [[]]  # name and path of each run
-        # Where a bucket is one file, its rows are read in the order that they were sorted in.
-        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    def __init__(self, spark: SparkSession, parts: int, fan_in: int = 2):
+        self.spark, self.parts, self.fan_in = spark, parts, fan_in
+        self.levels: list[list[DataFrame]] = [[]]
 
-    def _write(self, rows: DataFrame) -> tuple[str, str]:
-        path = new_path(self.spark, "line-run")
-        name = "line_run_" + path.rpartition("-")[2]
-        rows.select(*KEY, "owner").repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).option("compression", "lz4").saveAsTable(name)
-        return name, path
+    def _write(self, rows: DataFrame) -> DataFrame:
+        run = rows.select(*KEY, "owner").repartition(self.parts, *KEY).sortWithinPartitions(*KEY).persist(StorageLevel.DISK_ONLY)
+        run.count()
+        return run
 
     def close(self) -> None:
-        """Takes the runs out of the catalog; their files stay for ``owners``."""
-        for level in self.levels:
-            for name, _ in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        """Frees the runs' disk; what is asked of them afterwards is computed again."""
+        for run in self.runs:
+            run.unpersist()
 
     @property
     def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name, _ in level]
+        return [run for level in self.levels for run in level]
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """Rows of ``keys`` whose key no run holds: one merge anti join for each run."""
@@ -99,15 +98,13 @@ class LineRuns:
             full, self.levels[level] = self.levels[level], []
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._write(reduce(DataFrame.unionByName, [self.spark.table(name) for name, _ in full])))
-            for name, path in full:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-                removed(self.spark, path)
+            self.levels[level + 1].append(self._write(reduce(DataFrame.unionByName, full)))
+            for run in full:
+                run.unpersist()
 
     def owners(self) -> DataFrame:
-        """All runs as one table without buckets: a join that deals out both sides
-        lets Spark split the rows of a very common line."""
-        return self.spark.read.schema("h1 long, h2 long, owner long").parquet(*[path for level in self.levels for _, path in level])
+        """All runs as one table."""
+        return reduce(DataFrame.unionByName, self.runs)
 
 
 def repeated_lines(lines: DataFrame, batches: int = 4, fan_in: int = 2) -> DataFrame:
@@ -115,17 +112,21 @@ def repeated_lines(lines: DataFrame, batches: int = 4, fan_in: int = 2) -> DataF
     spark = lines.sparkSession
     cuts = lines.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).head()[0] or []
     edges = [None, *sorted(set(cuts)), None]
-    # As many buckets as the lines ask for, as far as Spark allows; a larger bucket is merged all the same.
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_hint(lines) // BUCKET_BYTES)
-    runs = LineRuns(spark, min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))), fan_in)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_hint(lines) // PART_BYTES)
+    runs = LineRuns(spark, parts, fan_in)
     try:
         for low, high in zip(edges, edges[1:], strict=False):
             batch = lines if low is None else lines.filter(F.col("doc_id") > low)
             batch = batch if high is None else batch.filter(F.col("doc_id") <= high)
             runs.add(batch.groupBy(*KEY).agg(F.min("doc_id").alias("owner")), last=high is None)
+        owners = runs.owners()
+        # As files they are not dealt out by key: a join that deals out both sides lets
+        # Spark split the rows of a very common line.
+        files = max(spark.sparkContext.defaultParallelism, size_hint(owners) // PART_BYTES)
+        owners = written(owners.coalesce(files), "line-owners", "lz4")
     finally:
         runs.close()
-    return lines.join(runs.owners(), KEY).filter("doc_id <> owner").select("doc_id", "tid", "pos")
+    return lines.join(owners, KEY).filter("doc_id <> owner").select("doc_id", "tid", "pos")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fan_in: int = 2) -> DataFrame:

@@ -3,8 +3,10 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 from juriscope.llm import line_dedup, quality_rules, simhash, substring_dedup
+from juriscope.llm.common import shared_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = " \t\n\x0b\x0c\r"
@@ -58,6 +60,39 @@ def test_nothing_is_compacted_after_the_last_batch(spark, monkeypatch):
     assert len(made) == 5  # four batches and what the first two become
 
 
+def test_runs_are_met_in_their_order_and_write_few_files(spark, monkeypatch):
+    """Batches meet runs without dealing out or sorting those again; the files that are written
+    follow their bytes, not the parts of all runs, and nothing stays persisted."""
+    plans, unseen = [], line_dedup.LineRuns.unseen
+
+    def planned(self, keys):
+        rows = unseen(self, keys)
+        plans.append((len(self.runs), str(rows._jdf.queryExecution().executedPlan())))
+        return rows
+
+    monkeypatch.setattr(line_dedup.LineRuns, "unseen", planned)
+    root = Path(shared_folder(spark).removeprefix("file:"), spark.sparkContext.applicationId)
+    files = lambda: set(root.rglob("part-*.parquet"))
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    old, shuffled, kept = files(), spark.conf.get("spark.sql.shuffle.partitions"), held()
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    # Joins by their order whatever the size of a side, as on large tables.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(d, "\n".join(f"line {d * 20 + k:09d}" for k in range(30))) for d in range(200)], "doc_id long, text string").coalesce(2)
+        got = bag(line_dedup.dedup_lines(docs), "n_lines", "n_dropped")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(30, 0): 1, (30, 10): 199}
+    assert [n for n, _ in plans] == [0, 1, 1, 2]
+    for n, plan in plans:
+        fresh = plan.split("InMemoryRelation")[0]  # below are the plans that made the runs
+        assert len(re.findall("SortMergeJoin", fresh)) == n and len(re.findall(r"Exchange", fresh)) == 1 and len(re.findall(r"Sort \[", fresh)) == min(n, 1)
+    assert len(files() - old) <= 2 + spark.sparkContext.defaultParallelism  # of lines and of owners
+    assert held() == kept
+
+
 def windows(words, n):
     return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
 
