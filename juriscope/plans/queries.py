@@ -552,10 +552,13 @@ def court_typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citing_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the citing scope, by a writing's id or by its cluster."""
-    o = data.opinions(spark, sf_dir).withColumn("opinion_ids", F.array(F.col("cluster_id") + 1_000_000))
+    o = data.opinions(spark, sf_dir)
     li = data.table(spark, sf_dir, "lineitem")
-    scope = li.select(F.col("l_orderkey").alias("citing_cluster_id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey") + 1_000_000).alias("anchor_opinion_id"), F.col("l_partkey").alias("anchor_cluster_id"))
-    return edges.scope_pairs(scope, o)
+    # Writings' ids lie beyond all ids of clusters, whatever the tables' size.
+    ids = o.select(F.col("cluster_id").alias("id")).unionByName(li.select(F.col("l_partkey").alias("id"))).agg(F.min("id").alias("least"), F.max("id").alias("most")).head()
+    beyond = ids.most - ids.least + 1 if ids.most is not None else 0
+    scope = li.select(F.col("l_orderkey").alias("citing_cluster_id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey") + beyond).alias("anchor_opinion_id"), F.col("l_partkey").alias("anchor_cluster_id"))
+    return edges.scope_pairs(scope, o.withColumn("opinion_ids", F.array(F.col("cluster_id") + beyond)))
 
 
 def last_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
