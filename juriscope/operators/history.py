@@ -52,6 +52,20 @@ def reach(down: DataFrame, up: DataFrame, seeds: DataFrame) -> DataFrame:
     return found
 
 
+def reach_of_all(down: DataFrame) -> DataFrame:
+    """``reach`` of every opinion at once, over pairs (actor, target) without cycles, by
+    actor: what one opinion has below it has that opinion above."""
+    step = down.select(F.col("actor").alias("node"), F.col("target").alias("next"))
+    seen = front = down.select(F.col("actor").alias("cluster_id"), F.col("target").alias("node"))
+    while True:
+        front = written(hop(front, step).distinct().join(seen, ["cluster_id", "node"], "left_anti"), "frontier")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    above = seen.select(F.col("node").alias("cluster_id"), F.col("cluster_id").alias("node"), F.lit("above").alias("role"))
+    return seen.withColumn("role", F.lit("below")).unionByName(above)
+
+
 def members(chains: DataFrame, seeds: DataFrame, opinions: DataFrame, courts: DataFrame) -> DataFrame:
     """The opinion nodes of each chain with court, level and date; the seed is ``self``."""
     nodes = seeds.select("cluster_id", F.col("cluster_id").alias("node"), F.lit("self").alias("role")).unionByName(chains.select("cluster_id", "node", "role"))

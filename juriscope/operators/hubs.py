@@ -56,6 +56,7 @@ def places(rows: DataFrame, group: str, member: str, first: tuple[str, list[Colu
         return _in_windows(rows, group, first, others)
     small = _in_windows(rows.join(large, group, "left_anti"), group, first, others)
     name, keys = first
-    big = rows.join(large, group, "left_semi")
+    # Every order reads them twice, to draw its ranges and to sort.
+    big = written(rows.join(large, group, "left_semi"), "hub_rows")
     orders = {name: keys} | {n: [*k, *keys] for n, k in others.items()}
     return small.unionByName(big.join(_in_ranges(big, group, member, orders), [group, member]))

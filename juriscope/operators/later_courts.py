@@ -81,6 +81,14 @@ def dom_order() -> list[Column]:
     return [tax.rank(F.col("severity")).asc(), F.col("date_filed").desc(), F.col("first_ord").asc()]
 
 
+def ranks_of(keys: DataFrame, most: int = hubs.HUB) -> DataFrame:
+    """``ranks`` of rows that have their keys: rank, day, first_ord, name, n_mentions,
+    standing, level; a day may be any number that grows with the date."""
+    newest = [F.col("day").isNull().asc(), F.col("day").desc()]
+    others = {"severity_index": [F.col("rank").asc(), *newest], "recency_index": newest, "name_index": [F.col("name").asc()], "mentions_index": [F.col("n_mentions").desc()], "court_index": [F.col("standing").asc(), F.col("level").asc(), F.col("name").asc()]}
+    return hubs.places(keys, "cited", "citing", ("dom_index", [F.col("rank").asc(), F.col("day").desc(), F.col("first_ord").asc()]), others, most)
+
+
 def ranks(later: DataFrame, most: int = hubs.HUB) -> DataFrame:
     """Each row's place within its cited opinion under every sort key. An opinion
     that more than ``most`` others cite is placed in ranges."""
@@ -110,8 +118,13 @@ def statuses(later: DataFrame, opinions: DataFrame, courts: DataFrame) -> DataFr
     goes with it."""
     if "lead_quote_status" not in later.columns:
         later = later.withColumn("lead_quote_status", F.lit(""))
-    acts = later.withColumns({"own": _act(True), "cr": _act(False)})
-    place = lambda act: F.struct(F.col(f"{act}.rank").alias("rank"), F.col(f"{act}.reported").alias("reported"), tax.rank(F.col("severity")).alias("row_rank"), F.expr("-unix_date(cast(date_filed as date))").alias("age"), "first_ord")
+    return statuses_of(later.withColumns({"own": _act(True), "cr": _act(False), "row_rank": tax.rank(F.col("severity")), "age": F.expr("-unix_date(cast(date_filed as date))")}), opinions, courts)
+
+
+def statuses_of(acts: DataFrame, opinions: DataFrame, courts: DataFrame) -> DataFrame:
+    """``statuses`` of rows that have their acts: own and cr (rank, reported, treatment,
+    severity), row_rank, age, first_ord, relation and what is told of the citing opinion."""
+    place = lambda act: F.struct(F.col(f"{act}.rank").alias("rank"), F.col(f"{act}.reported").alias("reported"), "row_rank", "age", "first_ord")
     about = lambda act: F.struct(F.col(f"{act}.treatment").alias("treatment"), F.col(f"{act}.severity").alias("severity"), F.col("case_name").alias("citing_name"), F.col("court_display").alias("citing_court"), "citing", F.col("lead_quote").alias("quote"), F.col("lead_quote_status").alias("quote_status"), "authority_n")
     has = lambda act: F.col(act).isNotNull()
     negative = has("cr") & tax.is_negative(F.col("cr.severity"))

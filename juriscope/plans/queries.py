@@ -16,19 +16,18 @@ from juriscope.sources.scratch import written
 
 def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
-    return later_courts.statuses(g.later, g.opinions, g.courts)
+    return later_courts.statuses_of(g.acts(), data.opinions(spark, sf_dir), g.courts)
 
 
 def _index(spark: SparkSession, sf_dir: str, p: search.SearchParams | None = None) -> DataFrame:
     """The home page's rows; with ``p`` only those that its text, courts and tier let
     through, and only their edges are joined and grouped."""
     g = graph(spark, sf_dir)
-    o = g.opinions.filter("is_scoped").withColumns({"name_missing": F.col("raw_name") == "", "search_text": text.search_text(F.col("case_name"), F.col("citations"))})
-    later = g.later
+    o = data.opinions(spark, sf_dir).filter("is_scoped").withColumns({"name_missing": F.col("raw_name") == "", "search_text": text.search_text(F.col("case_name"), F.col("citations"))})
     if p:
         o = o.filter(search.told_apart(p))
-        later = later.join(o.select(F.col("cluster_id").alias("cited")), "cited", "left_semi")
-    s = later_courts.statuses(later, o, g.courts).select("cluster_id", "dh_severity", "cr_severity")
+    acts = g.acts(o.select(F.col("cluster_id").alias("cited")) if p else None)
+    s = later_courts.statuses_of(acts, o, g.courts).select("cluster_id", "dh_severity", "cr_severity")
     return o.join(s, "cluster_id")
 
 
@@ -59,19 +58,20 @@ def later_courts_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def later_courts_pills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pills of every row in order."""
-    r = graph(spark, sf_dir).later.select("cited", "citing", F.posexplode(F.concat("applied", "recognized")).alias("pos", "p"))
-    return r.select("cited", "citing", "pos", F.col("p.treatment").alias("treatment"), F.col("p.severity").alias("severity"), F.col("p.direction").alias("direction"))
+    kept = data.valid(graph(spark, sf_dir).judged)
+    place = F.row_number().over(history.Window.partitionBy("cited", "citing").orderBy("recognized", "rank", "line", "supp", "quantity"))
+    return kept.select("cited", "citing", (place - 1).alias("pos"), "treatment", "severity", tax.direction(F.col("treatment")).alias("direction"))
 
 
 def later_courts_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places under every sort key."""
-    return later_courts.ranks(graph(spark, sf_dir).later).select("cited", "citing", "dom_index", "severity_index", "recency_index", "name_index", "mentions_index", "court_index")
+    return later_courts.ranks_of(graph(spark, sf_dir).sort_keys).select("cited", "citing", "dom_index", "severity_index", "recency_index", "name_index", "mentions_index", "court_index")
 
 
 def later_courts_ranks_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same places where every opinion that over 32 others cite is a hub,
     placed in ranges that no single task holds."""
-    return later_courts.ranks(graph(spark, sf_dir).later, most=32).select("cited", "citing", "dom_index", "severity_index", "recency_index", "name_index", "mentions_index", "court_index")
+    return later_courts.ranks_of(graph(spark, sf_dir).sort_keys, most=32).select("cited", "citing", "dom_index", "severity_index", "recency_index", "name_index", "mentions_index", "court_index")
 
 
 def list_sort_court(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +84,15 @@ def list_sort_court(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pill_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pills and rows that agree or disagree with the expert."""
-    r = graph(spark, sf_dir).later.select("validation", F.explode("validated").alias("p"))
-    return r.groupBy(F.col("validation").alias("row_state"), F.col("p.kind").alias("kind"), F.col("p.validation").alias("state")).agg(F.count("*").alias("n"))
+    kept = data.valid(graph(spark, sf_dir).judged)
+    pill = F.struct("rank", "recognized", "line", "supp", "quantity", "label")
+    pairs = kept.groupBy("cited", "citing").agg(F.array_sort(F.collect_list(pill)).alias("pills"), F.min_by(data.expert(), F.struct("recognized", "rank", "line", "supp", "quantity")).alias("expert"))
+    # States follow from the labels alone: rows of the same labels are told once.
+    alike = pairs.groupBy(F.transform("pills", lambda p: F.struct(p["recognized"].alias("recognized"), p["label"].alias("label"))).alias("pills"), "expert").agg(F.count("*").alias("n"))
+    alike = alike.withColumn("pills", F.transform("pills", lambda p: F.struct(F.when(p["recognized"], "recognized").otherwise("applied").alias("kind"), p["label"].alias("treatment"), tax.severity(p["label"]).alias("severity"))))
+    alike = alike.withColumn("states", tax.pill_states(F.col("pills"), F.col("expert")))
+    each = alike.select("n", tax.row_state(F.col("states")).alias("row_state"), F.explode(F.arrays_zip("pills", "states")).alias("p"))
+    return each.groupBy("row_state", F.col("p.pills.kind").alias("kind"), F.col("p.states").alias("state")).agg(F.sum("n").cast("long").alias("n"))
 
 
 def edge_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
