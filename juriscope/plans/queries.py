@@ -260,7 +260,7 @@ def history_reach_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid of the opinions of every chain of two or more."""
     g = graph(spark, sf_dir)
-    m = history.members(g.chains, g.chains.select("cluster_id").distinct(), g.opinions, g.courts)
+    m = history.members(g.chains, g.chains.select("cluster_id").distinct(), data.opinions(spark, sf_dir), g.courts)
     return history.layout(history.placed_members(m)).select("cluster_id", "node", "role", "at", "row", "col", "tier", "dir", "col_start", "col_end", "span")
 
 
@@ -275,8 +275,11 @@ def history_layout_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opinions of every chain, and whether a reported act is drawn on it."""
-    nodes, _, _ = graph(spark, sf_dir).whole_chains
-    return history.summary(nodes).select("cluster_id", F.col("n_opinions").cast("long").alias("n_opinions"), "has_reported")
+    g = graph(spark, sf_dir)
+    # The first event of a chain is always drawn.
+    told = g.events.select("cluster_id", F.lit(True).alias("told")).distinct()
+    n = g.places.groupBy("cluster_id").agg(F.count("node").alias("n_opinions"))
+    return n.join(told, "cluster_id", "left").select("cluster_id", "n_opinions", F.coalesce("told", F.lit(False)).alias("has_reported"))
 
 
 def reported_acts_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +289,7 @@ def reported_acts_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drawn_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reported acts drawn on every chain."""
-    return graph(spark, sf_dir).whole_chains[2].select("cluster_id", "target", "citing", "court", F.size("treatments").alias("n"))
+    return history.drawn_events(graph(spark, sf_dir).events).select("cluster_id", "target", "citing", "court", F.size("treatments").alias("n"))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -586,9 +589,9 @@ def levels_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def card_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the cards of chains say that decisions did."""
-    nodes, links, _ = graph(spark, sf_dir).whole_chains
-    own = nodes.select("cluster_id", F.col("at").alias("actor"), (F.col("role") == "self").alias("own"))
-    each = links.select("cluster_id", "actor", F.explode("links").alias("x")).join(own, ["cluster_id", "actor"])
+    _, links, _ = graph(spark, sf_dir).whole_chains
+    # A chain's own opinion is the first of its nodes.
+    each = links.select((F.col("actor") == 0).alias("own"), F.explode("links").alias("x"))
     c = history.card_labels(F.col("x.treatment"), F.col("own"))
     return each.groupBy(c["treatment"].alias("treatment"), c["defined_as"].alias("defined_as"), F.col("x.severity").alias("severity")).agg(F.count("*").alias("n"))
 
