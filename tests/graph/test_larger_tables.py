@@ -40,7 +40,7 @@ def test_writings_ids_are_no_ids_of_opinions(spark, shifted):
 
 #: Queries that deal out numbers only: the table of edges with all fields of both opinions
 #: was over 40 times as large as the input, shuffles included.
-NARROW = ["edge_validation", "treatment_labels", "act_verbs", "history_edges", "history_components", "later_courts_status", "history_reach", "reported_acts_antijoin", "later_courts_ranks", "pill_validation", "later_courts_pills", "history_chain", "drawn_reports", "history_summary", "card_labels", "history_layout_full"]
+NARROW = ["edge_validation", "treatment_labels", "act_verbs", "history_edges", "history_components", "later_courts_status", "history_reach", "reported_acts_antijoin", "later_courts_ranks", "pill_validation", "later_courts_pills", "history_chain", "drawn_reports", "history_summary", "card_labels", "history_layout_full", "home_search_counts"]
 
 
 @pytest.fixture()
